@@ -86,7 +86,8 @@ def solve(cells: DataFrame, sources: DataFrame, scratch: common.Scratch) -> Data
         newton = d - F.when((h > 0) & (g > 0), g * F.log(g / t) / h).otherwise(F.lit(None))
         middle = F.when(low == -inf, 2 * high - 1).when(high == inf, 2 * low + 1).otherwise((low + high) / 2)
         step = F.when((newton > low) & (newton < high), newton).otherwise(middle)
-        near = (F.abs(g - t) <= TOLERANCE * t) | (high - low <= 1e-13 * F.greatest(F.abs(low), F.abs(high)))
+        shut = (high < inf) & (low > -inf) & (high - low <= 1e-13 * F.greatest(F.abs(low), F.abs(high)))
+        near = (F.abs(g - t) <= TOLERANCE * t) | shut
         keep = F.col("_al_done") | near
         nxt = state.join(sums, F.col("_al_source") == F.col("_al_s"), "left")
         nxt = nxt.withColumns({"_al_dual": F.when(keep, d).otherwise(step), "_al_low": low, "_al_high": high, "_al_done": keep}).select(*kept)

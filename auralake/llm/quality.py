@@ -2,9 +2,9 @@
 
 Each rule reads text statistics and votes good (1), bad (-1) or nothing (0). A document's votes form a
 pattern; with R rules there are at most 3^R patterns, so their counts are a bounded table however large the
-corpus, and each EM step is one aggregate over it. The model has one hidden class for a document and, for each
-rule, how often it votes bad when it votes on a good and on a bad document (its two accuracies). A document
-is kept if its posterior probability of being good is at least one half.
+corpus, and each EM step is one aggregate over it. The hidden class of a document is good or one of R kinds
+of bad; for each class EM estimates how often each rule, where it votes, votes bad: the rule's accuracies. A
+document is kept if its posterior probability of being good is at least one half.
 
 All is built-in functions: texts stay in the JVM and are read once; a table of statistics serves both passes.
 """
@@ -12,7 +12,7 @@ All is built-in functions: texts stay in the JVM and are read once; a table of s
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+#: The prior of the vote model counts as so many documents.
+PRIOR = 10
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,7 +92,7 @@ class Rule:
 #: Thresholds are parameters: shares of words, letters or lines, the same for every language and size.
 RULES = (
     Rule("symbols", "n_symbols > 0.1 * n_words", "n_symbols < 0.02 * n_words"),
-    Rule("repeats", "n_repeat_words > 0.1 * n_words", "n_words >= 20 and n_repeat_words < 0.02 * n_words"),
+    Rule("repeats", "n_repeat_words > 0.2 * n_words", "n_words >= 20 and n_repeat_words < 0.02 * n_words"),
     Rule("dup_lines", "n_dup_lines > 0.3 * n_lines", "n_lines >= 2 and n_dup_lines = 0"),
     Rule("capitals", "n_upper > 0.3 * word_chars", "n_words >= 10 and n_upper < 0.1 * word_chars"),
     Rule("shouting", "n_shouts > 0.1 * n_words", "n_words >= 10 and n_shouts < 0.02 * n_words"),
@@ -101,43 +103,49 @@ RULES = (
 
 @dataclass
 class VoteModel:
-    """The share of good documents and, by rule, how often a vote on a good or a bad document is bad."""
+    """A share of each hidden class, and how often each rule's vote is bad in it. Class 0 is good; class j + 1
+    is the kind of bad document that rule j was written for, so that one kind's votes don't speak for another."""
 
-    good: float = 0.8
-    bad_if_good: dict[str, float] = field(default_factory=dict)
-    bad_if_bad: dict[str, float] = field(default_factory=dict)
+    shares: list[float]
+    bad: list[list[float]]
 
-    def posterior(self, rules: tuple[Rule, ...]) -> Column:
-        """The probability that a document with these votes is good."""
-        odds = F.log(F.lit(self.good / (1 - self.good)))
-        for r in rules:
-            g, b = self.bad_if_good[r.name], self.bad_if_bad[r.name]
-            odds = odds + F.when(F.col(r.name) == -1, F.log(F.lit(g / b))).when(F.col(r.name) == 1, F.log(F.lit((1 - g) / (1 - b)))).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+    @staticmethod
+    def start(n: int) -> VoteModel:
+        return VoteModel([0.8] + [0.2 / n] * n, [[0.005] * n] + [[0.9 if j == k else 0.01 for k in range(n)] for j in range(n)])
 
+    def classes(self, votes: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+        """votes with `_al_c0`, `_al_c1`, ...: the probability of each class; an abstention says nothing."""
+
+        def joint(share: float, bad: list[float]) -> Column:
+            p = F.lit(share)
+            for r, b in zip(rules, bad, strict=True):
+                p = p * F.when(F.col(r.name) == -1, F.lit(b)).when(F.col(r.name) == 1, F.lit(1 - b)).otherwise(1.0)
+            return p
+
+        out = votes.withColumns({f"_al_j{c}": joint(s, b) for c, (s, b) in enumerate(zip(self.shares, self.bad, strict=True))})
+        parts = [F.col(f"_al_j{c}") for c in range(len(self.shares))]
+        out = out.withColumn("_al_all", sum(parts[1:], parts[0]))
+        return out.withColumns({f"_al_c{c}": x / F.col("_al_all") for c, x in enumerate(parts)}).drop("_al_all", *[f"_al_j{c}" for c in range(len(parts))])
 
 def fit(votes: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 25) -> VoteModel:
     """EM over the counts of vote patterns (a column n beside one of each rule); 3^len(rules) rows at most.
 
-    A weak prior keeps every estimate inside (0, 1) and, with few votes, near its start; a rule's bad votes
-    never count as likelier on good documents than on bad ones."""
-    model = VoteModel(0.8, {r.name: 0.02 for r in rules}, {r.name: 0.4 for r in rules})
+    A prior worth PRIOR documents, around the start, keeps every estimate inside (0, 1). Sums are rounded
+    before they are added, so reruns agree."""
+    model = start = VoteModel.start(len(rules))
     for _ in range(iterations):
-        p = votes.withColumn("_al_p", F.round(model.posterior(rules), 9))
-        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("_al_p")).alias("good")]
-        for i, r in enumerate(rules):
-            for v, name in ((-1, "b"), (1, "g")):
-                of = F.when(F.col(r.name) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(of * F.col("_al_p")).alias(f"{name}{i}_good"), F.sum(of * (1 - F.col("_al_p"))).alias(f"{name}{i}_bad")]
-        s = p.agg(*sums).first()
-        if not s["all"]:
-            return model
-        last, model = model, VoteModel(min(max((s["good"] + 8) / (s["all"] + 10), 0.05), 0.99))
-        for i, r in enumerate(rules):
-            g = (s[f"b{i}_good"] + 0.2) / (s[f"b{i}_good"] + s[f"g{i}_good"] + 10)
-            b = (s[f"b{i}_bad"] + 4) / (s[f"b{i}_bad"] + s[f"g{i}_bad"] + 10)
-            model.bad_if_good[r.name], model.bad_if_bad[r.name] = round(min(g, 0.45), 12), round(max(b, g, 0.02), 12)
-        if max(abs(x - y) for x, y in zip((last.good, *last.bad_if_good.values(), *last.bad_if_bad.values()), (model.good, *model.bad_if_good.values(), *model.bad_if_bad.values()), strict=True)) < 1e-6:
+        names = [f"_al_c{c}" for c in range(len(rules) + 1)]
+        p = model.classes(votes, rules).withColumns({k: F.round(F.col(k) * F.col("n") * 1000).cast("long") for k in names})
+        p = p.select(F.posexplode(F.array(*[F.col(r.name) for r in rules])).alias("rule", "vote"), *names)
+        rows = p.groupBy("rule", "vote").agg(*[F.sum(k).alias(k) for k in names]).collect()  # three for each rule at most
+        of = lambda k, j, v: sum(r[k] for r in rows if r["rule"] == j and r["vote"] in v) / 1000
+        every = [of(k, 0, (-1, 0, 1)) for k in names]
+        total = sum(every)
+        shares = [(x + PRIOR * s) / (total + PRIOR) for x, s in zip(every, start.shares, strict=True)]
+        bad = [[(of(k, j, (-1,)) + PRIOR * b) / (of(k, j, (-1, 1)) + PRIOR) for j, b in enumerate(row)] for k, row in zip(names, start.bad, strict=True)]
+        moved = max(abs(x - y) for x, y in zip(sum([shares, *bad], []), sum([model.shares, *model.bad], []), strict=True))
+        model = VoteModel(shares, bad)
+        if moved < 1e-4:
             break
     return model
 
@@ -153,5 +161,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
     patterns = scratch.write(votes.groupBy(*[r.name for r in rules]).agg(F.count(F.lit(1)).alias("n")), "patterns")
     model = fit(patterns, rules)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = votes.withColumn("quality", model.posterior(rules)).withColumn("base_failed", failed)
+    out = model.classes(votes, rules).withColumn("quality", F.col("_al_c0")).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
