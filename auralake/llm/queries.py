@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, quality, sharding, tokencount
+from . import common, decontam, langid, mixing, quality, sharding, simhash, tokencount
 
 SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "_al_lang.lang_pred", "_al_lang.score", "_al_lang.n_spans")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", simhash.as_hex(F.col("f")).alias("fingerprint"), "component_id")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contamination(common.documents(spark, sf_dir).select("doc_id", "text"), bench)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(common.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -34,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op6_quality_rules, op8_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op5_decontamination, op6_quality_rules, op8_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
