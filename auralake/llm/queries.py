@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, linededup, mixing, quality, sharding, simhash, tokencount
+from . import common, decontam, langid, linededup, mixing, quality, sharding, simhash, substring, tokencount
 
 SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,12 +51,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(common.documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op4_line_dedup, op5_decontamination, op6_quality_rules, op8_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op4_line_dedup, op5_decontamination, op6_quality_rules, op8_token_counts, op9_substring_dedup, op10_mixing)}
 
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,5 +105,27 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 """
 
 
+OP9_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS win
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), first AS (
+    SELECT win, min(doc_id) AS least FROM windows GROUP BY win
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM windows JOIN first USING (win) WHERE least < doc_id
+), words AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words LEFT JOIN gone USING (doc_id, p) WHERE gone.p IS NULL GROUP BY doc_id
+), counts AS (
+    SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_substring_dedup": OP9_SQL}
