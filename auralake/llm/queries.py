@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, linededup, mixing, quality, sharding, simhash, substring, tokencount
+from . import common, decontam, langid, linededup, lm, mixing, quality, sharding, simhash, substring, tokencount
 
 SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", common.id_remainder(F.col("doc_id"), 5) == 1)
+    return lm.score(docs, lm.fit(docs.where(~F.col("held_out"))))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op4_line_dedup, op5_decontamination, op6_quality_rules, op8_token_counts, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op4_line_dedup, op5_decontamination, op6_quality_rules, op7_lm_scoring, op8_token_counts, op9_substring_dedup, op10_mixing)}
 
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
