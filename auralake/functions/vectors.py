@@ -53,10 +53,10 @@ def set_bits(x: Column) -> Column:
 
 def normalise(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Cells (keys and value) with each value divided by the sum over its keys; a zero sum leaves zero."""
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    sums = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum(value).alias("_sum"))
     share = F.when(F.col("_sum") != 0, F.col(value) / F.col("_sum")).otherwise(0.0)
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(sums[k]) for k in keys])
-    return df.join(sums, same).select(*[df[c] for c in df.columns], share.alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(sums, same).select(*df.columns, share.alias(name))
 
 
 def accumulate(parts: DataFrame, keys: list[str], value: str) -> DataFrame:
