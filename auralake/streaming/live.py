@@ -152,8 +152,9 @@ def _advance(machine, newest: tuple, frames: pd.DataFrame) -> tuple[tuple, list[
     return max([newest, *keys]), out
 
 
-def run_live(frames: DataFrame, machine: Callable[[], object], stream: str = "stream_id", timeout_ms: int = 600_000) -> DataFrame:
-    """The streaming form: rows of the machine's output by stream, in append mode."""
+def run_live(frames: DataFrame, machine: Callable[[], object], stream: str = "stream_id", timeout_ms: int | None = 600_000) -> DataFrame:
+    """The streaming form: rows of the machine's output by stream, in append mode. Without a timeout no stream is forgotten,
+    and a query over a finite source ends."""
     schema = f"{stream} {frames.schema[stream].dataType.simpleString()}, utt_seq int, {machine().output}"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -163,12 +164,13 @@ def run_live(frames: DataFrame, machine: Callable[[], object], stream: str = "st
         held, newest = pickle.loads(state.get[0]) if state.exists else (machine(), (-1, -1))
         newest, out = _advance(held, newest, pd.concat(list(batches)))
         state.update((pickle.dumps((held, newest)),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         for rows in out:
             rows.insert(0, stream, key[0])
             yield rows
 
-    return frames.groupBy(stream).applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy(stream).applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def over_batch(frames: DataFrame, machine: Callable[[], object], stream: str = "stream_id") -> DataFrame:

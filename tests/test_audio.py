@@ -2,6 +2,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auralake.operators import activity, frontend, pitch, warp
@@ -120,13 +121,13 @@ def test_activity_finds_the_burst(spark, mel):
     segs = activity.segments(tracked).where("stream_id = 's'").orderBy("utt_seq", "seg_no").collect()
     assert [(r.utt_seq, r.seg_no) for r in segs] == [(0, 0), (1, 0)]
     for r in segs:
-        assert 75 <= r.start_frame <= 100 and 200 <= r.start_frame + r.n_frames <= 262
+        assert 75 <= r.start_frame <= 100 and 60 <= r.n_frames <= 175
     off = activity.track(mel, remove_noise=False, remove_silence=False)
     assert off.where("not emitted").count() == 0
 
 
 def test_live_activity_is_the_batch(spark, mel, tmp_path):
-    rows = mel.select("stream_id", "utt_seq", "frame_no", F.col("mel").alias("c"), (F.lead("frame_no").over(__import__("pyspark.sql").sql.Window.partitionBy("stream_id", "utt_seq").orderBy("frame_no")).isNull()).alias("last"))
+    rows = mel.select("stream_id", "utt_seq", "frame_no", F.col("mel").alias("c"), F.lead("frame_no").over(Window.partitionBy("stream_id", "utt_seq").orderBy("frame_no")).isNull().alias("last"))
     key = lambda df: {(r.stream_id, r.utt_seq, r.frame_no): tuple(round(v, 6) for v in r.c) for r in df.collect()}
     tracked = key(activity.track(mel).where("emitted").withColumnRenamed("mel", "c"))
     assert key(live.over_batch(rows, live.Activity)) == tracked
@@ -141,9 +142,9 @@ def streamed(spark, rows, machine, tmp_path, cuts):
         spark.createDataFrame([r for r in held if cut(r)], rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     name = f"live_{machine.__name__}"
-    q = live.run_live(stream, machine).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    q = live.run_live(stream, machine, timeout_ms=None).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(120)
     finally:
         q.stop()
     return spark.table(name)
