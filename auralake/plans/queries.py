@@ -342,10 +342,57 @@ def yin_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitch.track(frontend.frames(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), ["stream_id", "utt_seq"], fe.rate)
 
 
-@query()
+@query(f"""WITH {MODEL.strip()}, tri AS (SELECT DISTINCT word AS a, n1 AS b, n2 AS c FROM (
+    SELECT word, lead(word, 1) OVER w AS n1, lead(word, 2) OVER w AS n2 FROM dt WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE n2 IS NOT NULL
+), blank AS (SELECT DISTINCT b AS word, c AS nxt FROM tri ANTI JOIN bi ON bi.word = tri.b AND bi.nxt = tri.c)
+SELECT ord, count(*) AS n, count(*) FILTER (is_blank) AS n_blank, round(sum(p), 2) AS total FROM (
+    SELECT 1 AS ord, p, false AS is_blank FROM uni UNION ALL SELECT 2, p, false FROM bi UNION ALL SELECT 3, -0.5, false FROM tri
+    UNION ALL SELECT 2, u.p + {BACKOFF}, true FROM blank JOIN uni u ON u.word = blank.nxt) GROUP BY ord""")
 def lm_suffix_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in model with trigrams of which some lack their suffix, closed."""
+    """The stand-in model with all trigrams, many of which lack their suffix, closed; by order, how many n-grams and blanks."""
     t = text.tokens(table(spark, sf_dir, "documents"), keys=["doc_id"])
     by = Window.partitionBy("doc_id").orderBy("pos")
     tri = t.select(F.array("word", F.lead("word", 1).over(by), F.lead("word", 2).over(by)).alias("words")).where(F.col("words")[2].isNotNull()).distinct().select(F.lit(3).alias("ord"), "words", F.lit(-0.5).alias("log10_p"), F.lit(None).cast("double").alias("log10_bo"))
-    return lm_edit.close_suffixes(_model(spark, sf_dir).union(tri), 3)
+    closed = lm_edit.close_suffixes(_model(spark, sf_dir).union(tri), 3)
+    return closed.groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_blank"), 1)).alias("n_blank"), F.round(F.sum("log10_p"), 2).alias("total"))
+
+
+@query(f"WITH {MODEL.strip()} SELECT word, row_number() OVER (ORDER BY word <> '<UNK>', word) - 1 AS wid FROM (SELECT word FROM uni UNION SELECT '<UNK>')")
+def vocab_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = text.tokens(table(spark, sf_dir, "documents"), keys=[]).select("word").distinct()
+    return lm_edit.numbered_vocabulary(words.union(spark.createDataFrame([("<UNK>",)], "word string")))
+
+
+LW, WIP = 9.5, 0.7
+
+
+@query(f"""{SCORED} SELECT conv_id, turn, sum(CAST(trunc(trunc(lp / (ln(1.0001) / ln(10))) * {LW} + trunc(ln({WIP}) / ln(1.0001))) AS BIGINT)) AS score FROM scored GROUP BY conv_id, turn""")
+def lm_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer scores with a language weight and an insertion penalty."""
+    return _scored(spark, sf_dir).groupBy("conv_id", "turn").agg(F.sum(ngram.weighted(F.col("log10_p"), LW, WIP).cast("long")).alias("score"))
+
+
+@query("""WITH f AS (SELECT user_id, value > 20 AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no FROM events
+), g AS (SELECT user_id, frame_no, frame_no - row_number() OVER (PARTITION BY user_id ORDER BY frame_no) AS g FROM f WHERE e
+), s AS (SELECT user_id, min(frame_no) AS start_frame, count(*) AS n_frames FROM g GROUP BY user_id, g)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_frame) - 1 AS seg_no, start_frame, n_frames FROM s""")
+def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of frames that are let out, here those of values above 20."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    frames = table(spark, sf_dir, "events").select("user_id", F.lit(0).alias("utt_seq"), (F.col("value") > 20).alias("emitted"), (F.row_number().over(by) - 1).alias("frame_no"))
+    return activity.segments(frames, "user_id").select("user_id", "seg_no", "start_frame", "n_frames")
+
+
+@query(f"""WITH {ARCS.strip()}, n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY a <> 0, a, b) AS line_no, printf('%d %d <eps> %f', a, b, -logp) AS line FROM arcs)
+SELECT conv_id AS fsg, line_no, line FROM n UNION ALL SELECT conv_id, count(*) + 1, '9 0' FROM arcs GROUP BY conv_id""")
+def fsm_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.fsm_lines(graph.add_arcs(_arcs(spark, sf_dir)), 0, 9).withColumn("fsg", F.col("fsg"))
+
+
+@query(f"""WITH {FRAMES.strip()}, p AS (SELECT label, dim, abs(x) AS v FROM cells), s AS (SELECT label, dim, sum(v) AS v FROM p GROUP BY label, dim)
+SELECT label, dim, round(v / sum(v) OVER (PARTITION BY label), 6) AS share FROM s""")
+def norm_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accumulated cells, normalised over their last axis."""
+    cells = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("dim", "v"))
+    shares = vectors.normalise(vectors.accumulate(cells, ["label", "dim"], "v"), ["label"], "v", "share")
+    return shares.select("label", "dim", F.round("share", 6).alias("share"))
