@@ -93,11 +93,11 @@ class Rule:
 RULES = (
     Rule("symbols", "n_symbols > 0.1 * n_words", "n_symbols < 0.02 * n_words"),
     Rule("repeats", "n_repeat_words > 0.2 * n_words", "n_words >= 20 and n_repeat_words < 0.02 * n_words"),
-    Rule("dup_lines", "n_dup_lines > 0.3 * n_lines", "n_lines >= 2 and n_dup_lines = 0"),
+    Rule("dup_lines", "n_dup_lines >= 3 and n_dup_lines > 0.3 * n_lines", "n_lines >= 2 and n_dup_lines = 0"),
     Rule("capitals", "n_upper > 0.3 * word_chars", "n_words >= 10 and n_upper < 0.1 * word_chars"),
     Rule("shouting", "n_shouts > 0.1 * n_words", "n_words >= 10 and n_shouts < 0.02 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", "word_chars between 3 * n_words and 12 * n_words"),
-    Rule("variety", "n_words between 50 and 2000 and n_types < 0.2 * n_words", "n_words between 50 and 2000 and n_types > 0.35 * n_words"),
+    Rule("variety", "(n_words between 12 and 60 and n_types <= 0.5 * n_words) or (n_words between 61 and 2000 and n_types < 0.2 * n_words)", "n_words between 50 and 2000 and n_types > 0.35 * n_words"),
 )
 
 
@@ -127,6 +127,7 @@ class VoteModel:
         out = out.withColumn("_al_all", sum(parts[1:], parts[0]))
         return out.withColumns({f"_al_c{c}": x / F.col("_al_all") for c, x in enumerate(parts)}).drop("_al_all", *[f"_al_j{c}" for c in range(len(parts))])
 
+
 def fit(votes: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = 25) -> VoteModel:
     """EM over the counts of vote patterns (a column n beside one of each rule); 3^len(rules) rows at most.
 
