@@ -14,7 +14,7 @@ group is large, and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -104,21 +104,23 @@ def links(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, its fingerprint `f` (signed long) and component_id: the least id of its near-duplicate class.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Each row's id, its fingerprint `f` (signed long), `root` and component_id: the least fingerprint and the least
+    id of its near-duplicate class; then the columns named in carry. No two classes share a root; they may share a
+    component_id, where ids repeat or are null.
 
     Null, empty and blank texts have fingerprint zero and link like any other. Ids that repeat are one
     document for every row's class; null ids never name a class unless it has no other id. An empty table gives an
     empty result."""
     scratch = common.Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("f")), "marked")
+    marked = scratch.write(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("f"), *carry), "marked")
     nodes = scratch.write(marked.groupBy("f").agg(F.min("doc_id").alias("least")), "nodes")
     found = links(nodes.select("f"), scratch)
     roots = scratch.write(components(found.select(F.col("f").alias("a"), F.col("g").alias("b")), scratch), "roots")
     rooted = nodes.join(roots.select(F.col("a").alias("f"), F.col("b").alias("_al_b")), "f", "left").withColumn("root", F.coalesce("_al_b", "f"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("f", "root").join(least, "root").select("f", "component_id")
-    return marked.join(named, "f").select("doc_id", "f", "component_id")
+    named = rooted.select("f", "root").join(least, "root").select("f", "root", "component_id")
+    return marked.join(named, "f").select("doc_id", "f", "root", "component_id", *carry)
 
 
 def as_hex(f: Column) -> Column:
