@@ -1,7 +1,7 @@
 """Noise tracking, noise removal and voice activity: recurrences over the frames of a stream.
 
 A stream is one group of rows, in the order of its utterances and frames; its state passes from one frame to the next,
-vectorised over the filters. The same state object serves batches (applyInPandas by stream) and live streams."""
+vectorised over the filters. The same state object serves batches (sorted, by stream) and live streams."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The constants of the noise tracker and of the hangover.
 POWER = 0.7
@@ -117,25 +118,43 @@ def segments_of(speech: np.ndarray, pre: int = PRE_SPEECH, start: int = START_SP
 def track(mel: DataFrame, stream: str = "stream_id", utterance: str = "utt_seq", remove_noise: bool = True, remove_silence: bool = True, threshold: float = VAD_THRESHOLD) -> DataFrame:
     """stream, utterance, frame_no, mel (with less noise), speech (of the frame itself) and emitted (after hangover).
 
-    Streams run in parallel; within one, order matters, so utterances need their number."""
+    Streams run in parallel; within one, order matters, so utterances need their number. Its frames pass in sorted batches,
+    of which the state and the few frames that the hangover may still let out stay in memory."""
     kind = mel.schema[stream].dataType.simpleString()
     uk = mel.schema[utterance].dataType.simpleString()
 
-    def run(key: tuple, rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([utterance, "frame_no"], kind="stable").reset_index(drop=True)
-        tracker, out, speech = NoiseTracker(remove_noise, remove_silence, threshold), [], np.zeros(len(rows), dtype=bool)
-        for i, m in enumerate(rows["mel"]):
-            clean, speech[i] = tracker.step(np.asarray(m, dtype=float))
-            out.append(clean)
-        emitted = np.zeros(len(rows), dtype=bool)
-        for _, at in rows.groupby(utterance, sort=False, dropna=False).indices.items():
-            h = Hangover()
-            for i in at:
-                for k in h.step(i, bool(speech[i])) if remove_silence else [i]:
-                    emitted[k] = True
-        return pd.DataFrame({stream: rows[stream], utterance: rows[utterance], "frame_no": rows["frame_no"], "mel": out, "speech": speech, "emitted": emitted})
-
-    return mel.groupBy(stream).applyInPandas(run, f"{stream} {kind}, {utterance} {uk}, frame_no int, mel array<double>, speech boolean, emitted boolean")
+    def same(a: object, b: object) -> bool:
+        return a == b or (a != a and b != b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: list[list] = []  # the hangover may still let out the last ones
+        last = tracker = hangover = None
+
+        def leave(n: int) -> Iterator[pa.RecordBatch]:
+            if n > 0:
+                out = list(zip(*open_rows[:n], strict=True))
+                del open_rows[:n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types, strict=True)], [stream, utterance, "frame_no", "mel", "speech", "emitted"])
+
+        for batch in batches:
+            ids = [batch.column(stream), batch.column(utterance)]
+            types = [*[c.type for c in ids], pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.bool_()]
+            for s, u, no, m in zip(*[c.to_pylist() for c in ids], batch.column("frame_no").to_pylist(), batch.column("mel").to_pylist(), strict=True):
+                if last is None or not same(s, last[0]):
+                    tracker, hangover = NoiseTracker(remove_noise, remove_silence, threshold), Hangover()
+                elif not same(u, last[1]):
+                    hangover = Hangover()
+                last = (s, u)
+                clean, speech = tracker.step(np.asarray(m, dtype=float))
+                row = [s, u, no, clean, bool(speech), False]
+                open_rows.append(row)
+                for r in hangover.step(row, speech) if remove_silence else [row]:
+                    r[-1] = True
+            yield from leave(len(open_rows) - hangover.pre - 1 if hangover else 0)
+        yield from leave(len(open_rows))
+
+    ordered = mel.select(stream, utterance, "frame_no", "mel").repartition(stream).sortWithinPartitions(F.col(stream), F.col(utterance).asc_nulls_last(), "frame_no")
+    return ordered.mapInArrow(run, f"{stream} {kind}, {utterance} {uk}, frame_no int, mel array<double>, speech boolean, emitted boolean")
 
 
 def segments(tracked: DataFrame, stream: str = "stream_id", utterance: str = "utt_seq", frame_rate: int = 100) -> DataFrame:

@@ -156,6 +156,22 @@ def frames(utterances: DataFrame, fe: FrontEnd, keys: list[str], pcm: str = "pcm
     return cut.where(start < F.size("_pcm")).select(*keys, "frame_no", F.slice("_pcm", start + 1, F.lit(fe.size)).alias("samples"), prior.cast("double").alias("prior"))
 
 
+def frames_of_rows(samples: DataFrame, fe: FrontEnd, keys: list[str], value: str = "value", index: str = "i") -> DataFrame:
+    """As `frames`, from one row for each sample, numbered from 0 by `index`: a row goes to the frames that hold it or
+    begin after it, so no row holds more than a frame."""
+    i, k = F.col(index), F.col("frame_no")
+    to = F.sequence(F.greatest(F.lit(0), F.ceil((i - fe.size + 1) / F.lit(fe.shift))).cast("int"), F.floor((i + 1) / F.lit(fe.shift)).cast("int"))
+    near = samples.where(i <= fe.size - 1 + F.floor((i + 1) / F.lit(fe.shift)) * fe.shift)  # between frames further apart than their size
+    met = near.select(*keys, F.explode(to).alias("frame_no"), i.cast("long").alias("_i"), F.col(value).alias("_v"))
+    held = F.sort_array(F.collect_list(F.struct("_i", "_v")))
+    cut = met.groupBy(*keys, "frame_no").agg(F.max("_i").alias("_last"), held.alias("_s"))
+    start = k.cast("long") * fe.shift
+    cut = cut.where((F.col("_last") >= start) & ((k == 0) | (F.col("_last") >= start - fe.shift + fe.size - 1)))
+    own = F.transform(F.filter("_s", lambda s: s["_i"] >= start), lambda s: s["_v"])
+    prior = F.when(F.col("_s")[0]["_i"] < start, F.col("_s")[0]["_v"]).otherwise(F.lit(0))
+    return cut.select(*keys, "frame_no", own.alias("samples"), prior.cast("double").alias("prior"))
+
+
 def dither(pcm: Column, seed: int) -> Column:
     """Each sample one higher with a chance of a quarter, drawn by a Mersenne Twister started afresh for each utterance."""
 

@@ -36,10 +36,11 @@ def search(d: np.ndarray, threshold: float, low: int = 0, high: int | None = Non
     return low + int(below[0] if len(below) else part.argmin())
 
 
-def track(framed: DataFrame, keys: list[str], rate: float, threshold: float = 0.1, spread: float = 0.2, smooth: int = 2, shift: int | None = None) -> DataFrame:
+def track(framed: DataFrame, keys: list[str], rate: float, threshold: float = 0.1, spread: float = 0.2, smooth: int = 2, shift: int | None = None, block: int | None = None) -> DataFrame:
     """keys, frame_no, t, voicing and f0 of frames (keys, frame_no, samples).
 
-    Of ties the frame's own period stays. A period of zero reads as the sampling rate."""
+    Of ties the frame's own period stays. A period of zero reads as the sampling rate. With block, which needs frame
+    numbers without gaps, smoothing works on blocks of so many frames, and a long utterance fills no single task."""
 
     @F.pandas_udf("period int, diff double, d array<double>")
     def own(samples: pd.Series) -> pd.DataFrame:
@@ -59,9 +60,15 @@ def track(framed: DataFrame, keys: list[str], rate: float, threshold: float = 0.
         return pd.DataFrame(out, columns=["period", "diff"])
 
     first = framed.select(*keys, "frame_no", own("samples").alias("_o"))
-    near = Window.partitionBy(*keys).orderBy("frame_no").rowsBetween(-smooth, smooth)
+    parts = keys
+    if block:  # a frame also goes to the block that ends or begins within its neighbourhood
+        ends = F.array(F.floor((F.col("frame_no") - smooth) / block), F.floor(F.col("frame_no") / block), F.floor((F.col("frame_no") + smooth) / block))
+        first, parts = first.withColumn("_part", F.explode(F.array_distinct(ends))), [*keys, "_part"]
+    near = Window.partitionBy(*parts).orderBy("frame_no").rowsBetween(-smooth, smooth)
     best = F.min(F.struct(F.col("_o.diff").alias("diff"), F.col("frame_no").alias("at"), F.col("_o.period").alias("period"))).over(near)
     met = first.withColumn("_b", best)
+    if block:
+        met = met.where(F.col("_part") == F.floor(F.col("frame_no") / block))
     choice = F.when(F.col("_b.diff") < F.col("_o.diff"), F.col("_b.period")).otherwise(F.col("_o.period"))
     met = met.withColumn("_r", again(F.col("_o.d"), F.col("_o.period"), choice))
     step = (shift or int(rate / 100 + 0.5)) / rate

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logmath, text, vectors
 from ..operators import activity, dynamic, frontend, graph, lm_edit, ngram, normalise, pitch
+from ..tables import cut
 
 BACKOFF = -0.4
 MATRIX = [[0.5, -0.25, 0.0, 1.0], [1.0, 1.0, -1.0, 0.125], [0.0, 2.0, 0.5, -0.5]]
@@ -306,11 +307,19 @@ def fsg_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's values as one utterance, in order of time, scaled to samples."""
-    e = table(spark, sf_dir, "events")
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
-    pcm = F.transform(ordered, lambda s: F.least(F.greatest(F.round(s["value"] * 100), F.lit(-32768)), F.lit(32767)).cast("smallint"))
-    return e.groupBy(F.col("user_id").alias("stream_id")).agg(pcm.alias("pcm")).withColumn("utt_seq", F.lit(0))
+    """Each user's values as one utterance, scaled to samples: a row for each, numbered in order of time. Ranges of users
+    and times are numbered apart and moved by what lies before them, so a user of any size fills no single task."""
+    sample = F.least(F.greatest(F.round(F.col("value") * 100), F.lit(-32768)), F.lit(32767)).cast("smallint")
+    order = ["stream_id", "ts", "event_id", "value"]
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), "ts", "event_id", "value")
+    dealt = cut(e.repartitionByRange(*order).select(*order, F.spark_partition_id().alias("part")))
+    counts = dealt.groupBy(F.col("stream_id").alias("_s"), F.col("part").alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.select("_s", "_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("stream_id", "part").orderBy("ts", "event_id", "value")) - 1
+    numbered = dealt.select("stream_id", "part", sample.alias("value"), own.alias("_own"))
+    met = numbered.join(moved, numbered.stream_id.eqNullSafe(moved._s) & (numbered.part == moved._p))
+    return met.select("stream_id", F.lit(0).alias("utt_seq"), (F.col("_own") + F.col("_before")).alias("i"), "value")
 
 
 SMALL = dict(rate=1000.0, frame_rate=100, window=0.032, n_fft=32, n_filt=8, n_cep=6, low=20.0, high=480.0, round_filters=False)
@@ -318,7 +327,7 @@ SMALL = dict(rate=1000.0, frame_rate=100, window=0.032, n_fft=32, n_filt=8, n_ce
 
 def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     fe = frontend.FrontEnd(**SMALL)
-    return frontend.mel_spectra(frontend.frames(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), fe)
+    return frontend.mel_spectra(frontend.frames_of_rows(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), fe)
 
 
 @query()
@@ -339,7 +348,7 @@ def noise_vad(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def yin_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     fe = frontend.FrontEnd(**SMALL)
-    return pitch.track(frontend.frames(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), ["stream_id", "utt_seq"], fe.rate)
+    return pitch.track(frontend.frames_of_rows(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), ["stream_id", "utt_seq"], fe.rate, block=4096)
 
 
 @query(f"""WITH {MODEL.strip()}, tri AS (SELECT DISTINCT word AS a, n1 AS b, n2 AS c FROM (

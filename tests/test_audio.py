@@ -216,3 +216,46 @@ def test_typed_arrays(shape):
     assert head["version"] == "1.0" and got.shape == shape and (got == x).all()
     with pytest.raises(ValueError):
         frames.decode_array(data[:-1] + bytes([data[-1] ^ 1]))
+
+
+def test_frames_of_rows_are_those_of_arrays(spark):
+    for fe in (frontend.FrontEnd(rate=1000.0, window=0.032, n_fft=32, low=20.0, high=480.0), frontend.FrontEnd(rate=1000.0, frame_rate=50, window=0.012, n_fft=32, low=20.0, high=480.0)):
+        pcm = [(None if n == 43 else n, 0, [(k * 7919) % 601 - 300 for k in range(n)]) for n in (1, 9, 10, 11, 12, 13, 20, 31, 32, 33, 41, 42, 43, 57)]
+        u = spark.createDataFrame(pcm, "stream_id int, utt_seq int, pcm array<smallint>")
+        rows = u.select("stream_id", "utt_seq", F.posexplode("pcm").alias("i", "value"))
+        want, got = frontend.frames(u, fe, ["stream_id", "utt_seq"]), frontend.frames_of_rows(rows, fe, ["stream_id", "utt_seq"])
+        assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_activity_is_the_same_in_any_batches(spark, mel):
+    mel = mel.unionByName(mel.where("stream_id = 't'").withColumn("stream_id", F.lit(None).cast("string")))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = sorted(map(repr, activity.track(mel).collect()))
+    was = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        assert sorted(map(repr, activity.track(mel).collect())) == whole and len(whole) == mel.count()
+    finally:
+        spark.conf.set(size, was)
+
+
+def test_pitch_is_the_same_in_blocks(spark):
+    x = np.random.default_rng(3).normal(0, 3000, 9000).astype(np.int16)
+    u = spark.createDataFrame([("u", 0, x.tolist()), ("v", 0, tone(320, 4000).tolist())], "stream_id string, utt_seq int, pcm array<smallint>")
+    framed = frontend.frames(u, FE, ["stream_id", "utt_seq"])
+    track = lambda **k: sorted(map(repr, pitch.track(framed, ["stream_id", "utt_seq"], FE.rate, **k).collect()))
+    assert track(block=6) == track(block=4) == track()
+
+
+def test_signal_queries_hold_no_stream_in_a_row(spark):
+    from auralake.plans import queries as plans
+
+    samples = plans._signal(spark, "/root/testdata/sf0.001")
+    assert not [c for c, kind in samples.dtypes if kind.startswith("array")]
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert samples.count() == events.count()
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = events.select("user_id", (F.row_number().over(by) - 1).alias("i"), F.round(F.col("value") * 100).cast("smallint").alias("v"))
+    assert sorted(map(tuple, samples.select("stream_id", "i", "value").collect())) == sorted(map(tuple, want.collect()))
+    plan = plans.noise_vad(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
