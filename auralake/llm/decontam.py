@@ -2,8 +2,9 @@
 
 Each batch of documents that a task reads is a shard. Its words become numbers of the benchmark's vocabulary;
 runs of known words too short to hold a window are left out, since no match can touch them; the suffixes of
-the rest are sorted, and every suffix of the benchmark is binary-searched among them, all at once. The search
-gives the longest verbatim match of each and the documents and places where a whole window occurs.
+the rest are sorted, and every distinct window of the benchmark is binary-searched among them, all at once. The
+search gives the documents and places where a whole window occurs. Longest matches of the benchmark's suffixes are
+there only where `search` is asked for them; the operator doesn't ask.
 
 The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, one pass for each block, so what is
 broadcast stays bounded however long the benchmark is. Documents don't move: only (document, item) matches do.
