@@ -24,18 +24,19 @@ def add_arcs(arcs: DataFrame, new: DataFrame | None = None) -> DataFrame:
 
 def close_epsilon(arcs: DataFrame, rounds: int = 64) -> DataFrame:
     """arcs with all compositions of epsilon arcs, each pair of states once with the likeliest path. Composing arcs of
-    probability one at most never improves a cycle, so the rounds end on cyclic graphs as well."""
-    own = cut(add_arcs(arcs.where("word is null")).select(*ENDS, "logp"))
-    before = None
+    probability one at most never improves a cycle, so the rounds end on cyclic graphs as well: with the first one that finds
+    no new or better arc anywhere."""
+    own = cut(add_arcs(arcs.where("word is null")).select(*ENDS, "logp", F.lit(True).alias("_new")))
     for _ in range(rounds):
-        state = own.agg(F.count(F.lit(1)), F.sum("logp")).first()
-        if before is not None and state[0] == before[0] and (state[1] is None or abs(state[1] - before[1]) <= 1e-12 * abs(before[1])):
+        if not own.where("_new").limit(1).count():
             break
-        before = state
         x = own.select("fsg", "from_state", F.col("to_state").alias("_mid"), F.col("logp").alias("_x"))
         y = own.select("fsg", F.col("from_state").alias("_mid"), "to_state", F.col("logp").alias("_y"))
-        paths = x.join(y, ["fsg", "_mid"]).where("from_state <> to_state").select(*ENDS, (F.col("_x") + F.col("_y")).alias("logp"))
-        own = cut(own.union(paths).groupBy(*ENDS).agg(F.max("logp").alias("logp")))
+        paths = x.join(y, ["fsg", "_mid"]).where("from_state <> to_state").select(*ENDS, (F.col("_x") + F.col("_y")).alias("logp"), F.lit(None).cast("double").alias("_had"))
+        both = own.select(*ENDS, "logp", F.col("logp").alias("_had")).union(paths).groupBy(*ENDS).agg(F.max("logp").alias("logp"), F.max("_had").alias("_had"))
+        # a path counts as better from the last digits on, so that sums in another order aren't news
+        better = F.col("_had").isNull() | (F.col("logp") > F.col("_had") + F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs("_had")))
+        own = cut(both.select(*ENDS, "logp", better.alias("_new")))
     else:
         raise RuntimeError(f"the closure didn't settle in {rounds} rounds")
     return arcs.where("word is not null").select(*ENDS, "logp", "word").union(own.select(*ENDS, "logp", F.lit(None).cast("string").alias("word")))

@@ -36,8 +36,8 @@ def read_frames(spark: SparkSession, path: str, width: int = 13) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.posexplode(rows("content")).alias("frame_no", "c"))
 
 
-def frame_files(frames: DataFrame, utterance: str, kind: str = "sphinx", frame_rate: int = 100, logspec: bool = False) -> DataFrame:
-    """(utterance, content): one file for each. kind `sphinx` is native count and floats; `htk` is big-endian with a period
+def frame_files(frames: DataFrame, utterance: str, kind: str = "counted", frame_rate: int = 100, logspec: bool = False) -> DataFrame:
+    """(utterance, content): one file for each. kind `counted` is a native count and floats; `htk` is big-endian with a period
     header, the zeroth coefficient last; `text` has a line for each frame."""
     schema = f"{utterance} {frames.schema[utterance].dataType.simpleString()}, content binary"
 

@@ -14,26 +14,37 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import add_arcs
+from ..operators.graph import add_arcs, close_epsilon
 from .lines import clean, numbered
 
 ARC = "fsg string, from_state int, to_state int, logp double, word string"
 
 
-def read_fsg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(graphs, arcs): fsg, n_state, start, final, and the arcs. Short keywords are the long ones' first letters. A probability
-    outside (0, 1] or a state out of range is an error."""
+def read_fsg(spark: SparkSession, path: str, lw: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(graphs, arcs): fsg, n_state, start, final; and the arcs with their epsilon closure.
+
+    Short keywords are the long ones' first letters. Log weights are times lw, the language weight. A probability
+    outside (0, 1], a line that isn't an arc, a header number that is missing, or a state out of range is an error. Graphs
+    of one name in different files stay apart: each is named `file#name` where its name isn't unique."""
     lines = clean(numbered(spark, path)).withColumn("f", F.split("line", r"\s+"))
     by = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     key = F.when(F.col("f")[0].isin("NUM_STATES", "N"), "n_state").when(F.col("f")[0].isin("START_STATE", "S"), "start").when(F.col("f")[0].isin("FINAL_STATE", "F"), "final").when(F.col("f")[0].isin("TRANSITION", "T"), "arc")
     name = F.last(F.when(F.col("f")[0] == "FSG_BEGIN", F.coalesce(F.get("f", F.lit(1)), F.lit(""))), ignorenulls=True).over(by)
-    rows = lines.select(name.alias("fsg"), key.alias("key"), "f").where("key is not null")
-    number = lambda k: F.max(F.when(F.col("key") == k, F.col("f")[1].cast("int"))).alias(k)
-    graphs = rows.groupBy("fsg").agg(number("n_state"), number("start"), number("final"))
-    p = F.expr("try_cast(f[3] as double)")
+    rows = lines.select("file", name.alias("fsg"), key.alias("key"), "f").where("key is not null")
+    number = lambda k: F.max(F.when(F.col("key") == k, F.expr("try_cast(f[1] as int)"))).alias(k)
+    graphs = rows.groupBy("file", "fsg").agg(number("n_state"), number("start"), number("final"))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("fsg")) > 1
+    named = F.when(twice, F.concat_ws("#", F.regexp_extract("file", "([^/]*)$", 1), "fsg")).otherwise(F.col("fsg"))
+    whole = (F.col("start") >= 0) & (F.col("start") < F.col("n_state")) & (F.col("final") >= 0) & (F.col("final") < F.col("n_state"))
+    wrong = F.raise_error(F.concat(F.lit("a graph's states are missing or out of range: "), "fsg"))
+    graphs = graphs.withColumn("n_state", F.when(whole, F.col("n_state")).otherwise(wrong.cast("int"))).withColumn("_name", named)
+    state = lambda i: F.expr(f"try_cast(f[{i}] as int)")
+    p = F.expr("try_cast(get(f, 3) as double)")
+    inside = (state(1) >= 0) & (state(1) < F.col("n_state")) & (state(2) >= 0) & (state(2) < F.col("n_state")) & (p > 0) & (p <= 1)
     bad = F.raise_error(F.concat(F.lit("not an arc: "), F.array_join("f", " "))).cast("double")
-    arcs = rows.where("key = 'arc'").select("fsg", F.col("f")[1].cast("int").alias("from_state"), F.col("f")[2].cast("int").alias("to_state"), F.when((p > 0) & (p <= 1), F.log(p)).otherwise(bad).alias("logp"), F.get("f", F.lit(4)).alias("word"))
-    return graphs, add_arcs(arcs)
+    met = rows.where("key = 'arc'").join(graphs.select("file", "fsg", "n_state", "_name"), ["file", "fsg"])
+    arcs = met.select(F.col("_name").alias("fsg"), state(1).alias("from_state"), state(2).alias("to_state"), F.when(inside, F.log(p) * lw).otherwise(bad).alias("logp"), F.get("f", F.lit(4)).alias("word"))
+    return graphs.select(F.col("_name").alias("fsg"), "n_state", "start", "final"), close_epsilon(add_arcs(arcs))
 
 
 @dataclass

@@ -10,7 +10,8 @@ def cut(df: DataFrame) -> DataFrame:
     that names none gets one on this machine."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        local = spark.sparkContext.master.startswith("local")
-        own = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-        spark.sparkContext.setCheckpointDir(own)
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        spark.sparkContext.setCheckpointDir(own or "file:///tmp/checkpoints")
     return df.checkpoint()

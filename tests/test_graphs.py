@@ -37,7 +37,20 @@ def table(df):
 
 def test_reading_keeps_the_best_and_drops_epsilon_loops(arcs):
     t = table(arcs)
-    assert t[0, 1, "go"] == 0 and (3, 3, None) not in t and len(t) == 5
+    assert t[0, 1, "go"] == 0 and (3, 3, None) not in t and len(t) == 6
+    assert t[1, 3, None] == pytest.approx(math.log(0.125))  # closed as it is read
+
+
+def test_reading_refuses_what_is_out_of_range(spark, tmp_path):
+    for i, (line, head) in enumerate([("T 0 4 0.5 go", "N 4"), ("T -1 1 0.5 go", "N 4"), ("T 0 1 1.5 go", "N 4"), ("T 0 x 0.5 go", "N 4"), ("T 0 1 0.5 go", "N 3"), ("T 0 1", "N 4")]):
+        (tmp_path / f"{i}.fsg").write_text(f"FSG_BEGIN g\n{head}\nS 0\nF 3\n{line}\nFSG_END\n")
+        with pytest.raises(Exception, match="not an arc|out of range"):
+            graphs.read_fsg(spark, str(tmp_path / f"{i}.fsg"))[1].collect()
+    for i in (7, 8):
+        (tmp_path / f"{i}.two").write_text(f"FSG_BEGIN g\nN 2\nS 0\nF 1\nT 0 1 0.5 w{i}\n")
+    g, a = graphs.read_fsg(spark, str(tmp_path / "*.two"), lw=2.0)
+    assert {r.fsg for r in g.collect()} == {"7.two#g", "8.two#g"}
+    assert {(r.fsg, r.word): pytest.approx(r.logp) for r in a.collect()} == {(f"{i}.two#g", f"w{i}"): 2 * math.log(0.5) for i in (7, 8)}
 
 
 def test_closure_of_a_cycle(arcs):
@@ -51,7 +64,7 @@ def test_editing_and_queries(arcs):
     s = table(graph.add_silence(arcs, -3.0))
     assert [s[i, i, "<sil>"] for i in range(4)] == [-3.0] * 4
     assert table(graph.add_alternative(arcs, "go", "go(2)"))[0, 1, "go(2)"] == 0
-    assert graph.between(arcs, 1, 2, epsilon=True).count() == 1 and [r.word for r in graph.leaving(arcs, 1).collect()] == ["one", None]
+    assert graph.between(arcs, 1, 2, epsilon=True).count() == 1 and [r.word for r in graph.leaving(arcs, 1).collect()] == ["one", None, None]
     assert [(r.wid, r.word) for r in graph.vocabulary(arcs).orderBy("wid").collect()] == [(0, "go"), (1, "one")]
 
 
