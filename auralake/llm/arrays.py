@@ -1,7 +1,8 @@
 """Numpy arrays in the shared folder, memory-mapped by the workers.
 
-Where the folder is a file system of the machine, arrays are mapped in place. Elsewhere a worker fetches an array to
-its own temporary folder when it first needs it, and maps the copy."""
+Arrays are raw values of one type, written as a stream, so a task never holds one whole. Where the folder is a file system of the
+machine, arrays are mapped in place. Elsewhere a worker fetches an array when it first needs it, to one temporary
+folder of its own that goes when the worker ends, and maps the copy."""
 
 from __future__ import annotations
 
@@ -12,9 +13,35 @@ from urllib.parse import urlparse
 
 import numpy as np
 
+_own: list[tempfile.TemporaryDirectory] = []
+
+
+class Writer:
+    """Appends to an array that appears under its name when it is closed. A task that runs again writes the same anew."""
+
+    def __init__(self, arrays: SharedArrays, name: str):
+        self.arrays, self.name, self.part = arrays, name, f".{name}.{uuid.uuid4().hex}"
+        if arrays.local is not None:
+            os.makedirs(arrays.local, exist_ok=True)
+            self.file = open(f"{arrays.local}/{self.part}", "wb")
+        else:
+            self.files, self.root = arrays._remote()
+            self.files.create_dir(self.root, recursive=True)
+            self.file = self.files.open_output_stream(f"{self.root}/{self.part}")
+
+    def append(self, values: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(values).tobytes())
+
+    def close(self) -> None:
+        self.file.close()
+        if self.arrays.local is not None:
+            os.replace(f"{self.arrays.local}/{self.part}", f"{self.arrays.local}/{self.name}")
+        else:
+            self.files.move(f"{self.root}/{self.part}", f"{self.root}/{self.name}")
+
 
 class SharedArrays:
-    """Arrays by name under one folder. Writing is atomic, so a task that runs again does no harm."""
+    """Arrays by name under one folder."""
 
     def __init__(self, uri: str):
         self.uri, self.open = uri, {}
@@ -29,29 +56,16 @@ class SharedArrays:
 
         return fs.FileSystem.from_uri(self.uri)
 
-    def save(self, name: str, array: np.ndarray) -> None:
-        if self.local is not None:
-            os.makedirs(self.local, exist_ok=True)
-            part = f"{self.local}/.{name}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                np.save(f, array)
-            os.replace(part, f"{self.local}/{name}.npy")
-            return
-        files, root = self._remote()
-        files.create_dir(root, recursive=True)
-        part = f"{root}/.{name}.{uuid.uuid4().hex}"
-        with files.open_output_stream(part) as f:
-            np.save(f, array)
-        files.move(part, f"{root}/{name}.npy")
-
-    def load(self, name: str) -> np.ndarray:
+    def load(self, name: str, kind: type) -> np.ndarray:
         if name not in self.open:
-            path = f"{self.local}/{name}.npy"
+            path = f"{self.local}/{name}"
             if self.local is None:
+                if not _own:
+                    _own.append(tempfile.TemporaryDirectory(prefix="arrays-"))
                 files, root = self._remote()
-                path = os.path.join(tempfile.mkdtemp(prefix="arrays-"), f"{name}.npy")
-                with files.open_input_stream(f"{root}/{name}.npy") as src, open(path, "wb") as dst:
+                path = os.path.join(_own[0].name, f"{uuid.uuid4().hex}-{name}")
+                with files.open_input_stream(f"{root}/{name}") as src, open(path, "wb") as dst:
                     while block := src.read(1 << 22):
                         dst.write(block)
-            self.open[name] = np.load(path, mmap_mode="r")
+            self.open[name] = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
         return self.open[name]

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the word definition `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
@@ -13,12 +14,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`; where it is unset, a local run uses a
-    folder of this machine and a cluster uses its warehouse, which is shared as well."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Where it is unset, a local run uses a folder of this
+    machine; a cluster has no other folder that is known to be shared, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/auralake/{spark.sparkContext.applicationId}"
 
 
@@ -46,14 +48,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt over all cores where the input comes in too few parts (a small file of one row group) to use them."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() * 2 <= cores else docs
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; none where it is null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
-def row_print(df: DataFrame) -> Column:
-    """A hash of all columns of a row; equal rows have equal prints."""
-    return F.xxhash64(F.lit(len(df.columns)), *[F.coalesce(F.xxhash64(F.lit(i), F.col(f"`{c}`").cast("string")), F.lit(i)) for i, c in enumerate(df.columns)])
+def _value_print(x: Column, kind: T.DataType, seed: int) -> Column:
+    """A hash of one value by its type; never null. Nested values hash with their sizes and the places of their nulls."""
+    inner = lambda y, k: _value_print(y, k, seed)
+    if isinstance(kind, T.ArrayType):
+        h = F.xxhash64(F.lit(seed), F.size(x), F.transform(x, lambda y: inner(y, kind.elementType)))
+    elif isinstance(kind, T.StructType):
+        h = F.xxhash64(F.lit(seed), *[inner(x.getField(f.name), f.dataType) for f in kind.fields])
+    elif isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(x), lambda e: F.xxhash64(inner(e["key"], kind.keyType), inner(e["value"], kind.valueType)))
+        h = F.xxhash64(F.lit(seed), F.size(x), F.array_sort(pairs))
+    elif isinstance(kind, T.VariantType):
+        h = F.xxhash64(F.lit(seed), F.to_json(x))
+    else:
+        h = F.xxhash64(F.lit(seed), x)
+    return F.when(x.isNull(), F.lit(seed).cast("long")).otherwise(h)
+
+
+def row_print(df: DataFrame, seed: int = 0) -> Column:
+    """A 64-bit hash of all columns of a row, of any type; equal rows have equal prints."""
+    return F.xxhash64(F.lit(seed), *[_value_print(F.col(f"`{f.name}`"), f.dataType, seed) for f in df.schema.fields])
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits of hash of all columns of a row, which stand for the row in joins."""
+    return F.struct(row_print(df, 0).alias("a"), row_print(df, 1).alias("b"))
 
 
 def id_remainder(doc_id: Column, n: int) -> Column:
@@ -64,3 +94,11 @@ def id_remainder(doc_id: Column, n: int) -> Column:
 def few(df: DataFrame, most: int) -> bool:
     """True if df has at most so many rows; the check before a broadcast."""
     return df.limit(most + 1).count() <= most
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind as it takes for no column of df to have it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

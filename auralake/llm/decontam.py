@@ -2,12 +2,13 @@
 
 Each batch of documents that a task reads is a shard. Its words become numbers of the benchmark's vocabulary;
 runs of known words too short to hold a window are left out, since no match can touch them; the suffixes of
-the rest are sorted, and every distinct window of the benchmark is binary-searched among them, all at once. The
-search gives the documents and places where a whole window occurs. Longest matches of the benchmark's suffixes are
-there only where `search` is asked for them; the operator doesn't ask.
+the rest are sorted, and every suffix of the benchmark is binary-searched among them by its first window, those that
+share one at once. From each place where a whole window occurs the match is followed as far as any suffix of the benchmark
+goes along: the longest verbatim match there, and where it lies in the document and in the benchmark.
 
-The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, one pass for each block, so what is
-broadcast stays bounded however long the benchmark is. Documents don't move: only (document, item) matches do.
+The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, one pass for each block, and each pass's broadcast
+goes before the next, so what is held stays bounded however long the benchmark is. With one block documents don't
+move at all; with more, the matches of each pass are written, and the documents meet them once at the end.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 
 WINDOW = 10
-#: A block of the benchmark; one of the size of a usual suite fits whole.
-BLOCK_WORDS = 4_000_000
+#: Words of a block of the benchmark, but for a longer single item.
+BLOCK_WORDS = 1_000_000
 #: Words of one shard at most, but for a longer single document.
 SHARD_WORDS = 2_000_000
 
@@ -54,11 +56,45 @@ class Benchmark:
         self.starts, self.widths, owners = np.array(starts, dtype=np.int64), np.array(widths, dtype=np.int64), np.array(owners, dtype=np.int64)
         self.least = int(self.widths.min(initial=window))
         self.window = window
-        seen: dict[bytes, int] = {}
-        number = np.array([seen.setdefault(self.words[s : s + n].tobytes(), len(seen)) for s, n in zip(self.starts, self.widths, strict=True)], dtype=np.int64)
-        _, first = np.unique(number, return_index=True)
-        self.first = first  # one suffix for each distinct window
-        self.items_of = [np.unique(owners[x]) for x in np.split(np.argsort(number, kind="stable"), np.cumsum(np.bincount(number))[:-1])] if len(number) else []
+        self.item_at = np.array([i for i in np.cumsum([0, *map(len, parts[1:])])[:-1]], dtype=np.int64) + 1
+        rows = np.where(np.arange(window) < self.widths[:, None], self.words[np.minimum(self.starts[:, None] + np.arange(window), len(self.words) - 1)], 0).astype(np.int32)
+        if len(rows):
+            _, self.first, number = np.unique(np.ascontiguousarray(rows).view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+            self.items_of = [np.unique(owners[x]) for x in np.split(np.argsort(number, kind="stable"), np.cumsum(np.bincount(number))[:-1])]
+        else:
+            self.first, self.items_of = np.zeros(0, dtype=np.int64), []
+        longest = int(np.diff(np.flatnonzero(self.words == 0)).max(initial=1))
+        self.suffixes = SuffixArray(self.words, np.flatnonzero(self.words > 0), longest).suffixes
+
+    def longest(self, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, start in the benchmark) of the longest match of any benchmark suffix with words from each place on. It is
+        that of a neighbour of the place that the stretch would take among the sorted suffixes."""
+        low, high = np.zeros(len(places), dtype=np.int64), np.full(len(places), len(self.suffixes), dtype=np.int64)
+        while (live := np.flatnonzero(low < high)).size:
+            mid = (low[live] + high[live]) // 2
+            at, own = self.suffixes[mid], places[live]
+            n = _common(self.words, at, words, own)
+            less = self.words[np.minimum(at + n, len(self.words) - 1)] < words[np.minimum(own + n, len(words) - 1)]
+            low[live], high[live] = np.where(less, mid + 1, low[live]), np.where(less, high[live], mid)
+        best, where = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
+        for k in (low, low - 1):
+            at = self.suffixes[np.clip(k, 0, len(self.suffixes) - 1)]
+            n = np.where((k >= 0) & (k < len(self.suffixes)), _common(self.words, at, words, places), 0)
+            where = np.where(n > best, at, where)
+            best = np.maximum(best, n)
+        return best, where
+
+
+def _common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int = 16) -> np.ndarray:
+    """How many words a from i on and b from j on have in common; a 0 is equal to nothing, and both end with one."""
+    n, live = np.zeros(len(i), dtype=np.int64), np.arange(len(i))
+    while len(live):
+        x = a[np.minimum((i[live] + n[live])[:, None] + np.arange(step), len(a) - 1)]
+        y = b[np.minimum((j[live] + n[live])[:, None] + np.arange(step), len(b) - 1)]
+        same = np.cumprod((x == y) & (x > 0), axis=1).sum(axis=1)
+        n[live] += same
+        live = live[same == step]
+    return n
 
 
 class SuffixArray:
@@ -97,53 +133,38 @@ class SuffixArray:
             out.append(low)
         return out[0], out[1]
 
-    def longest(self, queries: np.ndarray) -> np.ndarray:
-        """The length of the longest match of each query with any suffix: that with a neighbour of its place."""
-        reach = queries.shape[1]
-        at = self.bounds(queries, np.full(len(queries), reach))[0]
-        best = np.zeros(len(queries), dtype=np.int64)
-        for k in (at - 1, at):
-            ok = (k >= 0) & (k < len(self.suffixes))
-            same = self._rows(self.suffixes[np.where(ok, k, 0)], reach) == queries if len(self.suffixes) else np.zeros_like(queries, dtype=bool)
-            best = np.maximum(best, np.where(ok, np.minimum(np.cumprod(same & (queries > 0), axis=1).sum(axis=1), reach), 0))
-        return best
-
-
-def search(bench: Benchmark, docs: list[np.ndarray], longest: bool = False):
-    """For one shard: (document, window start, width, distinct window) of every occurrence of a window, and,
-    if asked for, the longest match of each benchmark suffix."""
+
+def search(bench: Benchmark, docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """For one shard, of every occurrence of a window: document, window start, width, distinct window, the length of the longest
+    match from there on, and that match's start in the benchmark."""
     none = np.zeros(0, dtype=np.int64)
-    least = 1 if longest else bench.least
     lengths = np.array([len(d) + 1 for d in docs], dtype=np.int64)
     ends = np.cumsum(lengths)
     whole = np.concatenate([x for d in docs for x in (d, np.zeros(1, dtype=d.dtype))]) if docs else np.zeros(1, dtype=np.int32)
     breaks = np.flatnonzero(whole == 0)
     runs = np.diff(breaks, prepend=-1)  # each with the 0 that ends it
-    kept = np.flatnonzero(np.repeat((runs > least), runs))
+    long = runs[runs > bench.least]
+    kept = np.flatnonzero(np.repeat((runs > bench.least), runs))
     words = whole[kept]
-    left = np.repeat(runs[runs > least], runs[runs > least]) - np.concatenate([np.arange(n) for n in runs[runs > least]]) - 1 if len(kept) else none
-    starts = np.flatnonzero(left >= least)
+    left = np.repeat(np.cumsum(long), long) - np.arange(len(kept)) - 1  # words from here to the run's end
+    starts = np.flatnonzero(left >= bench.least)
     if not len(starts) or not len(bench.first):
-        return none, none, none, none, np.zeros(len(bench.starts), dtype=np.int64)
-    depth = bench.window
-    array = SuffixArray(words, starts, depth if not longest else max(depth, int(np.diff(np.flatnonzero(bench.words == 0)).max(initial=1))))
-    rows = lambda at, width: bench.words[np.minimum(at[:, None] + np.arange(width), len(bench.words) - 1)]
+        return none, none, none, none, none, none
+    array = SuffixArray(words, starts, bench.window)
     s, w = bench.starts[bench.first], bench.widths[bench.first]
-    low, high = array.bounds(rows(s, depth), w)
+    low, high = array.bounds(bench.words[np.minimum(s[:, None] + np.arange(bench.window), len(bench.words) - 1)], w)
     n = high - low
     place = array.suffixes[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    reach, where = bench.longest(words, place)
+    part = reach < bench.window  # less than a window of a long item is no match: the short item found here is
+    reach, where = np.where(part, np.repeat(w, n), reach), np.where(part, np.repeat(s, n), where)
     place = kept[place]
     doc = np.searchsorted(ends, place, side="right")
-    reach = None
-    if longest:
-        full = rows(bench.starts, array.depth)
-        full = np.where(np.cumprod(full > 0, axis=1) > 0, full, 0)
-        reach = array.longest(full)
-    return doc, place - (ends - lengths)[doc], np.repeat(w, n), np.repeat(np.arange(len(s)), n), reach
+    return doc, place - (ends - lengths)[doc], np.repeat(w, n), np.repeat(np.arange(len(s)), n), reach, where
 
 
-def _match(bench: Benchmark, texts: list[str | None]) -> Iterator[tuple[int, int, list[int], list[tuple[int, int]]]]:
-    """By text: words, hit words, items (as places in bench.ids), hit stretches."""
+def _match(bench: Benchmark, texts: list[str | None]) -> Iterator[tuple[int, list[str], list[dict], dict | None]]:
+    """By text: words, items, hit stretches and the longest match (the first of equals)."""
     get, at = bench.vocabulary.get, 0
     while at < len(texts):
         shard, size = [], 0
@@ -152,22 +173,25 @@ def _match(bench: Benchmark, texts: list[str | None]) -> Iterator[tuple[int, int
             shard.append(np.array([get(x, 0) for x in w], dtype=np.int32))
             size += len(w)
             at += 1
-        doc, start, width, window, _ = search(bench, shard)
+        doc, start, width, window, reach, where = search(bench, shard)
         order = np.argsort(doc, kind="stable")
         cuts = np.searchsorted(doc[order], np.arange(len(shard) + 1))
         for d, words in enumerate(shard):
             own = order[cuts[d] : cuts[d + 1]]
             if not len(own):
-                yield len(words), 0, [], []
+                yield len(words), [], [], None
                 continue
             edge = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(edge, start[own], 1)
             np.add.at(edge, start[own] + width[own], -1)
             hit = np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]])
             turns = np.flatnonzero(np.diff(hit))
-            spans = list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
-            items = sorted({int(k) for x in np.unique(window[own]) for k in bench.items_of[x]})
-            yield len(words), sum(b - a for a, b in spans), items, spans
+            spans = [{"first": a, "end": b} for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+            items = sorted({bench.ids[k] for x in np.unique(window[own]) for k in bench.items_of[x]})
+            best = own[np.lexsort((start[own], -reach[own]))[0]]
+            k = int(np.searchsorted(bench.item_at, where[best], side="right")) - 1
+            longest = {"words": int(reach[best]), "at": int(start[best]), "item": bench.ids[k], "item_at": int(where[best] - bench.item_at[k])}
+            yield len(words), items, spans, longest
 
 
 def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, str | None]]]:
@@ -186,37 +210,61 @@ def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
 def _hits(shared):
     """A function of a text column for one broadcast block."""
 
-    @F.pandas_udf("n_words long, items array<string>, spans array<struct<first: long, end: long>>")
+    @F.pandas_udf("n_words long, items array<string>, spans array<struct<first: long, end: long>>, longest struct<words: long, at: long, item: string, item_at: long>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        b = shared.value
         for s in batches:
-            rows = [(n, sorted({b.ids[k] for k in items}), [{"first": x, "end": y} for x, y in spans]) for n, _, items, spans in _match(b, s.tolist())]
-            yield pd.DataFrame(rows, columns=["n_words", "items", "spans"])
+            rows = list(_match(shared.value, s.tolist()))
+            none = {"words": None, "at": None, "item": None, "item_at": None}
+            out = pd.DataFrame([r[:3] for r in rows], columns=["n_words", "items", "spans"])
+            out["longest"] = [r[3] or none for r in rows]
+            yield out
 
     return hits
 
 
-def match(docs: DataFrame, bench: DataFrame, text_col: str = "text", name: str = "_al_hits") -> DataFrame:
-    """docs with a struct column: n_words, items (ids as text, sorted, each once) and spans (first hit word, the
-    word after the last). Spans of the benchmark's blocks are joined.
+def n_words(text):
+    """The number of words of a text column; none where it is null."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
 
-    Null texts have no words and no hits; null or wordless items have no window, items without an id count
-    as the empty one; repeated rows are matched each by itself; an empty benchmark hits nothing."""
+
+def match(docs: DataFrame, bench: DataFrame, text_col: str = "text", name: str = "_al_hits") -> DataFrame:
+    """docs with a struct column: n_words, items (ids as text, sorted, each once), spans (first hit word, the
+    word after the last) and longest, the longest verbatim match of a window or more: its words, its place in the document, its
+    item and its place there (nulls without a match; of equals the first in the document). Spans of the benchmark's blocks are
+    joined.
+
+    Null texts have no words and no hits; texts of any length are searched whole; null or wordless items have no window, items
+    without an id count as the empty one; repeated rows are matched each by itself; an empty benchmark hits nothing; an
+    empty table gives an empty result; other columns pass through, but one of this name is an error."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {name}; give another name")
     spark: SparkSession = docs.sparkSession
-    parts = []
-    for i, block in enumerate(blocks(bench)):
-        docs = docs.withColumn(f"{name}{i}", _hits(spark.sparkContext.broadcast(Benchmark(block)))(F.col(text_col)))
-        parts.append(f"{name}{i}")
-    if not parts:
-        return match(docs, spark.createDataFrame([("", None)], "item_id string, text string"), text_col, name) if bench is not None else docs
-    if len(parts) == 1:
-        return docs.withColumnRenamed(parts[0], name)
-    merged = F.struct(
-        F.col(parts[0])["n_words"].alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in parts])))).alias("items"),
-        _union(F.sort_array(F.flatten(F.array(*[F.col(p)["spans"] for p in parts])))).alias("spans"),
-    )
-    return docs.withColumn(name, merged).drop(*parts)
+    parts = blocks(bench)
+    block, more = next(parts, []), next(parts, None)
+    if more is None:
+        return docs.withColumn(name, _hits(spark.sparkContext.broadcast(Benchmark(block)))(F.col(text_col)))
+    scratch, found, i = common.Scratch(spark, "decontam"), [], 0
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    keyed = plain.withColumn("key", common.row_key(plain))
+    text = F.col(names[docs.columns.index(text_col)])
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Benchmark(block))
+        hits = keyed.select("key", _hits(shared)(text).alias("h")).where(F.size("h.spans") > 0)
+        found.append(scratch.write(hits, f"block{i}"))
+        shared.destroy()
+        block, more, i = more, next(parts, None), i + 1
+    every = found[0]
+    for other in found[1:]:
+        every = every.union(other)
+    longest = F.struct(F.col("h.longest.words").alias("words"), (-F.col("h.longest.at")).alias("back"), F.col("h.longest").alias("own"))
+    merged = every.groupBy("key").agg(F.flatten(F.collect_set("h.items")).alias("items"), F.flatten(F.collect_set("h.spans")).alias("spans"), F.max(longest)["own"].alias("longest"))
+    merged = merged.select(F.col("key").alias("own"), F.array_sort(F.array_distinct("items")).alias("items"), _union(F.sort_array("spans")).alias("spans"), "longest")
+    joined = keyed.join(scratch.write(merged, "merged"), F.col("key") == F.col("own"), "left")
+    no_items, no_spans = F.array().cast("array<string>"), F.array().cast("array<struct<first: bigint, end: bigint>>")
+    none = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("words", "long"), ("at", "long"), ("item", "string"), ("item_at", "long"))])
+    whole = F.struct(n_words(text).alias("n_words"), F.coalesce("items", no_items).alias("items"), F.coalesce("spans", no_spans).alias("spans"), F.coalesce("longest", none).alias("longest"))
+    return joined.select(*names, whole.alias(name)).toDF(*docs.columns, name)
 
 
 def _union(spans):
@@ -236,7 +284,11 @@ def n_hit(hits):
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """By document: its id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    """By document: its id, n_words, n_hit, n_items, items_sha256 and contaminated; then the words of its longest match with
+    the benchmark and the place where that begins, null without one."""
     found = match(docs.select(F.col(id_col), F.col(text_col)), bench, text_col)
     h = F.col("_al_hits")
-    return found.select(id_col, h["n_words"].alias("n_words"), n_hit(h).alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(h["items"], ","), 256).alias("items_sha256"), (F.size(h["spans"]) > 0).alias("contaminated"))
+    return found.select(
+        id_col, h["n_words"].alias("n_words"), n_hit(h).alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(h["items"], ","), 256).alias("items_sha256"),
+        (F.size(h["spans"]) > 0).alias("contaminated"), h["longest"]["words"].alias("longest_match"), h["longest"]["at"].alias("longest_at"),
+    )

@@ -38,24 +38,42 @@ RUN = 4096
 FEW_SOURCES = 10_000
 
 
-def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def _numbered(totals: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """totals with `_al_source`: 1, 2, ... by code point, null last. Ranges of sources are numbered apart and moved by the
+    sizes of the ranges before, so any number of sources will do."""
+    dealt = totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_al_range", F.spark_partition_id())
+    dealt = scratch.write(dealt, "ranges")
+    counts = dealt.groupBy("_al_range").agg(F.count(F.lit(1)).alias("_al_c"))  # a row for each partition
+    before = F.coalesce(F.sum("_al_c").over(Window.orderBy("_al_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_al_range").orderBy(F.col("source").asc_nulls_last()))
+    met = dealt.withColumn("_al_own", own).join(F.broadcast(counts.select("_al_range", before.alias("_al_before"))), "_al_range")
+    return met.select("source", "source_size", (F.col("_al_own") + F.col("_al_before")).cast("long").alias("_al_source"))
+
+
+def targets(totals: DataFrame, scratch: common.Scratch, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Of (source, source_size), one row each: also weight and target.
 
     Sources stand by code point, null last. Targets share the sum of sizes by weight; a source whose share
-    would pass cap times its size gets just that, and the rest shares what remains. With sources in order of
-    cap * size / weight the capped ones come first, and the level of the others follows from running sums."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    by = Window.orderBy("_al_ratio", F.col("source").asc_nulls_last())
-    t = totals.withColumn("weight", weight).withColumn("_al_ratio", cap * F.col("source_size") / F.col("weight"))
-    before, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(rest)
-    t = t.withColumn("_al_level", level).withColumn("_al_free", F.col("_al_ratio") > F.col("_al_level"))
-    level = F.min(F.when(F.col("_al_free"), F.struct("_al_ratio", "_al_level"))).over(everything)["_al_level"]
-    t = t.withColumn("_al_level", level).withColumn("_al_free", F.col("_al_level").isNotNull() & F.col("_al_free"))
-    target = F.when(F.col("_al_free"), F.col("_al_level") * F.col("weight")).otherwise((cap * F.col("source_size")).cast("double"))
-    return t.select("source", "source_size", "weight", target.alias("target"), F.row_number().over(order).alias("_al_source"), (~F.col("_al_free")).alias("_al_full"))
+    would pass cap times its size gets just that, and the rest shares what remains. The level that one unit of weight
+    gets rises with every round in which sources turn out to be capped, and is final when none does: one aggregate a
+    round, and three numbers of it on the driver."""
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("_al_source") - 1) % len(weights) + 1).cast("int"))
+    t = scratch.write(_numbered(totals, scratch).withColumn("weight", weight), "numbered")
+    size = F.col("source_size").cast("decimal(38,0)")
+    level, capped = None, F.lit(False)
+    while True:
+        full = F.lit(False) if level is None else cap * F.col("source_size") <= F.lit(level) * F.col("weight")
+        got = t.agg(F.sum(size).alias("all"), F.sum(F.when(full, size)).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("weight"), F.count(F.when(full, 1)).alias("n")).first()
+        if not got["weight"]:  # all are capped, or there is none
+            capped = F.lit(True)
+            break
+        nxt = float((got["all"] or 0) - cap * (got["held"] or 0)) / got["weight"]
+        capped = full
+        if level is not None and nxt <= level:
+            break
+        level = nxt
+    target = F.when(capped, (cap * F.col("source_size")).cast("double")).otherwise(F.lit(level).cast("double") * F.col("weight"))
+    return t.select("source", "source_size", "weight", target.alias("target"), "_al_source", capped.alias("_al_full"))
 
 
 def _rate(dual: Column, size: Column, mean: Column) -> Column:
@@ -67,7 +85,7 @@ def solve(cells: DataFrame, sources: DataFrame, scratch: common.Scratch) -> Data
 
     A Newton step on the logarithm of the words taken; where it leaves the bracket that the signs so far give,
     the bracket's middle (or twice the distance, while it is open) stands in. Every source with a target
-    between nothing and its cap converges; the others need no dual."""
+    between nothing and its cap converges, or the solver raises an error; the others need no dual."""
     inf = F.lit(float("inf"))
     mean = F.col("source_size") / F.col("_al_docs")
     state = sources.join(cells.groupBy(F.col("_al_source").alias("_al_s")).agg(F.sum(F.when(F.col("size") > 0, F.col("_al_n"))).alias("_al_docs")), F.col("_al_source") == F.col("_al_s")).drop("_al_s")
@@ -94,9 +112,10 @@ def solve(cells: DataFrame, sources: DataFrame, scratch: common.Scratch) -> Data
         state = scratch.write(nxt, f"dual{i}")
         scratch.drop(name)
         name = f"dual{i}"
-        if not state.where(~F.col("_al_done")).limit(1).count():
-            break
-    return state
+        if i > 4 and not state.where(~F.col("_al_done")).limit(1).count():  # the first steps are never enough
+            return state
+    left = state.where(~F.col("_al_done")).count()
+    raise RuntimeError(f"{left} sources are off their targets after {MAX_ITERATIONS} Newton steps")
 
 
 def copies(docs: DataFrame, keys: list[str], scratch: common.Scratch) -> DataFrame:
@@ -106,7 +125,7 @@ def copies(docs: DataFrame, keys: list[str], scratch: common.Scratch) -> DataFra
     units = docs.groupBy(*keys, "source", "size").agg(F.count(F.lit(1)).alias("_al_m"))
     units = scratch.write(units.withColumn("_al_hash", F.xxhash64(*keys)), "units")
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("_al_m")).alias("source_size"))
-    sources = scratch.write(targets(totals), "sources")
+    sources = scratch.write(targets(totals, scratch), "sources")
     small = common.few(sources, FEW_SOURCES)
     hint = F.broadcast if small else (lambda x: x)
     s = sources.select(F.col("source").alias("_al_name"), "_al_source")
@@ -145,8 +164,10 @@ def _spread(total: Column, rows: Column, j: Column) -> Column:
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """One row for each document: id, size, source_size, target, taken and copies.
 
-    A null text or one without words has size 0 and takes nothing; a null source is a source of its own, the
-    last; null ids and repeated rows count like others; an empty table gives an empty result."""
+    A null text or one without words has size 0 and takes nothing; texts of any length count whole; a null source is a
+    source of its own, the last; null ids and repeated rows count like others, and equal rows share their copies as evenly
+    as whole copies allow; documents of one size tie by the hash of their ids; an empty table gives an empty result. Other
+    columns of docs don't matter."""
     scratch = common.Scratch(docs.sparkSession, "mix")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(common.words(F.col(text_col))).cast("long").alias("size"))
     units = copies(sized, ["doc_id"], scratch)
@@ -157,11 +178,16 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs."""
+    """The documents of the mix, each as often as it is taken, with the columns of docs, whatever their names and types.
+
+    A row is known by 128 bits of hash over all its columns; repeated rows share the copies of all of them. Texts without
+    words have size 0 and are taken once. An empty table gives an empty result."""
     scratch = common.Scratch(docs.sparkSession, "mixed")
-    keyed = docs.withColumn("_al_fp", common.row_print(docs))
-    sized = keyed.select(F.col("doc_id").alias("_al_id"), "_al_fp", "source", F.size(common.words(F.col("text"))).cast("long").alias("size"))
-    taken = copies(sized, ["_al_id", "_al_fp"], scratch).where("_al_k > 0").select("_al_id", F.col("_al_fp").alias("_al_key"), "_al_k")
-    once = keyed.dropDuplicates(["doc_id", "_al_fp"])
-    joined = once.join(taken, once.doc_id.eqNullSafe(taken._al_id) & (once._al_fp == taken._al_key))
-    return joined.withColumn("_al_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_al_k")))).select(*[once[f"`{c}`"] for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, source = names[docs.columns.index("text")], names[docs.columns.index("source")]
+    plain = docs.toDF(*names)
+    keyed = plain.withColumn("key", common.row_key(plain))
+    sized = keyed.select("key", F.col(source).alias("source"), F.size(common.words(F.col(text))).cast("long").alias("size"))
+    taken = copies(sized, ["key"], scratch).where("_al_k > 0").select(F.col("key").alias("own"), "_al_k")
+    joined = keyed.dropDuplicates(["key"]).join(taken, F.col("key") == F.col("own"))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_al_k")))).select(*names).toDF(*docs.columns)

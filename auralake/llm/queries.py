@@ -19,7 +19,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs = common.spread(common.documents(spark, sf_dir).select("doc_id", "text", "lang"))
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     out = langid.identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "_al_lang.lang_pred", "_al_lang.score", "_al_lang.n_spans")
@@ -46,18 +46,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", common.id_remainder(F.col("doc_id"), 5) == 1)
+    docs = common.spread(common.documents(spark, sf_dir).select("doc_id", "text")).withColumn("held_out", common.id_remainder(F.col("doc_id"), 5) == 1)
     return lm.score(docs, lm.fit(docs.where(~F.col("held_out"))))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokencount.count_tokens(common.documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return tokencount.count_tokens(common.spread(common.documents(spark, sf_dir).select("doc_id", "text")), public_tokenizers.path(TOKENIZER))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    out = substring.remove_repeats(common.spread(common.documents(spark, sf_dir).select("doc_id", "text")))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,21 +93,27 @@ WITH d AS (
 ), b AS (
     SELECT item_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
 ), windows AS (
-    SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+    SELECT item_id, n, i AS j, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
     FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)
 ), found AS (
     SELECT doc_id, i, g.n, array_to_string(list_slice(w, i, i + g.n - 1), ' ') AS win
     FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n) AS g
 ), hits AS (
-    SELECT doc_id, i, n, item_id FROM found JOIN windows USING (n, win)
+    SELECT doc_id, i, n, item_id, j FROM found JOIN windows USING (n, win)
 ), items AS (
     SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id
 ), covered AS (
     SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id
+), diagonals AS (
+    SELECT doc_id, i, n, item_id, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j, n ORDER BY i) AS run FROM hits
+), matches AS (
+    SELECT doc_id, min(i) - 1 AS place, n + count(*) - 1 AS words FROM diagonals GROUP BY doc_id, item_id, diagonal, n, run
+), longest AS (
+    SELECT doc_id, max(words) AS longest_match, arg_min(place, (-words, place)) AS longest_at FROM matches GROUP BY doc_id
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, longest_match, longest_at
+FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

@@ -59,13 +59,17 @@ def permute(x: Column, n: int, seed: int, inverse: bool = False) -> Column:
     return F.when(y >= n, walk).otherwise(y)
 
 
-def number_rows(rows: DataFrame) -> DataFrame:
-    """rows with `_al_row`: 0 .. N - 1, each once, the same on every run. Equal rows take neighbouring numbers."""
+def _units(rows: DataFrame) -> DataFrame:
+    """The distinct rows, how often each occurs, and their buckets; a written table, so that rows are read once."""
     cols = [F.col(f"`{c}`") for c in rows.columns]
     units = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_al_m")).withColumn("_al_print", common.row_print(rows))
-    units = units.withColumn("_al_bucket", F.pmod("_al_print", F.lit(BUCKETS)))
+    return common.Scratch(rows.sparkSession, "shards").write(units.withColumn("_al_bucket", F.pmod("_al_print", F.lit(BUCKETS))), "units")
+
+
+def _numbered(units: DataFrame, names: list[str]) -> DataFrame:
+    cols = [F.col(f"`{c}`") for c in names]
     sizes = units.groupBy("_al_bucket").agg(F.sum("_al_m").alias("_al_size"))
-    before = Window.orderBy("_al_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_al_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over BUCKETS rows at most
     starts = sizes.select("_al_bucket", F.coalesce(F.sum("_al_size").over(before), F.lit(0)).alias("_al_start"))
     inside = Window.partitionBy("_al_bucket").orderBy("_al_print", *cols).rowsBetween(Window.unboundedPreceding, -1)
     placed = units.withColumn("_al_off", F.coalesce(F.sum("_al_m").over(inside), F.lit(0))).join(F.broadcast(starts), "_al_bucket")
@@ -75,16 +79,28 @@ def number_rows(rows: DataFrame) -> DataFrame:
     return runs.select(*cols, first.alias("_al_first"), copy.alias("_al_copy")).select(*cols, (F.col("_al_first") + F.col("_al_copy")).alias("_al_row"))
 
 
+def number_rows(rows: DataFrame) -> DataFrame:
+    """rows with `_al_row`: 0 .. N - 1, each once, the same on every run. Equal rows take neighbouring numbers. A column
+    of rows named `_al_...` is an error."""
+    if any(c.lower().startswith("_al_") for c in rows.columns):
+        raise ValueError("columns named _al_... are the operator's own")
+    return _numbered(_units(rows), rows.columns)
+
+
 def shard_rows(rows: DataFrame, shards: int, seed: int = 20240229) -> DataFrame:
     """rows with `shard` (int) and `slot` (long): shard sizes differ by one at most, slots have no gaps.
 
-    An empty table gives an empty result; null values number like any other; columns of rows named shard or
-    slot are replaced."""
+    An empty table gives an empty result; null values number like any other; equal rows take places of their own, which
+    of them takes which says nothing; columns of rows named shard or slot are replaced, and columns named `_al_...` are
+    an error. Values of columns move whole, so long texts are better sharded by `shard_documents`."""
     rows = rows.drop("shard", "slot")
-    n = rows.count()
+    if any(c.lower().startswith("_al_") for c in rows.columns):
+        raise ValueError("columns named _al_... are the operator's own")
+    units = _units(rows)
+    n = units.agg(F.coalesce(F.sum("_al_m"), F.lit(0))).first()[0]
     place = permute(F.col("_al_row"), n, seed)
     cols = [F.col(f"`{c}`") for c in rows.columns]
-    out = number_rows(rows).select(*cols, place.alias("_al_place"))
+    out = _numbered(units, rows.columns).select(*cols, place.alias("_al_place"))
     return out.select(*cols, (F.col("_al_place") % shards).cast("int").alias("shard"), ((F.col("_al_place") - F.col("_al_place") % shards) / shards).cast("long").alias("slot"))
 
 
@@ -94,10 +110,15 @@ def row_at(shard: Column, slot: Column, n: int, shards: int, seed: int = 2024022
 
 
 def shard_documents(docs: DataFrame, shards: int, seed: int = 20240229) -> DataFrame:
-    """docs with `shard` and `slot`. Only ids and row hashes are numbered; the texts then move once."""
+    """docs with `shard` and `slot`. Only 128-bit row hashes are numbered, so texts of any length then move once.
+
+    Rows with nulls, repeated rows and columns of any type and name pass through, but for shard and slot, which are
+    replaced. An empty table gives an empty result."""
     docs = docs.drop("shard", "slot")
-    keyed = docs.withColumn("_al_fp", common.row_print(docs))
-    places = shard_rows(keyed.select(F.col("doc_id").alias("_al_id"), F.col("_al_fp").alias("_al_key")), shards, seed)
-    once = keyed.dropDuplicates(["doc_id", "_al_fp"])
-    joined = once.join(places, once.doc_id.eqNullSafe(places._al_id) & (once._al_fp == places._al_key))
-    return joined.select(*[once[f"`{c}`"] for c in docs.columns], "shard", "slot")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    keyed = plain.withColumn("key", common.row_key(plain))
+    places = shard_rows(keyed.select(F.col("key.a").alias("a"), F.col("key.b").alias("b")), shards, seed)
+    once = keyed.dropDuplicates(["key"])
+    joined = once.join(places, (once.key.a == places.a) & (once.key.b == places.b))
+    return joined.select(*names, "shard", "slot").toDF(*docs.columns, "shard", "slot")

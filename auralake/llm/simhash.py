@@ -109,9 +109,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     id of its near-duplicate class; then the columns named in carry. No two classes share a root; they may share a
     component_id, where ids repeat or are null.
 
-    Null, empty and blank texts have fingerprint zero and link like any other. Ids that repeat are one
-    document for every row's class; null ids never name a class unless it has no other id. An empty table gives an
-    empty result."""
+    Null, empty and blank texts have fingerprint zero and link like any other; texts of any length are hashed whole, in
+    blocks of hashes. Ids that repeat are one document for every row's class; null ids never name a class unless it has no
+    other id; a tie between half of the hashes leaves a bit unset. An empty table gives an empty result. Other columns of
+    docs don't matter, but those in carry keep their names, which must differ from the five above."""
     scratch = common.Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("f"), *carry), "marked")
     nodes = scratch.write(marked.groupBy("f").agg(F.min("doc_id").alias("least")), "nodes")
@@ -119,7 +120,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     roots = scratch.write(components(found.select(F.col("f").alias("a"), F.col("g").alias("b")), scratch), "roots")
     rooted = nodes.join(roots.select(F.col("a").alias("f"), F.col("b").alias("_al_b")), "f", "left").withColumn("root", F.coalesce("_al_b", "f"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("f", "root").join(least, "root").select("f", "root", "component_id")
+    # written, so that both sides of the last join are read and dealt anew, and a fingerprint that a third of all rows share
+    # (that of empty texts, say) can be split
+    named = scratch.write(rooted.select("f", "root").join(scratch.write(least, "least"), "root").select("f", "root", "component_id"), "named")
     return marked.join(named, "f").select("doc_id", "f", "root", "component_id", *carry)
 
 

@@ -1,14 +1,21 @@
-"""Removal of long repeated word sequences over a compacted, sampled De Bruijn graph.
-
-A window is WINDOW words. Its anchor is the K-word sequence of least hash inside it, so equal windows have equal
-anchors at equal places; the anchors are the sampled edges of the De Bruijn graph of the corpus, about one in
-(WINDOW - K) / 2 of all. A path through an edge branches where two of its occurrences continue differently within the
-reach of any window that it anchors. Where an edge's occurrences all agree on that whole reach
-(the same reach hash), the windows on it form one nonbranching path: they stand or fall together, and one row for
-each occurrence of the edge decides them. Only on branching edges each window counts by itself, under its own hash.
-Joins of these rows with their groups' least documents give, by source coordinates, the words to remove.
-
-The texts move once to meet their edges' verdicts; those of documents on branching edges move once more.
+"""Removal of long repeated word sequences by compaction of a De Bruijn graph.
+
+Edges are sequences of K words. Of each window of WINDOW words the edge of least hash is its anchor, so equal windows have equal
+anchors at equal places, and only anchors become rows: about one edge in (WINDOW - K) / 2. Each anchor comes with
+the links to the anchors before and after it in its document, a link being a hash of all words from one to the other.
+
+1. Edges in two documents or more are repeated. An edge branches ahead (behind) if its occurrences have different links there.
+2. A join gives each document its repeated edges and whether they branch. Two neighbours compact where the first doesn't branch
+   ahead and the second not behind; a run of such neighbours is a nonbranching path, and every occurrence of one of its
+   edges lies in a whole occurrence of the path.
+3. The document's text meets these. A path of WINDOW words and more becomes one row: a 128-bit digest of the words at its
+   source coordinates. The windows that no path holds whole, and whose anchor is repeated, get a 128-bit hash each.
+4. Rows with the same digest belong together; the least document keeps its words. If the occurrences of a path have different
+   digests (link hashes that met by chance), the path's edges count as branching and step 3 runs again, so a hash
+   never decides what the words don't bear out.
+5. The texts meet their removed stretches.
+
+Texts move twice, by document; all else are rows of a few numbers.
 """
 
 from __future__ import annotations
@@ -26,11 +33,14 @@ from . import common
 
 WINDOW = 50
 K = 12
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Words of a worker's hash cache; it starts afresh beyond that.
-CACHE = 400_000
-_cache: dict[bytes, int] = {}
+#: Bits of an edge's hash. Fewer make more edges share a hash, which costs time and changes nothing else.
+BITS = 64
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+#: Bytes of the words in a worker's hash cache; it starts afresh beyond that.
+CACHE_BYTES = 32 << 20
+_cache: dict[bytes, tuple[int, int]] = {}
+_held = 0
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -39,12 +49,17 @@ def text_words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_cache) > CACHE:
+    """Two independent 64-bit hashes of each word, as two rows."""
+    global _held
+    if _held > CACHE_BYTES:
         _cache.clear()
+        _held = 0
     for w in words:
         if w not in _cache:
-            _cache[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_cache.__getitem__, words), dtype=np.uint64, count=len(words))
+            h = xxhash.xxh3_128_intdigest(w)
+            _cache[w] = (h >> 64, h & (1 << 64) - 1)
+            _held += len(w) + 160
+    return np.array([_cache[w] for w in words], dtype=np.uint64).reshape(-1, 2).T
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,22 +72,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any stretch of a document's words, from sums of powers of an odd number modulo 2^64."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, which: int = 0):
         self.n = n = len(hashes)
         powers = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, dtype=np.uint64)]), dtype=np.uint64)
-        self.inverse = powers(_INVERSE)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers(_BASE)[:n], dtype=np.uint64)])
+        self.inverse = powers(_INVERSES[which])
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers(_BASES[which])[:n], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of words start .. end - 1, the same wherever they stand."""
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
-def anchors(roll: Rolling) -> tuple[np.ndarray, np.ndarray]:
+def anchors(roll: Rolling, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each K-word sequence and, for each window, the start of its anchor (the first of equals)."""
     n = roll.n
     at = np.arange(n - K + 1)
-    grams = roll.of(at, at + K)
+    grams = roll.of(at, at + K) >> np.uint64(64 - bits)
     reach, width = WINDOW - K + 1, 1
     least = grams.copy()
     place = at.copy()
@@ -85,110 +100,136 @@ def anchors(roll: Rolling) -> tuple[np.ndarray, np.ndarray]:
     return grams, place
 
 
-def edges(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(words, edge hashes, reach hashes) of the document's anchors, each occurrence once."""
+def edges(text: str | None, bits: int = BITS) -> np.ndarray:
+    """(edge, link behind, link ahead) of the document's anchors, each combination once; a missing link is 0."""
     words = text_words(text)
     if len(words) < WINDOW:
-        return len(words), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    roll = Rolling(word_hashes(words))
-    grams, place = anchors(roll)
+        return np.zeros((0, 3), dtype=np.int64)
+    roll = Rolling(word_hashes(words)[0])
+    grams, place = anchors(roll, bits)
     starts = np.unique(place)
-    reach = _reach(roll, starts)
-    return len(words), grams[starts].view(np.int64), reach.view(np.int64)
+    links = np.concatenate([[0], roll.of(starts[:-1], starts[1:] + K) | np.uint64(1), [0]]).astype(np.uint64)
+    return np.unique(np.column_stack([grams[starts], links[:-1], links[1:]]).view(np.int64), axis=0)
 
 
-def _reach(roll: Rolling, starts: np.ndarray) -> np.ndarray:
-    """The hash of all words of the windows that may hold these anchors, and where in them the anchor stands."""
-    first, end = np.maximum(starts - (WINDOW - K), 0), np.minimum(starts + WINDOW, roll.n)
-    return _mix(roll.of(first, end) + (starts - first).astype(np.uint64))
+def _edge_rows(bits: int):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [edges(t, bits) for t in b["text"]]
+            sizes = [len(x) for x in found]
+            rows = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found])
+            out = {c: b[c].repeat(sizes).to_numpy() for c in ("id", "r")}
+            yield pd.DataFrame({**out, "edge": rows[:, 0], "behind": rows[:, 1], "ahead": rows[:, 2]})
 
+    return find
 
-def _edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for doc, text in zip(b["doc_id"].to_numpy(), b["text"], strict=True):
-            _, e, r = edges(text)
-            if len(e):
-                pairs = np.unique(np.stack([e, r], axis=1), axis=0)
-                out.append(np.column_stack([np.full(len(pairs), doc, dtype=np.int64), pairs]))
-        rows = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
-        yield pd.DataFrame(rows, columns=["doc_id", "edge", "reach"])
-
-
-def _covered(n: int, windows: np.ndarray) -> np.ndarray:
-    """Which of n words lie in the windows that begin at these places."""
-    turn = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(turn, windows, 1)
-    np.add.at(turn, np.minimum(windows + WINDOW, n), -1)
-    return np.cumsum(turn[:-1]) > 0
-
-
-def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of (doc_id, text, plain, forked): edges that settle all their windows for this document, and branching edges. Gives
-    for each row the result, if no branching edge is in it, or else its text and what is left to find out."""
+
+def _path_rows(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """Of rows with text and the repeated edges (those that branch nowhere, only behind, only ahead, or on both sides): a row
+    for each path and each window that may be repeated. head is the first edge of a path, null for a window."""
     for b in batches:
-        out = []
-        for doc, text, plain, forked in zip(b["doc_id"], b["text"], b["plain"], b["forked"], strict=True):
+        out, sizes = [], []
+        for text, plain, behind, ahead, both in zip(b["text"], b["plain"], b["behind"], b["ahead"], b["both"], strict=True):
             words = text_words(text)
-            if (plain is None or not len(plain)) and (forked is None or not len(forked)):
-                out.append((doc, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None))
-                continue
-            roll = Rolling(word_hashes(words))
-            grams, place = anchors(roll)
-            edge = grams[place].view(np.int64)
-            gone = np.flatnonzero(np.isin(edge, plain)) if plain is not None and len(plain) else np.zeros(0, dtype=np.int64)
-            open_ = np.flatnonzero(np.isin(edge, forked)) if forked is not None and len(forked) else np.zeros(0, dtype=np.int64)
-            if not len(open_):
-                cover = _covered(len(words), gone)
-                out.append((doc, len(words), int(cover.sum()), _digest(words, cover), None, None, None, None))
-            else:
-                out.append((doc, len(words), None, None, text, gone.tolist(), open_.tolist(), roll.of(open_, open_ + WINDOW).view(np.int64).tolist()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "text", "gone", "starts", "windows"])
-
-
-def _digest(words: list[bytes], cover: np.ndarray) -> str:
-    return hashlib.sha256(b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c])).hexdigest()
-
-
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for doc, n, removed, digest, text, gone, starts, windows, found in zip(b["doc_id"], b["n_words"], b["n_removed"], b["kept_sha256"], b["text"], b["gone"], b["starts"], b["windows"], b["found"], strict=True):
-            if text is not None:
-                words = text_words(text)
-                hit = starts[np.isin(windows, found)] if found is not None and len(found) else np.zeros(0, dtype=np.int64)
-                cover = _covered(len(words), np.concatenate([np.asarray(gone, dtype=np.int64), np.asarray(hit, dtype=np.int64)]))
-                removed, digest = int(cover.sum()), _digest(words, cover)
-            out.append((doc, n, removed, digest))
-        yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"n_removed": "int64"})
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """By document: doc_id, n_words, n_removed and kept_sha256.
-
-    A null text has no words. Rows of one id are one document: none of them makes another lose words; rows
-    without an id come before all others. An empty table gives an empty result."""
+            hashes = word_hashes(words)
+            one, two = Rolling(hashes[0], 0), Rolling(hashes[1], 1)
+            grams, place = anchors(one, bits)
+            starts = np.unique(place)
+            edge = grams[starts].view(np.int64)
+            onward, back = np.isin(edge, np.concatenate([plain, behind])), np.isin(edge, np.concatenate([plain, ahead]))
+            joined = onward[:-1] & back[1:]
+            first = np.flatnonzero(np.concatenate([[True], ~joined]))
+            last = np.append(first[1:] - 1, len(starts) - 1)
+            a, e = starts[first], starts[last] + K
+            long = e - a >= WINDOW
+            inside = np.zeros(len(place) + 1, dtype=np.int64)
+            np.add.at(inside, a[long], 1)
+            np.add.at(inside, e[long] - WINDOW + 1, -1)
+            shared = onward | back | np.isin(edge, both)
+            alone = np.flatnonzero(shared[np.searchsorted(starts, place)] & (np.cumsum(inside[:-1]) == 0))
+            rows = [(int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)) for x, y in zip(a[long], e[long], strict=True) for h in [hashlib.blake2b(b" ".join(words[x:y]), digest_size=16).digest()]]
+            out.append(pd.DataFrame({"k1": [x for x, _ in rows], "k2": [y for _, y in rows], "start": a[long], "size": (e - a)[long], "head": edge[first[long]]}, dtype="int64"))
+            out.append(pd.DataFrame({"k1": one.of(alone, alone + WINDOW).view(np.int64), "k2": two.of(alone, alone + WINDOW).view(np.int64), "start": alone, "size": WINDOW}))
+            sizes.append(len(rows) + len(alone))
+        got = pd.concat(out) if out else pd.DataFrame({"k1": [], "k2": [], "start": [], "size": []}, dtype="int64")
+        got["head"] = got["head"].astype("Int64") if "head" in got else pd.array([None] * len(got), dtype="Int64")
+        for c in ("id", "r"):
+            got[c] = b[c].repeat(sizes).to_numpy()
+        yield got[["id", "r", "k1", "k2", "start", "size", "head"]].astype({"start": "int32", "size": "int32"})
+
+
+def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    out = []
+    for text, a, e in zip(texts, starts, ends, strict=True):
+        words = text_words(text)
+        if a is not None and len(a):
+            turn = np.zeros(len(words) + 1, dtype=np.int64)
+            np.add.at(turn, a, 1)
+            np.add.at(turn, e, -1)
+            kept = [w for w, c in zip(words, np.cumsum(turn[:-1]).tolist(), strict=True) if not c]
+        else:
+            kept = words
+        out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+    return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"]).astype({"n_words": "int64", "n_removed": "int64"})
+
+
+def _ids() -> list:
+    """The least and the greatest id of a group, and whether it has a row without an id, which comes before all others."""
+    return [F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("unnamed")]
+
+
+#: More than one document.
+SPREAD = "least < most or unnamed and most is not null"
+
+
+def repeated_edges(rows: DataFrame, scratch: common.Scratch, bits: int = BITS) -> DataFrame:
+    """rows: id, r, text. Gives by id and r the repeated edges of a text: arrays plain, behind, ahead and both, by where they
+    branch. (An edge at a document's end branches there, unless it is at the end everywhere.)"""
+    kind = rows.schema["id"].dataType.simpleString()
+    found = scratch.write(rows.mapInPandas(_edge_rows(bits), f"id {kind}, r long, edge long, behind long, ahead long"), "edges")
+    sides = [f(c).alias(f"{n}_{c}") for c in ("behind", "ahead") for f, n in ((F.min, "low"), (F.max, "high"))]
+    groups = found.groupBy("edge").agg(*_ids(), *sides).where(SPREAD)
+    forks = lambda c: F.col(f"low_{c}") != F.col(f"high_{c}")
+    groups = scratch.write(groups.select("edge", forks("behind").alias("at_back"), forks("ahead").alias("at_front")), "groups")
+    shared = found.select("id", "r", "edge").join(groups, "edge")
+    only = lambda back, front: F.collect_set(F.when((F.col("at_back") == back) & (F.col("at_front") == front), F.col("edge")))
+    return shared.groupBy("id", "r").agg(only(False, False).alias("plain"), only(True, False).alias("behind"), only(False, True).alias("ahead"), only(True, True).alias("both"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """By row: its id, n_words, n_removed and `kept`, the words that stay, joined by single spaces.
+
+    A null text has no words. Ids may have any ordered type. Rows of one id are one document: none of them makes another
+    lose words; rows without an id are one document that comes before all others. Texts of any length are taken whole, and
+    fewer than WINDOW words lose none. Ties can't occur, since the least id is one document. Other columns of docs don't
+    matter. An empty table gives an empty result."""
     scratch = common.Scratch(docs.sparkSession, "substring")
-    low = F.lit(-(1 << 63))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("doc_id"), F.col(text_col).alias("text"))
-    placed = rows.mapInPandas(_edge_rows, "doc_id long, edge long, reach long")
-    found = scratch.write(placed, "edges")
-    groups = found.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("reach").alias("r0"), F.max("reach").alias("r1"))
-    groups = groups.where("first < last").select("edge", "first", (F.col("r0") != F.col("r1")).alias("forks"))
-    shared = found.select("doc_id", "edge").join(scratch.write(groups, "groups"), "edge")
-    lists = shared.groupBy("doc_id").agg(
-        F.collect_set(F.when(~F.col("forks") & (F.col("first") < F.col("doc_id")), F.col("edge"))).alias("plain"),
-        F.collect_set(F.when(F.col("forks"), F.col("edge"))).alias("forked"),
-    )
-    met = rows.join(lists, "doc_id", "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, gone array<long>, starts array<long>, windows array<long>"
-    decided = scratch.write(met.mapInPandas(_decide, schema), "decided")
-    open_ = decided.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct("windows")).alias("window")).distinct()
-    open_ = scratch.write(open_, "windows")
-    least = open_.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    hits = open_.join(least, "window").where("first < doc_id").groupBy("doc_id").agg(F.collect_list("window").alias("found"))
-    rest = decided.where(F.col("text").isNotNull()).join(hits, "doc_id", "left")
-    finished = rest.select("doc_id", "n_words", "n_removed", "kept_sha256", "text", "gone", "starts", "windows", "found").mapInPandas(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    done = decided.where(F.col("text").isNull()).select("doc_id", "n_words", "n_removed", "kept_sha256")
-    out = done.unionByName(finished)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("r"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    lists = scratch.write(repeated_edges(rows, scratch, bits), "lists")
+    names, same = ["plain", "behind", "ahead", "both"], lambda a, b: a.id.eqNullSafe(b.id) & (a.r == b.r)
+    for attempt in range(2):
+        met = rows.join(lists, same(rows, lists)).select(rows.id, rows.r, rows.text, *names)
+        paths = scratch.write(met.mapInPandas(lambda batches: _path_rows(batches, bits), f"id {kind}, r long, k1 long, k2 long, start int, size int, head long"), f"paths{attempt}")
+        digest = F.struct("k1", "k2")
+        unlike = paths.where("head is not null").groupBy("head").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("head")
+        if attempt or not unlike.limit(1).count():
+            break
+        # rare: such paths' texts take the long way, with every edge of theirs branching
+        wrong = paths.join(unlike, "head", "left_semi").select(F.col("id").alias("i"), F.col("r").alias("q")).distinct()
+        opened = lists.join(wrong, lists.id.eqNullSafe(wrong.i) & (lists.r == wrong.q), "left_semi")
+        branching = scratch.write(opened.select(F.explode(F.array_union("plain", F.array_union("behind", "ahead"))).alias("edge")).distinct(), "opened")
+        lists = scratch.write(_opened(lists, branching), "lists_opened")
+    groups = paths.groupBy("k1", "k2").agg(*_ids()).where(SPREAD).select("k1", "k2", "least", "unnamed")
+    hits = paths.join(scratch.write(groups, "repeated"), ["k1", "k2"]).where("unnamed and id is not null or id > least")
+    gone = hits.groupBy("id", "r").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("gone"))
+    without = F.pandas_udf(_without, "n_words long, n_removed long, kept string")
+    out = rows.join(gone, same(rows, gone), "left").select(rows.id.alias(id_col), without(rows.text, F.col("gone.start"), F.col("gone.end")).alias("w"))
+    return out.select(id_col, "w.*")
+
+
+def _opened(lists: DataFrame, branching: DataFrame) -> DataFrame:
+    """lists with these edges branching on both sides."""
+    each = lists.select("id", "r", F.explode(F.concat(*[F.transform(c, lambda e, c=c: F.struct(F.lit(c).alias("side"), e.alias("edge"))) for c in ("plain", "behind", "ahead", "both")])).alias("x")).select("id", "r", "x.*")
+    met = each.join(branching.withColumn("opened", F.lit(True)), "edge", "left").withColumn("side", F.when(F.col("opened"), "both").otherwise(F.col("side")))
+    return met.groupBy("id", "r").agg(*[F.collect_set(F.when(F.col("side") == c, F.col("edge"))).alias(c) for c in ("plain", "behind", "ahead", "both")])
