@@ -35,6 +35,20 @@ class NGramModel:
     def write(self, path: str, kind: str = "auto") -> None:
         models.write_model(self.ngrams, path, kind)
 
+    @classmethod
+    def convert(cls, spark: SparkSession, source: str, target: str, source_kind: str = "auto", target_kind: str = "auto", fold: str | None = None) -> NGramModel:
+        """Reads a model, folds its case if asked (`lower` or `upper`), and writes it in the other form."""
+        if fold not in (None, "lower", "upper"):
+            raise ValueError("case folds to lower or upper")
+        model = cls.read(spark, source, source_kind)
+        model = model if fold is None else model.casefolded(fold == "upper")
+        model.write(target, target_kind)
+        return model
+
+    def evaluate(self, texts: DataFrame, line: list[str], keys: list[str] | None = None, text: str = "text") -> DataFrame:
+        """Totals over lines of text, by keys or over all: see `operators.ngram.evaluate`."""
+        return ngram.evaluate(text_functions.tokens(texts, text, line), self.ngrams, line, self.order, keys, self.unknown)
+
     def weighted(self, lw: float, wip: float) -> NGramModel:
         return replace(self, lw=lw, wip=wip)
 
@@ -87,6 +101,14 @@ class NGramModelSet:
     def select(self, name: str) -> NGramModel:
         return self.models[name]
 
+    def weighted(self, lw: float, wip: float) -> NGramModelSet:
+        """The same language weight and insertion penalty for every model."""
+        return replace(self, models={n: m.weighted(lw, wip) for n, m in self.models.items()})
+
+    def with_words(self, words: DataFrame) -> NGramModelSet:
+        """Every model with these words (word, weight), those that it has already as they are."""
+        return replace(self, models={n: m.with_words(words) for n, m in self.models.items()})
+
     def vocabulary(self) -> DataFrame:
         return lm_edit.union_vocabulary({n: ngram.of_order(m.ngrams, 1).select(F.col("words")[0].alias("word")) for n, m in self.models.items()})
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from . import normalise
 
 
 class Neighbours:
@@ -120,3 +122,23 @@ def frame_range(frames: DataFrame, start: int, end: int, window: int, frame: str
     """The frames start .. end and `window` more on either side, which normalisation and deltas of the range need. The
     condition reaches the scan."""
     return frames.where(F.col(frame).between(start - window, end + window))
+
+
+def padded_range(frames: DataFrame, utterance: list[str], start: int, end: int | None, window: int, width: int, mean: str = "batch", gain: str = "none", variance: bool = False, frame: str = "frame_no", vector: str = "c") -> DataFrame:
+    """utterance, frame and vector of start - window .. end + window of each utterance: the frames there are, normalised by
+    themselves, and copies of the first and last one where the utterance is shorter than that.
+
+    end None, or beyond the utterance, is its last frame. An utterance that ends before start is left out; an end at or
+    before start is an error."""
+    if end is not None and end <= start:
+        raise ValueError("the range ends before it starts")
+    last = frames.groupBy(*utterance).agg(F.max(frame).alias("_last")).where(F.col("_last") >= start)
+    names = [f"_u{i}" for i in range(len(utterance))]
+    last = last.select(*[F.col(u).alias(n) for u, n in zip(utterance, names, strict=True)], F.least(F.col("_last"), F.lit(end) if end is not None else F.col("_last")).alias("_end"), "_last")
+    same = reduce(lambda a, b: a & b, [F.col(u).eqNullSafe(F.col(n)) for u, n in zip(utterance, names, strict=True)])
+    inside = frames.where(F.col(frame) >= start - window)
+    inside = inside.join(last, same).where(F.col(frame) <= F.col("_end") + window).select(*utterance, frame, vector, "_end", "_last")
+    out = normalise.normalise(inside, utterance, width, mean, gain, variance, vector)
+    first = F.when(F.col(frame) == F.greatest(F.lit(start - window), F.lit(0)), F.lit(start - window)).otherwise(F.col(frame))
+    final = F.when(F.col(frame) == F.least(F.col("_end") + window, F.col("_last")), F.col("_end") + window).otherwise(F.col(frame))
+    return out.withColumn("_n", F.explode(F.sequence(first.cast("long"), final.cast("long")))).select(*utterance, F.col("_n").alias(frame), vector)

@@ -120,14 +120,19 @@ class FrontEnd:
         n = self.lifter
         return 1 + (n // 2) * np.sin(np.arange(self.n_cep) * math.pi / n) if n else np.ones(self.n_cep)
 
-    def spectrum(self, samples: list, prior: np.ndarray) -> np.ndarray:
-        """Mel spectra of frames; the last frame of an utterance may be short."""
+    def emphasis(self, samples: list, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frames after pre-emphasis, short ones filled with zeros, and how long each was."""
         x, n = np.zeros((len(samples), self.size)), np.array([len(s) for s in samples])
         for k, s in enumerate(samples):
             x[k, : len(s)] = s
         if self.alpha:
             x = x - self.alpha * np.concatenate([prior[:, None], x[:, :-1]], axis=1)
         x[np.arange(self.size) >= n[:, None]] = 0.0
+        return x, n
+
+    def spectrum(self, samples: list, prior: np.ndarray) -> np.ndarray:
+        """Mel spectra of frames; the last frame of an utterance may be short."""
+        x, _ = self.emphasis(samples, prior)
         if self.remove_dc:
             x = x - x.mean(axis=1, keepdims=True)
         power = np.abs(np.fft.rfft(x * self.hamming, self.n_fft)) ** 2
@@ -182,6 +187,17 @@ def dither(pcm: Column, seed: int) -> Column:
     return noise(pcm)
 
 
+def emphasised(framed: DataFrame, fe: FrontEnd) -> DataFrame:
+    """framed with its samples after pre-emphasis, which the sample before the frame takes part in."""
+
+    @F.pandas_udf("array<double>")
+    def emphasise(samples: pd.Series, prior: pd.Series) -> pd.Series:
+        x, n = fe.emphasis(samples.tolist(), prior.to_numpy(dtype=float))
+        return pd.Series([row[:k] for row, k in zip(x, n, strict=True)], dtype=object)
+
+    return framed.withColumn("samples", emphasise("samples", "prior"))
+
+
 def mel_spectra(framed: DataFrame, fe: FrontEnd) -> DataFrame:
     """framed without its samples, and `mel`."""
 
@@ -211,7 +227,23 @@ def log_spectra_to_cepstra(logs: DataFrame, fe: FrontEnd, column: str = "logspec
 
 
 def features(utterances: DataFrame, fe: FrontEnd, keys: list[str], pcm: str = "pcm") -> DataFrame:
-    """keys, frame_no and cepstra, with no noise removal: nothing shuffles."""
+    """keys, frame_no and cepstra of every frame, with no noise removal: nothing shuffles. `extract` does the whole path."""
     if fe.dither_seed is not None:
         utterances = utterances.withColumn(pcm, dither(F.col(pcm), fe.dither_seed))
     return cepstra(mel_spectra(frames(utterances, fe, keys, pcm), fe), fe)
+
+
+def extract(utterances: DataFrame, fe: FrontEnd, stream: str = "stream_id", utterance: str = "utt_seq", pcm: str = "pcm", remove_noise: bool = True, remove_silence: bool = True) -> DataFrame:
+    """The whole front end: stream, utterance, frame_no and c of the frames that are let out.
+
+    In the order in which each step works on the one before: dither, frames, emphasis and mel spectra; noise tracking along
+    the stream, which takes noise off the spectra and marks speech; log and cosine transform with lifter; hangover of the
+    speech marks. Frames keep their number, so gaps show where silence was. Only the tracker depends on the frames before."""
+    from . import activity
+
+    if fe.dither_seed is not None:
+        utterances = utterances.withColumn(pcm, dither(F.col(pcm), fe.dither_seed))
+    mel = mel_spectra(frames(utterances, fe, [stream, utterance], pcm), fe)
+    if remove_noise or remove_silence:
+        mel = activity.track(mel, stream, utterance, remove_noise, remove_silence).where("emitted").select(stream, utterance, "frame_no", "mel")
+    return cepstra(mel, fe)

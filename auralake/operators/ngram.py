@@ -2,7 +2,8 @@
 
 A model is a table (ord, words array<string>, log10_p, log10_bo). A token's history are the words before it in its
 line, cut at the first word outside the vocabulary. One left join for each order looks up the n-gram that ends in the
-token, one for each context length looks up its back-off; a coalesce chain then applies
+token, with its back-off; the back-off of a context is the one found at the token before, so a lag fetches it. A coalesce
+chain then applies
 
     log p = log p(longest known n-gram) + the back-offs of the longer contexts, up to the first unknown one.
 
@@ -50,22 +51,25 @@ def score(tokens: DataFrame, ngrams: DataFrame, line: list[str], order: int, pos
     """tokens with is_oov, n_hist, n_used and log10_p (null out of vocabulary).
 
     unknown: the model's word for words that it doesn't know; without it they are out of vocabulary and cut histories."""
-    known = ngrams.where("ord = 1").select(F.col("words")[0].alias("_w1"), F.lit(True).alias("_in"))
-    t = tokens.join(known, F.col(word) == F.col("_w1"), "left")
-    t = t.withColumn("_w", F.when(F.col("_in"), F.col(word)).otherwise(F.lit(unknown))).drop("_w1", "_in")
     by = Window.partitionBy(*line).orderBy(pos)
-    for k in range(1, order):
-        back = F.lag("_w", k).over(by)
-        t = t.withColumn(f"_h{k}", back)
-    for k in range(2, order):
-        t = t.withColumn(f"_h{k}", F.when(F.col(f"_h{k - 1}").isNotNull(), F.col(f"_h{k}")))
     history = lambda k: [F.col(f"_h{i}") for i in range(k, 0, -1)]
+    t = tokens
     for k in range(1, order + 1):
-        own = ngrams.where(F.col("ord") == k).select(_key(*[F.col("words")[i] for i in range(k)]).alias(f"_k{k}"), F.col("log10_p").alias(f"_p{k}"))
-        t = t.join(own, _key(*history(k - 1), F.col("_w")) == F.col(f"_k{k}"), "left").drop(f"_k{k}")
-    for k in range(1, order):
-        ctx = ngrams.where(F.col("ord") == k).select(_key(*[F.col("words")[i] for i in range(k)]).alias(f"_c{k}"), F.coalesce("log10_bo", F.lit(0.0)).alias(f"_b{k}"))
-        t = t.join(ctx, _key(*history(k)) == F.col(f"_c{k}"), "left").drop(f"_c{k}")
+        key = _key(*[F.get("words", F.lit(i)) for i in range(k)]).alias("_k")
+        own = ngrams.where(F.col("ord") == k).select(key, F.col("log10_p").alias(f"_p{k}"), F.coalesce("log10_bo", F.lit(0.0)).alias(f"_o{k}"))
+        asked = _key(F.col(word)) if k == 1 else _key(*history(k - 1), F.col("_w"))
+        t = t.join(own, asked == F.col("_k"), "left").drop("_k")
+        if k == 1:
+            t = t.withColumn("_w", F.when(F.col("_p1").isNotNull(), F.col(word)).otherwise(F.lit(unknown)))
+            if unknown is not None:  # words that stand for the model's unknown word have its values
+                own = ngrams.where((F.col("ord") == 1) & (F.col("words")[0] == unknown)).select("log10_p", F.coalesce("log10_bo", F.lit(0.0))).first()
+                p, bo = (F.lit(x).cast("double") for x in (own or (None, None)))
+                t = t.withColumns({"_p1": F.coalesce("_p1", p), "_o1": F.coalesce("_o1", bo)})
+                t = t.withColumn("_w", F.when(F.col("_p1").isNotNull(), F.col("_w")))
+        if k < order:
+            t = t.withColumns({f"_h{k}": F.lag("_w", k).over(by), f"_b{k}": F.lag(f"_o{k}").over(by)})
+            if k > 1:
+                t = t.withColumn(f"_h{k}", F.when(F.col(f"_h{k - 1}").isNotNull(), F.col(f"_h{k}")))
     n_hist = sum((F.when(F.col(f"_h{k}").isNotNull(), 1).otherwise(0) for k in range(1, order)), F.lit(0))
     used = F.coalesce(*[F.when(F.col(f"_p{k}").isNotNull(), k) for k in range(order, 0, -1)])
 
@@ -109,6 +113,27 @@ def perplexity_parity(scored: DataFrame, line: list[str], math: logmath.LogMath
     return sums.select(*line, "n_scored", (F.when(F.col("n_scored") > 0, F.expr("_s div n_scored")).otherwise(0) * F.lit(m.step * 1.4426950408889634)).alias("entropy"))
 
 
+def without_ids(tokens: DataFrame, line: list[str], pos: str = "pos", word: str = "word") -> DataFrame:
+    """tokens without the last word of each line where that is in parentheses: an utterance's id, which isn't evaluated."""
+    last = F.lead(word).over(Window.partitionBy(*line).orderBy(pos)).isNull()
+    return tokens.withColumn("_last", last).where(~(F.col("_last") & F.col(word).startswith("(") & F.col(word).endswith(")"))).drop("_last")
+
+
+def evaluate(tokens: DataFrame, ngrams: DataFrame, line: list[str], order: int, keys: list[str] | None = None, unknown: str | None = None) -> DataFrame:
+    """The evaluation of transcripts: by keys (one row for everything, without any), n_words, n_oov and their percentage,
+    n_cues, the log10 probability of what is scored, cross-entropy in bits and perplexity over all lines. Ids at the ends of
+    lines don't count."""
+    scored = score(without_ids(tokens, line), ngrams, line, order, unknown=unknown)
+    cue, hit = F.col("word") == CUE, (F.col("word") != CUE) & ~F.col("is_oov")
+    n = F.count(F.when(hit, 1))
+    total = F.sum(F.when(hit, F.col("log10_p")))
+    out = scored.groupBy(*(keys or [])).agg(
+        F.count(F.lit(1)).alias("n_words"), F.count(F.when(~cue & F.col("is_oov"), 1)).alias("n_oov"), F.count(F.when(cue, 1)).alias("n_cues"),
+        F.coalesce(total, F.lit(0.0)).alias("log10_p"), F.coalesce(-total / F.lit(0.30102999566398119521) / n, F.lit(0.0)).alias("entropy"),
+    )
+    return out.withColumns({"oov_percent": F.when(F.col("n_words") > 0, 100 * F.col("n_oov") / F.col("n_words")).otherwise(0.0), "perplexity": F.pow(F.lit(2.0), F.col("entropy"))})
+
+
 def class_tokens(tokens: DataFrame, classes: DataFrame, word: str = "word") -> DataFrame:
     """tokens with their word replaced by its class tag and log10_class, the word's share in the class; both words of a
     class and others pass. classes: class, word, log10_p; a word in several classes counts for the first by name."""

@@ -56,3 +56,22 @@ def gain_noise(frames: DataFrame, utterance: list[str], vector: str = "c", thres
     noise = low.groupBy(*utterance).agg(F.avg(F.when(first < F.col("_low") + threshold, first)).alias("_noise"))
     met = _join_back(frames, noise, utterance)
     return met.withColumn(vector, _replace_first(vector, first - F.coalesce("_noise", F.lit(0.0)))).select(*frames.columns)
+
+
+MEANS, GAINS = ("none", "batch", "live"), ("none", "max", "emax", "noise")
+
+
+def normalise(frames: DataFrame, utterance: list[str], width: int, mean: str = "batch", gain: str = "none", variance: bool = False, vector: str = "c", whole: bool = True) -> DataFrame:
+    """Mean and gain normalisation by name. whole: the frames are whole utterances.
+
+    Batch means, `max` and `noise` need whole utterances: with parts of them they are an error and never turn into a
+    running estimate by themselves. The running kinds, `live` and `emax`, depend on the order of utterances; they are
+    the stateful operators of `streaming.live`, and an error here."""
+    if mean not in MEANS or gain not in GAINS:
+        raise ValueError(f"means are one of {MEANS}, gains one of {GAINS}")
+    if mean == "live" or gain == "emax":
+        raise ValueError("running estimates are kept by streaming.live")
+    if not whole and (mean == "batch" or gain != "none"):
+        raise ValueError("parts of utterances need running estimates, or none")
+    out = mean_norm(frames, utterance, width, vector, variance) if mean == "batch" else frames
+    return out if gain == "none" else (gain_max if gain == "max" else gain_noise)(out, utterance, vector)

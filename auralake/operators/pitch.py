@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 
 def difference(x: np.ndarray) -> np.ndarray:
-    """Normalised differences of a frame at lags 0 .. half its length - 1; 1 at lag 0."""
-    x = np.asarray(x, dtype=float)
+    """Normalised differences of a frame at lags 0 .. half its length - 1; 1 at lag 0. Of whole samples the differences are whole
+    numbers, so the transform's rounding goes."""
+    x = np.asarray(x)
+    whole, x = np.issubdtype(x.dtype, np.integer), x.astype(float)
     n = len(x) // 2
     if n < 1:
         return np.ones(1)
@@ -22,6 +24,7 @@ def difference(x: np.ndarray) -> np.ndarray:
     cross = np.fft.irfft(spectrum, 4 * n)[:n]
     squares = np.concatenate([[0.0], np.cumsum(x[: 2 * n] ** 2)])
     d = np.maximum(squares[n] + squares[n : 2 * n] - squares[:n] - 2 * cross, 0.0)
+    d = np.rint(d) if whole else d
     out = np.ones(n)
     total = np.cumsum(d[1:])
     out[1:] = np.divide(d[1:] * np.arange(1, n), total, out=np.ones(n - 1), where=total > 0)
@@ -42,24 +45,26 @@ def track(framed: DataFrame, keys: list[str], rate: float, threshold: float = 0.
     Of ties the frame's own period stays. A period of zero reads as the sampling rate. With block, which needs frame
     numbers without gaps, smoothing works on blocks of so many frames, and a long utterance fills no single task."""
 
-    @F.pandas_udf("period int, diff double, d array<double>")
+    @F.pandas_udf("period int, diff double")
     def own(samples: pd.Series) -> pd.DataFrame:
         ds = [difference(s) for s in samples]
         at = [search(d, threshold) for d in ds]
-        return pd.DataFrame({"period": at, "diff": [d[p] for d, p in zip(ds, at, strict=True)], "d": ds})
+        return pd.DataFrame({"period": at, "diff": [d[p] for d, p in zip(ds, at, strict=True)]})
 
     @F.pandas_udf("period int, diff double")
-    def again(d: pd.Series, period: pd.Series, best: pd.Series) -> pd.DataFrame:
+    def again(samples: pd.Series, period: pd.Series, diff: pd.Series, best: pd.Series) -> pd.DataFrame:
         out = []
-        for x, p, b in zip(d, period, best, strict=True):
-            x = np.asarray(x)
-            if b != p:
+        for s, p, v, b in zip(samples, period, diff, best, strict=True):
+            if b == p:
+                out.append((p, v))
+            else:  # differences are worked out anew here rather than carried through the shuffle
+                x = difference(s)
                 width = max(1, int(b * spread))
                 p = search(x, threshold, max(0, b - width), min(len(x), b + width))
-            out.append((p, x[p]))
+                out.append((p, x[p]))
         return pd.DataFrame(out, columns=["period", "diff"])
 
-    first = framed.select(*keys, "frame_no", own("samples").alias("_o"))
+    first = framed.select(*keys, "frame_no", "samples", own("samples").alias("_o"))
     parts = keys
     if block:  # a frame also goes to the block that ends or begins within its neighbourhood
         ends = F.array(F.floor((F.col("frame_no") - smooth) / block), F.floor(F.col("frame_no") / block), F.floor((F.col("frame_no") + smooth) / block))
@@ -70,7 +75,7 @@ def track(framed: DataFrame, keys: list[str], rate: float, threshold: float = 0.
     if block:
         met = met.where(F.col("_part") == F.floor(F.col("frame_no") / block))
     choice = F.when(F.col("_b.diff") < F.col("_o.diff"), F.col("_b.period")).otherwise(F.col("_o.period"))
-    met = met.withColumn("_r", again(F.col("_o.d"), F.col("_o.period"), choice))
+    met = met.withColumn("_r", again("samples", F.col("_o.period"), F.col("_o.diff"), choice))
     step = (shift or int(rate / 100 + 0.5)) / rate
     f0 = F.when(F.col("_r.period") > 0, rate / F.col("_r.period")).otherwise(F.lit(float(rate)))
     return met.select(*keys, "frame_no", (F.col("frame_no") * step).alias("t"), F.greatest(1 - F.col("_r.diff"), F.lit(0.0)).alias("voicing"), f0.alias("f0"))

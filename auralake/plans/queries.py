@@ -15,7 +15,8 @@ from ..operators import activity, dynamic, frontend, graph, lm_edit, ngram, norm
 from ..tables import cut
 
 BACKOFF = -0.4
-MATRIX = [[0.5, -0.25, 0.0, 1.0], [1.0, 1.0, -1.0, 0.125], [0.0, 2.0, 0.5, -0.5]]
+LANGS = ("en", "fr", "de", "es")
+MATRIX = [[(((i + 3) * (j + 2)) % 9 - 4) / 8 for i in range(64)] for j in range(3)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -68,7 +69,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram.relative_frequency_model(text.tokens(table(spark, sf_dir, "documents"), keys=["doc_id"]), ["doc_id"], backoff=BACKOFF)
+    """Built once: scoring reads it once for each order."""
+    return cut(ngram.relative_frequency_model(text.tokens(table(spark, sf_dir, "documents"), keys=["doc_id"]), ["doc_id"], backoff=BACKOFF))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +118,13 @@ def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumns({"entropy": F.round("entropy", 4), "perplexity": F.round("perplexity", 2)})
 
 
-@query(f"""WITH {MODEL.strip()}, {TOKENS.strip()}, n AS (SELECT lang, count(*) AS total FROM dt WHERE lang IN ('en', 'fr') GROUP BY lang
+@query(f"""WITH {MODEL.strip()}, {TOKENS.strip()}, n AS (SELECT lang, count(*) AS total FROM dt GROUP BY lang
 ), by_lang AS (SELECT lang, word, count(*) / any_value(total) AS p FROM dt JOIN n USING (lang) GROUP BY lang, word)
-SELECT conv_id, turn, pos, round(log10(sum(p * CASE lang WHEN 'en' THEN 0.75 ELSE 0.25 END)), 4) AS log10_p FROM tokens LEFT JOIN by_lang USING (word) GROUP BY conv_id, turn, pos""")
+SELECT conv_id, turn, pos, round(log10(sum(p * CASE lang WHEN 'en' THEN 0.4 WHEN 'fr' THEN 0.3 WHEN 'de' THEN 0.2 ELSE 0.1 END)), 4) AS log10_p FROM tokens LEFT JOIN by_lang USING (word) GROUP BY conv_id, turn, pos""")
 def lm_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokens, keys = table(spark, sf_dir, "documents"), _tokens(spark, sf_dir), ["conv_id", "turn", "pos"]
-    scores = [ngram.score(tokens, ngram.of_order(ngram.relative_frequency_model(text.tokens(docs.where(F.col("lang") == g), keys=["doc_id"]), ["doc_id"]), 1), ["conv_id", "turn"], 1) for g in ("en", "fr")]
-    return ngram.interpolate(scores, [0.75, 0.25], keys).withColumn("log10_p", F.round("log10_p", 4))
+    scores = [ngram.score(tokens, ngram.of_order(ngram.relative_frequency_model(text.tokens(docs.where(F.col("lang") == g), keys=["doc_id"]), ["doc_id"]), 1), ["conv_id", "turn"], 1) for g in LANGS]
+    return ngram.interpolate(scores, [0.4, 0.3, 0.2, 0.1], keys).withColumn("log10_p", F.round("log10_p", 4))
 
 
 @query("""WITH c AS (SELECT CAST(n_regionkey AS VARCHAR) AS class, n_name AS word, 0.1 * (1 + n_nationkey % 3) AS weight FROM nation)
@@ -132,13 +134,12 @@ def lm_class_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_edit.normalise_classes(c).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"""WITH {MODEL.strip()}, v AS (SELECT DISTINCT lang, word FROM dt) SELECT word, en, fr FROM (
-    SELECT word, max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS en, max(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS fr FROM v WHERE lang IN ('en', 'fr') GROUP BY word)""")
+@query(f"""WITH {MODEL.strip()}, v AS (SELECT DISTINCT lang, word FROM dt) SELECT word, {", ".join(f"max(CASE WHEN lang = '{g}' THEN 1 ELSE 0 END) AS {g}" for g in LANGS)} FROM v GROUP BY word""")
 def vocab_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    models = {g: text.tokens(docs.where(F.col("lang") == g), keys=[]).select("word").distinct() for g in ("en", "fr")}
+    models = {g: text.tokens(docs.where(F.col("lang") == g), keys=[]).select("word").distinct() for g in LANGS}
     has = lambda g: F.max(F.when((F.col("model") == g) & F.col("own").isNotNull(), 1).otherwise(0)).alias(g)
-    return lm_edit.union_vocabulary(models).groupBy("word").agg(has("en"), has("fr"))
+    return lm_edit.union_vocabulary(models).groupBy("word").agg(*[has(g) for g in LANGS])
 
 
 @query(f"""WITH {MODEL.strip()} SELECT CASE WHEN regexp_matches(word, '^[<\\[]') THEN word ELSE translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS word, min(md5(word)) AS wid FROM uni GROUP BY 1""")
@@ -240,7 +241,7 @@ def subvec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT vec_id, {', '.join(f'round({" + ".join(f"({v}) * CAST(embedding[{i + 1}] AS DOUBLE)" for i, v in enumerate(row))}, 5) AS y{j}' for j, row in enumerate(MATRIX))} FROM embeddings")
 def lda_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = vectors.project(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 4), MATRIX)
+    y = vectors.project(F.transform("embedding", lambda x: x.cast("double")), MATRIX)
     return table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(F.get(y, F.lit(j)), 5).alias(f"y{j}") for j in range(len(MATRIX))])
 
 
@@ -253,30 +254,6 @@ def logadd_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logmath.log_sum_exp(rows, keys, "x", "ln_p").join(top, keys).select(*keys, F.round("ln_p", 6).alias("ln_p"), "top")
 
 
-@query("SELECT event_id, round(value - 0.97 * coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 5) AS x FROM events")
-def preemph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - 0.97 * F.coalesce(F.lag("value").over(by), F.lit(0.0)), 5).alias("x"))
-
-
-SIZE, SHIFT = 8, 4
-
-
-@query(f"""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events
-), f AS (SELECT DISTINCT user_id, n, unnest(generate_series(0, CASE WHEN n < {SIZE} THEN 0 ELSE 1 + (n - {SIZE}) // {SHIFT} END)) AS frame_no FROM s)
-SELECT user_id, frame_no, count(*) AS n_samples, round(sum(value * value), 4) AS energy FROM f JOIN s USING (user_id) WHERE i >= frame_no * {SHIFT} AND i < frame_no * {SHIFT} + {SIZE} GROUP BY user_id, frame_no""")
-def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample i lies in the frames from (i - SIZE) / SHIFT + 1 to i / SHIFT: an explode of SIZE / SHIFT rows, no range join."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    n = e.groupBy(F.col("user_id").alias("_u")).agg(F.count(F.lit(1)).alias("n"))
-    s = e.select("user_id", "value", (F.row_number().over(by) - 1).alias("i")).join(n, F.col("user_id") == F.col("_u"))
-    last = F.when(F.col("n") < SIZE, 0).otherwise(1 + F.floor((F.col("n") - SIZE) / SHIFT))
-    first = F.greatest(F.lit(0), F.floor((F.col("i") - SIZE) / SHIFT) + 1)
-    framed = s.select("user_id", "value", F.explode(F.filter(F.sequence(first, F.floor(F.col("i") / SHIFT)), lambda k: k <= last)).alias("frame_no"))
-    return framed.groupBy("user_id", "frame_no").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("energy"))
-
-
 ARCS = """
 raw AS (
     SELECT conv_id, turn AS a, turn + k AS b, -CAST(length(text) AS DOUBLE) - k AS logp FROM conversations, (VALUES (1), (2)) AS v(k)
@@ -322,7 +299,47 @@ def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("stream_id", F.lit(0).alias("utt_seq"), (F.col("_own") + F.col("_before")).alias("i"), "value")
 
 
+SIGNAL = """signal AS (
+    SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(least(greatest(round(value * 100), -32768), 32767) AS DOUBLE) AS v FROM events
+), emphasis AS (SELECT *, v - 0.97 * coalesce(lag(v) OVER (PARTITION BY stream_id ORDER BY i), 0) AS x FROM signal)"""
+
+
+def _cut_sql(size: int, shift: int) -> str:
+    """SQL for the samples of frames: place j in each frame, sample v, emphasised sample x."""
+    return f"""WITH {SIGNAL}, numbers AS (
+    SELECT stream_id, unnest(generate_series(0, CASE WHEN n < {size} THEN 0 ELSE 1 + (n - {size}) // {shift} END)) AS frame_no FROM (SELECT stream_id, count(*) AS n FROM signal GROUP BY stream_id)
+), framed AS (SELECT stream_id, frame_no, i - frame_no * {shift} AS j, v, x FROM numbers JOIN emphasis USING (stream_id) WHERE i >= frame_no * {shift} AND i < frame_no * {shift} + {size})"""
+
+
+def _front_end(size: int, shift: int) -> frontend.FrontEnd:
+    return frontend.FrontEnd(rate=1000.0, frame_rate=1000 // shift, window=size / 1000, n_fft=1 << (size - 1).bit_length(), n_filt=1, n_cep=1, low=20.0, high=480.0, round_filters=False)
+
+
+@query(f"{_cut_sql(4, 4)} SELECT stream_id, frame_no, j, round(x, 5) AS x FROM framed")
+def preemph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-emphasis over frames that don't overlap, so each sample comes once."""
+    fe = _front_end(4, 4)
+    framed = frontend.emphasised(frontend.frames_of_rows(_signal(spark, sf_dir), fe, ["stream_id"]), fe)
+    return framed.select("stream_id", "frame_no", F.posexplode("samples").alias("j", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(f"{_cut_sql(8, 4)} SELECT stream_id, frame_no, count(*) AS n_samples, CAST(sum(v * v) AS BIGINT) AS energy FROM framed GROUP BY stream_id, frame_no")
+def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    framed = frontend.frames_of_rows(_signal(spark, sf_dir), _front_end(8, 4), ["stream_id"])
+    energy = F.aggregate("samples", F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v.cast("long"))
+    return framed.select("stream_id", "frame_no", F.size("samples").cast("long").alias("n_samples"), energy.alias("energy"))
+
+
 SMALL = dict(rate=1000.0, frame_rate=100, window=0.032, n_fft=32, n_filt=8, n_cep=6, low=20.0, high=480.0, round_filters=False)
+MEL = f"""{_cut_sql(32, 10)}, bins AS (SELECT unnest(range(17)) AS k), power AS (
+    SELECT stream_id, frame_no, k, pow(sum(w * cos(2 * pi() * j * k / 32)), 2) + pow(sum(w * sin(2 * pi() * j * k / 32)), 2) AS p
+    FROM (SELECT stream_id, frame_no, j, x * (0.54 - 0.46 * cos(2 * pi() * j / 31)) AS w FROM framed), bins GROUP BY stream_id, frame_no, k
+), ends AS (SELECT 2595 * log10(1 + 20 / 700.0) AS a, 2595 * log10(1 + 480 / 700.0) AS b
+), edges AS (SELECT m, 700 * (pow(10, (a + m * (b - a) / 9) / 2595) - 1) AS hz FROM ends, (SELECT unnest(range(10)) AS m)
+), filters AS (
+    SELECT l.m, k, greatest(least((31.25 * k - l.hz) / (t.hz - l.hz), (r.hz - 31.25 * k) / (r.hz - t.hz)), 0) * 2 / (r.hz - l.hz) AS w
+    FROM edges l JOIN edges t ON t.m = l.m + 1 JOIN edges r ON r.m = l.m + 2, bins
+), mel AS (SELECT stream_id, frame_no, m, ln(sum(p * w) + 1e-4) AS log_mel FROM power JOIN filters USING (k) GROUP BY stream_id, frame_no, m)"""
 
 
 def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,14 +347,16 @@ def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontend.mel_spectra(frontend.frames_of_rows(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), fe)
 
 
-@query()
+@query(f"{MEL} SELECT stream_id, frame_no, CAST(m AS INTEGER) AS filter, round(log_mel, 4) AS log_mel FROM mel")
 def mel_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spectra(spark, sf_dir)
+    return _spectra(spark, sf_dir).select("stream_id", "frame_no", F.posexplode("mel").alias("filter", "mel")).select("stream_id", "frame_no", "filter", F.round(F.log(F.col("mel") + 1e-4), 4).alias("log_mel"))
 
 
-@query()
+@query(f"""{MEL} SELECT stream_id, frame_no, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(sum(log_mel * cos(pi() * dim * (m + 0.5) / 8) * CASE WHEN m = 0 THEN 0.5 ELSE 1 END) / 8 AS FLOAT) AS DOUBLE), 3) AS c
+FROM mel, (SELECT unnest(range(6)) AS dim) GROUP BY stream_id, frame_no, dim""")
 def mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frontend.cepstra(_spectra(spark, sf_dir), frontend.FrontEnd(**SMALL))
+    c = frontend.cepstra(_spectra(spark, sf_dir), frontend.FrontEnd(**SMALL))
+    return c.select("stream_id", "frame_no", F.posexplode("c").alias("dim", "c")).withColumn("c", F.round(F.col("c").cast("double"), 3))
 
 
 @query()
@@ -345,10 +364,30 @@ def noise_vad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.track(_spectra(spark, sf_dir))
 
 
-@query()
+@query(f"""{_cut_sql(32, 10)}, sizes AS (SELECT stream_id, frame_no, greatest(count(*) // 2, 1) AS n, count(*) AS len FROM framed GROUP BY stream_id, frame_no
+), lags AS (SELECT *, unnest(range(n)) AS t FROM sizes
+), squares AS (
+    SELECT l.stream_id, l.frame_no, l.n, l.t, sum(pow(a.v - b.v, 2)) AS d FROM lags l JOIN framed a ON a.stream_id = l.stream_id AND a.frame_no = l.frame_no AND a.j < l.n
+    JOIN framed b ON b.stream_id = l.stream_id AND b.frame_no = l.frame_no AND b.j = a.j + l.t GROUP BY ALL
+), sums AS (SELECT *, sum(CASE WHEN t > 0 THEN d ELSE 0 END) OVER (PARTITION BY stream_id, frame_no ORDER BY t) AS total FROM squares
+), d AS (SELECT stream_id, frame_no, n, t, CASE WHEN total > 0 THEN d * t / total ELSE 1 END AS d FROM sums
+), own AS (
+    SELECT stream_id, frame_no, any_value(n) AS n, coalesce(min(t) FILTER (d < 0.1), arg_min(t, (d, t))) AS period FROM d GROUP BY stream_id, frame_no
+), marked AS (SELECT own.*, d.d AS diff FROM own JOIN d ON d.stream_id = own.stream_id AND d.frame_no = own.frame_no AND d.t = own.period
+), near AS (
+    SELECT *, min({{'d': diff, 'f': frame_no, 'p': period}}) OVER (PARTITION BY stream_id ORDER BY frame_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS best FROM marked
+), chosen AS (SELECT *, CASE WHEN best.d < diff THEN best.p ELSE period END AS choice FROM near
+), spans AS (SELECT *, least(greatest(0, choice - greatest(1, CAST(floor(choice * 0.2) AS INT))), n - 1) AS low, least(n, choice + greatest(1, CAST(floor(choice * 0.2) AS INT))) AS high FROM chosen
+), again AS (
+    SELECT s.stream_id, s.frame_no, coalesce(min(d.t) FILTER (d.d < 0.1), arg_min(d.t, (d.d, d.t))) AS p FROM spans s
+    JOIN d ON d.stream_id = s.stream_id AND d.frame_no = s.frame_no AND d.t >= s.low AND d.t < greatest(s.low + 1, s.high) WHERE s.choice <> s.period GROUP BY s.stream_id, s.frame_no
+), final AS (SELECT s.stream_id, s.frame_no, coalesce(a.p, s.period) AS p FROM spans s LEFT JOIN again a USING (stream_id, frame_no))
+SELECT f.stream_id, f.frame_no, round(CAST(f.frame_no * 0.01 AS DOUBLE), 6) AS t, round(greatest(1 - d.d, 0), 6) AS voicing, round(CASE WHEN p > 0 THEN 1000.0 / p ELSE 1000.0 END, 6) AS f0
+FROM final f JOIN d ON d.stream_id = f.stream_id AND d.frame_no = f.frame_no AND d.t = f.p""")
 def yin_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     fe = frontend.FrontEnd(**SMALL)
-    return pitch.track(frontend.frames_of_rows(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), ["stream_id", "utt_seq"], fe.rate, block=4096)
+    got = pitch.track(frontend.frames_of_rows(_signal(spark, sf_dir), fe, ["stream_id", "utt_seq"]), ["stream_id", "utt_seq"], fe.rate, block=4096)
+    return got.select("stream_id", "frame_no", *[F.round(c, 6).alias(c) for c in ("t", "voicing", "f0")])
 
 
 @query(f"""WITH {MODEL.strip()}, tri AS (SELECT DISTINCT word AS a, n1 AS b, n2 AS c FROM (

@@ -267,3 +267,33 @@ def test_signal_queries_hold_no_stream_in_a_row(spark):
     assert sorted(map(tuple, samples.select("stream_id", "i", "value").collect())) == sorted(map(tuple, want.collect()))
     plan = plans.noise_vad(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_extraction_from_files_to_feature_files(spark, tmp_path):
+    """Audio files to cepstra of speech frames with noise taken off, against the same steps one after another."""
+    rng = np.random.default_rng(9)
+    quiet = rng.normal(0, 30, 12000)
+    talk = quiet + np.concatenate([np.zeros(4000), 6000 * np.sin(2 * np.pi * 300 * np.arange(5000) / 16000) * (1 + np.sin(np.arange(5000) / 700)), np.zeros(3000)])
+    for name, x in (("a", talk), ("b", quiet)):
+        (tmp_path / f"{name}.wav").write_bytes(wav(np.clip(x, -32768, 32767).astype(np.int16)))
+    read = audio.read_audio(spark, str(tmp_path / "*.wav")).select(F.regexp_extract("path", "([^/]*)$", 1).alias("stream_id"), F.lit(0).alias("utt_seq"), "pcm")
+    got = {(r.stream_id, r.frame_no): r.c for r in frontend.extract(read, FE).collect()}
+    want, counts = {}, {}
+    for u in read.collect():
+        x = np.array(u.pcm, dtype=float)
+        cut = [(x[i : i + FE.size], x[i - 1] if i else 0.0) for i in range(0, len(x), FE.shift)]
+        n = 1 if len(x) < FE.size else (len(x) - FE.size) // FE.shift + 2
+        mel = FE.spectrum([s for s, _ in cut[:n]], np.array([p for _, p in cut[:n]]))
+        tracker, hangover = activity.NoiseTracker(), activity.Hangover()
+        for i, m in enumerate(mel):
+            clean, speech = tracker.step(m)
+            for k, c in hangover.step((i, clean), speech):
+                want[u.stream_id, k] = FE.cepstra(c[None])[0]
+        counts[u.stream_id] = n
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    spoken = {k for s, k in got if s == "a.wav"}
+    assert spoken
+    every = frontend.extract(read, FE, remove_noise=False, remove_silence=False)
+    assert every.count() == sum(counts.values())
+    assert frames.write_files(frames.frame_files(every.drop("utt_seq"), "stream_id"), f"file://{tmp_path}/out", "stream_id", ".feat") == 2
+    assert frames.read_frames(spark, f"{tmp_path}/out/*.feat").count() == sum(counts.values())

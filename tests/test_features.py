@@ -83,3 +83,34 @@ def test_gain(frames, utterances):
         low = x[x[:, 0] < x[:, 0].min() + 2.0, 0].mean()
         for i, r in enumerate(x):
             assert top[u, i] == pytest.approx([r[0] - x[:, 0].max(), *r[1:]]) and noise[u, i] == pytest.approx([r[0] - low, *r[1:]])
+
+
+def test_modes_are_explicit(frames, utterances):
+    got = {(r.utt, r.frame_no): r.c for r in normalise.normalise(frames, ["utt"], WIDTH, "batch", "max").collect()}
+    for u, x in utterances.items():
+        voiced = x[x[:, 0] >= 0]
+        y = x - (voiced.mean(axis=0) if len(voiced) else 0)
+        y[:, 0] -= y[:, 0].max()
+        assert all(got[u, i] == pytest.approx(r) for i, r in enumerate(y))
+    assert normalise.normalise(frames, ["utt"], WIDTH, "none", "none", whole=False).count() == frames.count()
+    for wrong in (dict(mean="live"), dict(gain="emax"), dict(mean="mean"), dict(mean="batch", whole=False), dict(mean="none", gain="max", whole=False)):
+        with pytest.raises(ValueError):
+            normalise.normalise(frames, ["utt"], WIDTH, **wrong)
+
+
+@pytest.mark.parametrize("start, end, window", [(0, 3, 0), (2, 5, 2), (0, None, 3), (1, 99, 4), (7, 8, 3)])
+def test_padded_range(frames, utterances, start, end, window):
+    got = {(r.utt, r.frame_no): r.c for r in dynamic.padded_range(frames, ["utt"], start, end, window, WIDTH).collect()}
+    want = {}
+    for u, x in utterances.items():
+        if len(x) <= start:
+            continue
+        last = min(len(x) - 1, len(x) if end is None else end)
+        part = x[max(0, start - window) : last + window + 1]
+        voiced = part[part[:, 0] >= 0]
+        part = part - (voiced.mean(axis=0) if len(voiced) else 0)
+        for i in range(start - window, last + window + 1):
+            want[u, i] = at(part, i - max(0, start - window))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    with pytest.raises(ValueError):
+        dynamic.padded_range(frames, ["utt"], 3, 3, 1, WIDTH)

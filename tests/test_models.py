@@ -143,3 +143,66 @@ def test_classes_vocabularies_and_sets(spark, tmp_path):
     (tmp_path / "l.ctl").write_text("{ c.def }\nm.arpa first { x y }\nn.arpa second\n")
     got = models.read_model_list(spark, str(tmp_path / "l.ctl"))
     assert [(n, c) for _, n, c in got.models] == [("first", ["x", "y"]), ("second", [])] and got.class_files == [str(tmp_path / "c.def")]
+
+
+def brute_score(grams, words, unknown=None):
+    """By token: log10 p, by the definition of back-off."""
+    known = [w if (w,) in grams else unknown for w in words]
+    for i, w in enumerate(known):
+        if w is None:
+            yield None
+            continue
+        history = []
+        for h in reversed(known[max(0, i - 2) : i]):
+            if h is None:
+                break
+            history.insert(0, h)
+
+        def p(context):
+            if (*context, w) in grams:
+                return grams[*context, w][0]
+            bo = grams[tuple(context)][1] or 0 if tuple(context) in grams else None
+            return p(context[1:]) + (bo if bo is not None else 0)
+
+        def known_back(context):  # an unknown context ends the chain of back-offs for shorter ones found with it
+            return tuple(context) in grams
+
+        total, at = None, history
+        for n in range(len(history), -1, -1):
+            at = history[len(history) - n :]
+            if (*at, w) in grams:
+                total = grams[*at, w][0]
+                for k in range(n + 1, len(history) + 1):
+                    if not known_back(history[len(history) - k :]):
+                        break
+                    total += grams[tuple(history[len(history) - k :])][1] or 0
+                break
+        yield total
+
+
+def test_scores_against_the_definition(spark, model):
+    grams = table(model[0])
+    lines = ["<s> a b c a b c", "b c zzz a b", "a a a c b", "zzz", "<s> zzz b c (utt1)", "c (x) (u)"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "line int, text string")
+    tokens = text.tokens(docs, keys=["line"])
+    for unknown in (None, "<UNK>", "nowhere"):
+        got = {(r.line, r.pos): r.log10_p for r in ngram.score(tokens, model[0], ["line"], 3, unknown=unknown).collect()}
+        want = {(i, k): p for i, t in enumerate(lines) for k, p in enumerate(brute_score(grams, t.split(), unknown if unknown != "nowhere" else None))}
+        assert {k: v if v is None else round(v, 9) for k, v in got.items()} == {k: v if v is None else round(v, 9) for k, v in want.items()}
+    e = ngram.evaluate(tokens, model[0], ["line"], 3).first()
+    kept = [t.split()[:-1] if t.endswith(")") else t.split() for t in lines]
+    scores = [(w, p) for t in kept for w, p in zip(t, brute_score(grams, t), strict=True)]
+    hit = [p for w, p in scores if w != "<s>" and p is not None]
+    assert (e.n_words, e.n_cues, e.n_oov) == (len(scores), 2, sum(p is None for _, p in scores)) and e.log10_p == pytest.approx(sum(hit))
+    assert e.entropy == pytest.approx(-sum(hit) / math.log10(2) / len(hit)) and e.perplexity == pytest.approx(2**e.entropy) and e.oov_percent == pytest.approx(100 * e.n_oov / e.n_words)
+    by = ngram.evaluate(tokens, model[0], ["line"], 3, keys=["line"]).collect()
+    assert {r.line: r.n_words for r in by} == {i: len(t) for i, t in enumerate(kept) if t}
+
+
+def test_conversion(spark, model, tmp_path):
+    from auralake.api import NGramModel, NGramModelSet
+
+    upper = NGramModel.convert(spark, model[1], f"{tmp_path}/up.parquet", target_kind="parquet", fold="upper")
+    assert ("A", "B") in table(upper.ngrams) and table(models.read_model(spark, f"{tmp_path}/up.parquet", "parquet")) == table(upper.ngrams)
+    both = NGramModelSet.of({"x": NGramModel(model[0], 3), "y": upper}).weighted(9.5, 0.7).with_words(spark.createDataFrame([("new", 1.0)], "word string, weight double"))
+    assert all(m.lw == 9.5 and ("new",) in table(m.ngrams) for m in both.models.values())
