@@ -175,3 +175,9 @@ def segment_audio(segs: DataFrame, utterances: DataFrame, shift: int, size: int,
 
     met = segs.join(utterances.select(*keys, pcm), keys)
     return met.withColumn(pcm, F.slice(pcm, F.col("start_frame").cast("int") * shift + 1, (F.col("n_frames").cast("int") - 1) * shift + size))
+
+
+def report_lines(segs: DataFrame, shift: int, stream: str = "stream_id", frame_rate: int = 100) -> DataFrame:
+    """stream, seg_no and line: where each segment starts and how long it is."""
+    line = F.format_string("segment %d of %s: from %.1f s, %d samples, %.2f s", F.col("seg_no").cast("int"), F.col(stream).cast("string"), F.col("start_frame") / frame_rate, (F.col("n_frames") * shift).cast("long"), F.col("n_frames") / frame_rate)
+    return segs.select(stream, "seg_no", line.alias("line"))

@@ -76,10 +76,14 @@ def numbered_vocabulary(words: DataFrame) -> DataFrame:
     return parts.withColumn("_r", F.row_number().over(inside) - 1).join(F.broadcast(starts), "_p").select((F.col("_start") + F.col("_r")).alias("wid"), "word")
 
 
-def remap_vocabulary(mapped: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows of a union vocabulary for just the given words; those that no model has get nulls."""
-    models = mapped.select("model").distinct()
-    return words.select("word").distinct().crossJoin(F.broadcast(models)).join(mapped, ["word", "model"], "left")
+def remap_vocabulary(mapped: DataFrame, words: DataFrame, most: int = 1000) -> DataFrame:
+    """The rows of a union vocabulary for just the given words; those that no model has get nulls. A set has a few models,
+    whose names go into the plan; more than `most` are an error."""
+    names = [r["model"] for r in mapped.select("model").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} models in a set")
+    each = words.select("word").distinct().select("word", F.explode(F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")).alias("model"))
+    return each.join(mapped, ["word", "model"], "left")
 
 
 def add_model(weights: DataFrame, model: str, weight: float) -> DataFrame:

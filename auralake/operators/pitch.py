@@ -79,3 +79,8 @@ def track(framed: DataFrame, keys: list[str], rate: float, threshold: float = 0.
     step = (shift or int(rate / 100 + 0.5)) / rate
     f0 = F.when(F.col("_r.period") > 0, rate / F.col("_r.period")).otherwise(F.lit(float(rate)))
     return met.select(*keys, "frame_no", (F.col("frame_no") * step).alias("t"), F.greatest(1 - F.col("_r.diff"), F.lit(0.0)).alias("voicing"), f0.alias("f0"))
+
+
+def text_lines(tracked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, frame_no and line: time, voicing and pitch as text."""
+    return tracked.select(*keys, "frame_no", F.format_string("%.3f %.2f %.2f", "t", "voicing", "f0").alias("line"))

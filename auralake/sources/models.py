@@ -77,8 +77,31 @@ def kind_of(path: str) -> str:
     return next((k for k in ("arpa", "dmp", "bin", "parquet") if stem.endswith(f".{k}")), "arpa")
 
 
+# What packed files begin with, within their first bytes.
+PACKED = {b"PAR1": "parquet", b"Trie Language Model": "bin", b"Darpa Trigram LM": "dmp"}
+
+
+def kind_by_content(spark: SparkSession, path: str) -> str:
+    """The kind of a file, or of the first file of a folder, by its first bytes; text where they tell nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.isDirectory(at):
+        inside = [f.getPath() for f in files.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+        if not inside:
+            raise ValueError(f"{path} has no files")
+        at = min(inside, key=lambda f: f.getName())
+    stream = files.open(at)
+    try:
+        head = bytes(stream.readNBytes(64))
+    finally:
+        stream.close()
+    return next((kind for mark, kind in PACKED.items() if mark in head), "arpa")
+
+
 def read_model(spark: SparkSession, path: str, kind: str = "auto") -> DataFrame:
-    kind = kind_of(path) if kind == "auto" else kind
+    """kind auto goes by the name, and where that says nothing by the contents."""
+    if kind == "auto":
+        kind = kind_of(path) if re.search(r"\.(arpa|dmp|bin|parquet)(\.(gz|bz2))?$", path.lower()) else kind_by_content(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind != "arpa":

@@ -297,3 +297,10 @@ def test_extraction_from_files_to_feature_files(spark, tmp_path):
     assert every.count() == sum(counts.values())
     assert frames.write_files(frames.frame_files(every.drop("utt_seq"), "stream_id"), f"file://{tmp_path}/out", "stream_id", ".feat") == 2
     assert frames.read_frames(spark, f"{tmp_path}/out/*.feat").count() == sum(counts.values())
+
+
+def test_text_reports(spark):
+    segs = spark.createDataFrame([("s", 0, 12, 30)], "stream_id string, seg_no int, start_frame int, n_frames long")
+    assert activity.report_lines(segs, 160).first().line == "segment 0 of s: from 0.1 s, 4800 samples, 0.30 s"
+    tracked = spark.createDataFrame([("s", 3, 0.03, 0.987, 123.456)], "stream_id string, frame_no int, t double, voicing double, f0 double")
+    assert pitch.text_lines(tracked, ["stream_id"]).first().line == "0.030 0.99 123.46"

@@ -206,3 +206,21 @@ def test_conversion(spark, model, tmp_path):
     assert ("A", "B") in table(upper.ngrams) and table(models.read_model(spark, f"{tmp_path}/up.parquet", "parquet")) == table(upper.ngrams)
     both = NGramModelSet.of({"x": NGramModel(model[0], 3), "y": upper}).weighted(9.5, 0.7).with_words(spark.createDataFrame([("new", 1.0)], "word string, weight double"))
     assert all(m.lw == 9.5 and ("new",) in table(m.ngrams) for m in both.models.values())
+
+
+def test_kinds_by_content(spark, model, tmp_path):
+    (tmp_path / "plain").write_text(ARPA)
+    assert table(models.read_model(spark, f"{tmp_path}/plain")) == table(model[0])
+    model[0].write.parquet(f"{tmp_path}/columns")
+    assert table(models.read_model(spark, f"{tmp_path}/columns")) == table(model[0])
+    for name, head in (("x", b"Trie Language Model\x03"), ("y", b"\x11\0\0\0Darpa Trigram LM\0")):
+        (tmp_path / name).write_bytes(head + bytes(80))
+        with pytest.raises(ValueError, match="packed"):
+            models.read_model(spark, f"{tmp_path}/{name}")
+
+
+def test_remapped_vocabulary(spark):
+    v = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    mapped = lm_edit.union_vocabulary({"m": v("a", "<UNK>"), "n": v("b")})
+    got = {(r.word, r.model): r.own for r in lm_edit.remap_vocabulary(mapped, v("a", "b", "z", "a")).collect()}
+    assert got == {("a", "m"): "a", ("a", "n"): None, ("b", "m"): "<UNK>", ("b", "n"): "b", ("z", "m"): None, ("z", "n"): None}
