@@ -359,9 +359,38 @@ def mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("stream_id", "frame_no", F.posexplode("c").alias("dim", "c")).withColumn("c", F.round(F.col("c").cast("double"), 3))
 
 
-@query()
+def _lists(*of: str) -> str:
+    """SQL for lists over the eight filters: each expression of x and i, as name."""
+    return ", ".join(f"list_transform(range(1, 9), lambda i: {e}) AS {n}" for n, e in (x.split("=", 1) for x in of))
+
+
+#: One step of the tracker for each round of the recursion, then the hangover, by stream and frame.
+VAD = f"""{MEL.replace("WITH ", "WITH RECURSIVE ", 1).replace("ln(sum(p * w) + 1e-4) AS log_mel", "sum(p * w) AS v")}, spectra AS (
+    SELECT stream_id, frame_no, list(v ORDER BY m) AS m FROM mel GROUP BY stream_id, frame_no
+), steps AS (
+    SELECT stream_id, CAST(-1 AS BIGINT) AS frame_no, m AS power, [x / 20 FOR x IN m] AS noise, [x / 20 FOR x IN m] AS floor, [0.0::DOUBLE FOR x IN m] AS peak, 0.0::DOUBLE AS slow, m AS clean, false AS speech, false AS inside, 0 AS run, CAST(0 AS BIGINT) AS held
+    FROM spectra WHERE frame_no = 0
+    UNION ALL
+    SELECT stream_id, frame_no, power, noise, floor, peak, slow, clean, speech,
+        CASE WHEN NOT inside AND run >= 10 THEN true WHEN inside AND run >= 50 THEN false ELSE inside END,
+        CASE WHEN NOT inside AND run >= 10 OR inside AND run >= 50 THEN 0 ELSE run END,
+        CASE WHEN inside AND run >= 50 THEN frame_no + 1 ELSE held END
+    FROM (SELECT * REPLACE (CASE WHEN speech <> inside THEN run + 1 ELSE 0 END AS run), {_lists("clean=m[i] * list_avg(list_slice(gain, greatest(i - 4, 1), least(i + 4, 8)))")} FROM (
+        SELECT *, {_lists("gain=least(greatest(CASE WHEN power[i] > 0 THEN greatest(masked[i], floor[i]) / power[i] ELSE 20 END, 0.05), 20)")} FROM (
+            SELECT * REPLACE ({_lists("peak=greatest(peak[i], signal[i])")}), {_lists("masked=CASE WHEN signal[i] < 0.85 * peak[i] THEN peak[i] * 0.2 ELSE signal[i] END")}, NOT (ratio < 3 OR slow - 8 > volume) AS speech FROM (
+                SELECT * REPLACE (CASE WHEN volume > slow THEN 0.9 * slow + (1 - 0.9) * volume ELSE 0.9995 * slow + (1 - 0.9995) * volume END AS slow, {_lists("floor=CASE WHEN signal[i] >= floor[i] THEN 0.995 * floor[i] + (1 - 0.995) * signal[i] ELSE 0.5 * floor[i] + 0.5 * signal[i] END", "peak=peak[i] * 0.85")}) FROM (
+                    SELECT *, ln(list_sum(signal)) AS volume FROM (
+                        SELECT *, {_lists("signal=greatest(power[i] - noise[i], 1)")}, greatest(0, list_max({_lists("r=CASE WHEN power[i] > 0 AND noise[i] > 0 THEN ln(power[i] / noise[i]) ELSE 0 END").removesuffix(" AS r")})) AS ratio FROM (
+                            SELECT * REPLACE ({_lists("noise=CASE WHEN power[i] >= noise[i] THEN 0.995 * noise[i] + (1 - 0.995) * power[i] ELSE 0.5 * noise[i] + 0.5 * power[i] END")}) FROM (
+                                SELECT s.stream_id, s.frame_no, s.m, {_lists("power=0.7 * t.power[i] + (1 - 0.7) * s.m[i]")}, t.noise, t.floor, t.peak, t.slow, t.inside, t.run, t.held FROM steps t JOIN spectra s ON s.stream_id = t.stream_id AND s.frame_no = t.frame_no + 1))))))))
+), starts AS (SELECT n.stream_id, greatest(n.held, n.frame_no - 20) AS a, n.frame_no AS b FROM steps n JOIN steps p ON p.stream_id = n.stream_id AND p.frame_no = n.frame_no - 1 WHERE n.inside AND NOT p.inside
+), marked AS (SELECT s.*, s.inside OR EXISTS (SELECT 1 FROM starts x WHERE x.stream_id = s.stream_id AND s.frame_no BETWEEN x.a AND x.b) AS emitted FROM steps s WHERE s.frame_no >= 0)"""
+
+
+@query(f"{VAD} SELECT stream_id, frame_no, speech, emitted, CAST(f - 1 AS INTEGER) AS filter, round(ln(clean[f] + 1e-4), 4) AS log_mel FROM marked, (SELECT unnest(range(1, 9)) AS f)")
 def noise_vad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.track(_spectra(spark, sf_dir))
+    tracked = activity.track(_spectra(spark, sf_dir))
+    return tracked.select("stream_id", "frame_no", "speech", "emitted", F.posexplode("mel").alias("filter", "mel")).withColumn("mel", F.round(F.log(F.col("mel") + 1e-4), 4)).withColumnRenamed("mel", "log_mel")
 
 
 @query(f"""{_cut_sql(32, 10)}, sizes AS (SELECT stream_id, frame_no, greatest(count(*) // 2, 1) AS n, count(*) AS len FROM framed GROUP BY stream_id, frame_no
