@@ -11,6 +11,7 @@ from .functions import text as text_functions
 from .functions.logmath import LogMath
 from .operators import graph, lm_edit, ngram
 from .sources import graphs, models
+from .tables import cut
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,8 @@ class NGramModel:
     @classmethod
     def read(cls, spark: SparkSession, path: str, kind: str = "auto") -> NGramModel:
         table = models.read_model(spark, path, kind)
+        if not path.rstrip("/").endswith(".parquet"):  # text is parsed once, however many orders are scored
+            table = cut(table)
         order = table.agg(F.max("ord")).first()[0] or 1
         closed = table.where((F.col("ord") == 1) & (F.col("words")[0] == lm_edit.UNKNOWN)).limit(1).count()
         return cls(table, order, unknown=lm_edit.UNKNOWN if closed else None)
