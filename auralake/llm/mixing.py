@@ -23,12 +23,14 @@ from . import common
 #: No source and no document counts for more than this many times its size.
 CAP = 3
 WEIGHTS = (1, 2, 3)
-MAX_ITERATIONS = 60
+MAX_ITERATIONS = 200
 TOLERANCE = 1e-7
 #: Rates are multiples of 1 / GRID.
 GRID = 1_000_000
 #: Units of partial sums in the Newton steps, per word.
 UNIT = 1000
+#: A source is at its target within this share of it, or within so many words, below which the units don't reach.
+NEAR_WORDS = 0.01
 OFFSETS = 64
 #: Cells of one source and size part into so many by the document's hash.
 PARTS = 64
@@ -105,7 +107,7 @@ def solve(cells: DataFrame, sources: DataFrame, scratch: common.Scratch) -> Data
         middle = F.when(low == -inf, 2 * high - 1).when(high == inf, 2 * low + 1).otherwise((low + high) / 2)
         step = F.when((newton > low) & (newton < high), newton).otherwise(middle)
         shut = (high < inf) & (low > -inf) & (high - low <= 1e-13 * F.greatest(F.abs(low), F.abs(high)))
-        near = (F.abs(g - t) <= TOLERANCE * t) | shut
+        near = (F.abs(g - t) <= F.greatest(TOLERANCE * t, F.lit(NEAR_WORDS))) | shut
         keep = F.col("_al_done") | near
         nxt = state.join(sums, F.col("_al_source") == F.col("_al_s"), "left")
         nxt = nxt.withColumns({"_al_dual": F.when(keep, d).otherwise(step), "_al_low": low, "_al_high": high, "_al_done": keep}).select(*kept)
