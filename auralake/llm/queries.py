@@ -26,18 +26,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.classes(common.documents(spark, sf_dir).select("doc_id", "text"))
+    out = simhash.classes(common.spread(common.documents(spark, sf_dir).select("doc_id", "text")))
     return out.select("doc_id", simhash.as_hex(F.col("f")).alias("fingerprint"), "component_id")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(common.documents(spark, sf_dir).select("doc_id", "text"))
+    out = linededup.dedup_lines(common.spread(common.documents(spark, sf_dir).select("doc_id", "text")))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.contamination(common.documents(spark, sf_dir).select("doc_id", "text"), bench)
+    return decontam.contamination(common.spread(common.documents(spark, sf_dir).select("doc_id", "text")), bench)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
