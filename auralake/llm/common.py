@@ -102,3 +102,21 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: A key with over one in so many of the rows is a hot one; there can't be more hot keys than that.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, group_key: str, n: str) -> DataFrame:
+    """rows joined with the one row of groups that has their key, null keys among themselves; `n` in groups counts their rows.
+
+    Hot keys, at most HOT_SHARE of them, are broadcast, so that no task gets all rows of one; the others meet in a shuffled
+    join. Both tables are read twice, so they should be written ones or cheap."""
+    total = groups.agg(F.sum(n).alias("t")).first()["t"] or 0
+    hot = F.broadcast(groups.where(F.col(n) * HOT_SHARE > total).limit(HOT_SHARE))
+    same = lambda g: F.col(key).eqNullSafe(g[group_key])
+    cold = groups.where(F.col(n) * HOT_SHARE <= total)
+    met = rows.join(hot, same(hot)).drop(group_key, n)
+    rest = rows.join(hot.select(group_key), same(hot), "left_anti")
+    return met.unionByName(rest.join(cold, same(cold)).drop(group_key, n))

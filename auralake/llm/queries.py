@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, linededup, lm, mixing, quality, sharding, simhash, substring, tokencount
+from . import alignment, common, decontam, langid, linededup, lm, mixing, quality, sharding, simhash, substring, tokencount, tokenfiles, vectorcodes
 
 SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+END_ID = 2
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +67,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    books = vectorcodes.fit(rows)
+    coded = vectorcodes.encode(rows, books).select("vec_id", "label", vectorcodes.code_string(F.col("_al_code.codes"), 4).alias("code"), "_al_code.error")
+    coded = common.Scratch(spark, "vector_codes").write(coded, "coded")
+    out = vectorcodes.with_group_errors(coded, "label", "error", "label_error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    folder = common.Scratch(spark, "token_files").path("tokens")
+    tokenfiles.write(docs, folder, public_tokenizers.path(TOKENIZER), end_id=END_ID)
+    placed = tokenfiles.located(tokenfiles.read(spark, folder, "doc_id long, row long, ids array<int>"))
+    return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.spread(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return alignment.align_corpus(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))[0]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op4_line_dedup, op5_decontamination, op6_quality_rules, op7_lm_scoring, op8_token_counts, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op4_line_dedup, op5_decontamination, op6_quality_rules, op7_lm_scoring, op8_token_counts, op9_substring_dedup, op10_mixing, op11_vector_codes, op12_token_files, op13_alignment)}
 
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
