@@ -69,9 +69,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
-    books = vectorcodes.fit(rows)
-    coded = vectorcodes.encode(rows, books).select("vec_id", "label", vectorcodes.code_string(F.col("_al_code.codes"), 4).alias("code"), "_al_code.error")
-    coded = common.Scratch(spark, "vector_codes").write(coded, "coded")
+    books, coded = vectorcodes.compress(rows)
+    coded = coded.select("vec_id", "label", vectorcodes.code_string(F.col("_al_code.codes"), 4).alias("code"), "_al_code.error")
     out = vectorcodes.with_group_errors(coded, "label", "error", "label_error")
     return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 

@@ -5,9 +5,9 @@ are dealt out. A vector's nearest entry is searched from its entry of the round
 that one lies no farther from it than twice the vector's own distance, so only the head of that entry's list of
 neighbours, sorted by distance, is scanned.
 
-A round is one pass over the vectors. A task replays the earlier rounds' codebooks on a batch, which gives each vector's previous
-entry without a written table of codes, and returns sums by entry; Spark adds them up. Codebooks hold at most
-`entries` vectors, whatever the table's size, and are all that reaches the driver."""
+A round writes the rows with their new entries to the shared folder, from where the next round starts, and drops the round's table
+before; tasks then add up their rows by entry and Spark adds up the tasks. Codebooks hold at most `entries` vectors,
+whatever the table's size, and are all that reaches the driver."""
 
 from __future__ import annotations
 
@@ -72,7 +72,11 @@ def _suited(*arrays: np.ndarray) -> list[np.ndarray]:
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of the rows of x to those of y."""
-    return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+    out = x @ y.T
+    out *= -2
+    out += (y * y).sum(axis=1)[None, :]
+    out += (x * x).sum(axis=1)[:, None]
+    return out
 
 
 class Neighbours:
@@ -97,10 +101,7 @@ class Neighbours:
         for rows in np.split(by_entry, heads[1:]) if len(x) else []:
             a = start[rows[0]]
             inside = np.searchsorted(self.sorted[a], reach[rows], side="right")
-            # rows whose radius holds about as many entries are scanned together
-            level = np.array([int(n).bit_length() for n in inside])
-            for k in np.unique(level):
-                some, counts = rows[level == k], inside[level == k]
+            for some, counts in self._alike(rows, inside):
                 near = self.order[a][: counts.max()]
                 d = _squared(x[some], book[near])
                 scanned += d.size
@@ -109,6 +110,14 @@ class Neighbours:
                 at[some] = np.where(d == least[:, None], near[None, :], len(book)).min(axis=1)
         return at, best, scanned
 
+    @staticmethod
+    def _alike(rows: np.ndarray, inside: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows whose radius holds about as many entries are scanned together, where there are enough to tell apart."""
+        if len(rows) < 64 or inside.max() < 2 * inside.min():
+            return [(rows, inside)]
+        level = np.frexp(inside)[1]
+        return [(rows[level == k], inside[level == k]) for k in np.unique(level)]
+
 
 def _kept(v: Column) -> Column:
     """True for vectors that are not null and hold only finite components."""
@@ -120,109 +129,131 @@ def _codable(v: Column, dim: int) -> Column:
 
 
 def kept_rows(vectors: DataFrame, vector_col: str) -> DataFrame:
-    """vectors without the rows whose vector is null or holds a null or non-finite component; the vector as doubles."""
-    v = F.col(vector_col).cast("array<double>")
-    return vectors.withColumn(vector_col, v).where(_kept(F.col(vector_col)))
+    """vectors without the rows whose vector is null or holds a null or non-finite component."""
+    return vectors.where(_kept(F.col(vector_col).cast("array<double>")))
+
 
+def _array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    column = _array(column)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _assign(x: np.ndarray, cuts: list[int], rounds: list[list[Neighbours]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(entries, squared distances) by part after a replay of all rounds, each from the entries of the one before."""
-    codes, errors = [], []
-    for p in range(len(cuts) - 1):
-        part, at, best = x[:, cuts[p] : cuts[p + 1]], np.zeros(len(x), dtype=np.int64), None
-        for r in rounds:
-            at, best, _ = r[p].nearest(part, at)
-        codes.append(at)
-        errors.append(best)
-    return codes, errors
+def _assigned(vector: Column, codes: Column | None, books: list[np.ndarray], dim: int, scale: int) -> Column:
+    """A struct of `codes` and `error` of each vector in the codebooks, searched from its codes so far; null for null."""
+    cuts = bounds(dim, len(books))
+    kind = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("error", T.LongType())])
+
+    def run(near: list[Neighbours], column: pa.Array, before: pa.Array | None) -> pa.Array:
+        there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        x = whole_numbers(_matrix(column.drop_null(), dim), scale)
+        start = _matrix(before.drop_null(), len(books)).astype(np.int64) if before is not None else np.zeros((len(x), len(books)), np.int64)
+        found = [n.nearest(x[:, cuts[p] : cuts[p + 1]], start[:, p])[:2] for p, n in enumerate(near)]
+        total = sum(e.astype(object) if e.dtype == object else e.astype(np.int64) for _, e in found)
+        sizes, errors = np.zeros(len(column), np.int64), np.full(len(column), None, dtype=object)
+        sizes[there] = len(books)
+        errors[there] = [int(e) if e <= LONGEST else None for e in total]
+        gone = pa.array(sizes == 0)
+        codes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.stack([c for c, _ in found], axis=1).ravel(), pa.int32()), mask=gone)
+        return pa.StructArray.from_arrays([codes, pa.array(errors, pa.int64())], ["codes", "error"])
+
+    if codes is None:
+
+        @F.arrow_udf(kind)
+        def first(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            near = [Neighbours(b) for b in books]
+            for column in columns:
+                yield run(near, _array(column), None)
+
+        return first(vector)
+
+    @F.arrow_udf(kind)
+    def again(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        near = [Neighbours(b) for b in books]
+        for column, before in columns:
+            yield run(near, _array(column), _array(before))
 
+    return again(vector, codes)
 
-def _sums(rows: DataFrame, books: Codebooks, vector_col: str) -> DataFrame:
-    """(part, entry, pos, value): sums of the components of the vectors of each entry, and their number at pos -1. Tasks
-    add up their own rows first, so at most one codebook a task is shuffled."""
-    dim, scale, held = books.dim, books.scale, books.rounds
+
+def _sums(rows: DataFrame, dim: int, parts: int, scale: int) -> DataFrame:
+    """(part, entry, pos, value) of rows (v, codes): sums of the components of the vectors of each entry, and their number at pos
+    -1. Tasks add up their own rows first, so at most one codebook a task is shuffled."""
+    cuts = bounds(dim, parts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = [[Neighbours(b) for b in r] for r in held]
-        cuts = bounds(dim, len(held[0]))
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             if not len(batch):
                 continue
-            x = whole_numbers(_matrix(batch.column(0), dim), scale)
-            codes, _ = _assign(x, cuts, near)
-            for p, code in enumerate(codes):
-                order = np.argsort(code, kind="stable")
-                found, first, n = np.unique(code[order], return_index=True, return_counts=True)
-                part = np.c_[np.ones(len(x), dtype=object), x[:, cuts[p] : cuts[p + 1]].astype(object)] if x.dtype == object else np.c_[np.ones(len(x), dtype=np.int64), x[:, cuts[p] : cuts[p + 1]]]
-                if x.dtype != object and int(np.abs(x).max(initial=0)) * len(x) > LONGEST:
-                    part = part.astype(object)
-                for e, s in zip(found.tolist(), np.add.reduceat(part[order], first, axis=0).astype(object), strict=True):
+            x, codes = whole_numbers(_matrix(batch.column(0), dim), scale), _matrix(batch.column(1), parts)
+            if x.dtype != object and int(np.abs(x).max(initial=0)) * len(x) > LONGEST:
+                x = x.astype(object)
+            for p in range(parts):
+                order = np.argsort(codes[:, p], kind="stable")
+                found, first, n = np.unique(codes[order, p], return_index=True, return_counts=True)
+                summed = np.add.reduceat(x[order, cuts[p] : cuts[p + 1]], first, axis=0)
+                for e, s in zip(found.tolist(), np.c_[n, summed].astype(object), strict=True):
                     total[p, e] = total[p, e] + s if (p, e) in total else s
         rows = [(p, e, i - 1, Decimal(int(v))) for (p, e), s in total.items() for i, v in enumerate(s)]
         part, entry, pos, value = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(entry, pa.int32()), pa.array(pos, pa.int32()), pa.array(value, pa.decimal128(38, 0))], ["part", "entry", "pos", "value"])
 
-    sums = rows.select(vector_col).where(_codable(F.col(vector_col), dim)).mapInArrow(add, "part int, entry int, pos int, value decimal(38,0)")
+    sums = rows.select("v", "codes").where(F.col("codes").isNotNull()).mapInArrow(add, "part int, entry int, pos int, value decimal(38,0)")
     return sums.groupBy("part", "entry", "pos").agg(F.sum("value").cast("decimal(38,0)").alias("value"))
 
 
-def fit(vectors: DataFrame, *, entries: int = 256, parts: int = 4, rounds: int = 4, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> Codebooks:
-    """Codebooks that start as the parts of the `entries` rows of least id (null ids last; equal ids by their components) and
-    are renewed `rounds` times as the floors of their vectors' means; an entry without vectors stays.
+def compress(
+    vectors: DataFrame, *, entries: int = 256, parts: int = 4, rounds: int = 4, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", name: str = "_al_code"
+) -> tuple[Codebooks, DataFrame]:
+    """(codebooks, the kept rows with a struct column `name` of their `codes` and `error`, a long).
+
+    Rows whose vector is null or holds a null or non-finite component go; all others stay, repeated ones too, with all
+    their columns. Codebooks start as the parts of the `entries` kept rows of least id (null ids last; equal ids by their
+    components) and are renewed `rounds` times as the floors of their vectors' means; an entry without vectors stays. Vectors are then
+    assigned once more. The error is the squared distance to the entries, summed over parts.
 
-    Vectors that are null or hold null or non-finite components don't count. The first row's length is `dim`; rows of another
-    length, or with a component of 2**52 or more, don't count either. Parts are as equal as dim allows. An empty table gives
-    codebooks without entries; fewer rows than `entries` give as many entries as rows."""
-    rows = kept_rows(vectors, vector_col).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x) < LARGEST))
+    The first row's length is `dim`; rows of another length, and rows with a component of 2**52 or more, have null codes and
+    errors and count in no codebook; an error that a long can't hold is null. Parts are as equal as dim allows. An
+    empty table gives codebooks without entries and no rows; fewer rows than `entries` give as many entries as rows."""
+    kept = kept_rows(vectors, vector_col)
+    first = kept.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.forall("v", lambda x: F.abs(x) < LARGEST))
     order = [F.col("id").isNull(), F.col("id"), F.col("v")]
-    one = rows.orderBy(*order).limit(1).collect()
+    one = first.orderBy(*order).limit(1).collect()
     dim = len(one[0]["v"]) if one else 0
-    first = rows.where(F.size("v") == dim).orderBy(*order).limit(entries).collect() if one else []
-    start = whole_numbers(np.array([r["v"] for r in first], dtype=np.float64).reshape(len(first), dim), scale)
+    heads = first.where(F.size("v") == dim).orderBy(*order).limit(entries).collect() if one else []
+    start = whole_numbers(np.array([r["v"] for r in heads], dtype=np.float64).reshape(len(heads), dim), scale)
     cuts = bounds(dim, parts)
     books = Codebooks(dim, scale, [[start[:, cuts[p] : cuts[p + 1]] for p in range(parts)]])
-    for _ in range(rounds if len(first) else 0):
+    if not one:
+        return books, kept.withColumn(name, F.lit(None).cast("struct<codes: array<int>, error: long>"))
+    scratch = common.Scratch(vectors.sparkSession, "vector_codes")
+    v = F.col(vector_col)
+    right = F.when(_codable(v.cast("array<double>"), dim), v)
+    coded = scratch.write(kept.withColumn(name, _assigned(right, None, books.final, dim, scale)), "round0")
+    for r in range(rounds):
         new = [b.astype(object) for b in books.final]
-        sums = {(r["part"], r["entry"], r["pos"]): int(r["value"]) for r in _sums(rows, books, "v").collect()}
+        sums = {(s["part"], s["entry"], s["pos"]): int(s["value"]) for s in _sums(coded.select(v.alias("v"), F.col(f"{name}.codes").alias("codes")), dim, parts, scale).collect()}
         for (p, e, pos), n in sums.items():
             if pos < 0:
                 new[p][e] = [sums[p, e, i] // n for i in range(cuts[p + 1] - cuts[p])]
-        books.rounds.append([b.astype(np.int64) for b in new] if all(abs(int(v)) < EXACT for b in new for v in b.flat) else new)
-    return books
+        books.rounds.append([b.astype(np.int64) for b in new] if all(abs(int(c)) < EXACT for b in new for c in b.flat) else new)
+        again = _assigned(F.when(F.col(f"{name}.codes").isNotNull(), v), F.col(f"{name}.codes"), books.final, dim, scale)
+        coded = scratch.write(coded.withColumn(name, again), f"round{r + 1}")
+        scratch.drop(f"round{r}")
+    return books, coded
 
 
 def encode(vectors: DataFrame, books: Codebooks, *, vector_col: str = "embedding", name: str = "_al_code") -> DataFrame:
-    """vectors that are not null and all finite, with a struct column `name` of `codes` (array of ints) and `error` (long:
-    squared distances to the entries, summed over parts). Both are null for rows of another length than the codebooks' and for those with
-    a component of 2**52 or more; an error that a long can't hold is null. Other columns and repeated rows pass through."""
-    dim, scale, held = books.dim, books.scale, books.rounds
-    kind = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("error", T.LongType())])
-    rows = kept_rows(vectors, vector_col)
-
-    @F.arrow_udf(kind)
-    def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        near = [[Neighbours(b) for b in r] for r in held]
-        cuts = bounds(dim, len(held[0]))
-        for column in columns:
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            codes, errors = _assign(whole_numbers(_matrix(column.drop_null(), dim), scale), cuts, near) if len(there) else ([], [])
-            total = sum(e.astype(object) for e in errors) if len(there) else []
-            of_row: list = [None] * len(column)
-            for i, c, e in zip(there.tolist(), np.stack(codes, axis=1).tolist() if len(there) else [], total, strict=True):
-                of_row[i] = {"codes": c, "error": int(e) if e <= LONGEST else None}
-            yield pa.array(of_row, pa.struct([("codes", pa.list_(pa.int32())), ("error", pa.int64())]))
-
-    if not len(held[0][0]):
-        return rows.withColumn(name, F.lit(None).cast(kind))
-    return rows.withColumn(name, code(F.when(_codable(F.col(vector_col), dim), F.col(vector_col))))
+    """The kept ones of other vectors with their codes and errors in the final codebooks, as `compress` gives them for its own."""
+    v = F.col(vector_col)
+    kept = kept_rows(vectors, vector_col)
+    if not len(books.final[0]):
+        return kept.withColumn(name, F.lit(None).cast("struct<codes: array<int>, error: long>"))
+    return kept.withColumn(name, _assigned(F.when(_codable(v.cast("array<double>"), books.dim), v), None, books.final, books.dim, books.scale))
 
 
 def code_string(codes: Column, parts: int) -> Column:
