@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as text_functions
 from .functions.logmath import LogMath
-from .operators import graph, lm_edit, ngram
+from .operators import graph, lm_edit, ngram, numbered
 from .sources import graphs, models
 from .tables import cut
 
@@ -25,6 +25,11 @@ class NGramModel:
     lw: float = 1.0
     wip: float = 1.0
     math: LogMath = field(default_factory=LogMath)
+    store: numbered.Numbered | None = None
+
+    def numbered(self) -> NGramModel:
+        """The model with its words and n-grams numbered once, for many scorings: see `operators.numbered`."""
+        return replace(self, store=numbered.number(self.ngrams, self.order))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, kind: str = "auto") -> NGramModel:
@@ -49,31 +54,33 @@ class NGramModel:
         return model
 
     def evaluate(self, texts: DataFrame, line: list[str], keys: list[str] | None = None, text: str = "text") -> DataFrame:
-        """Totals over lines of text, by keys or over all: see `operators.ngram.evaluate`."""
-        return ngram.evaluate(text_functions.tokens(texts, text, line), self.ngrams, line, self.order, keys, self.unknown)
+        """Totals over lines of text, by keys or over all, with the model's classes and weights: see `operators.ngram.totals`. Ids at the
+        ends of lines don't count."""
+        tokens = ngram.without_ids(text_functions.tokens(texts, text, line), line)
+        return ngram.totals(self.score(tokens, line), keys, self.lw, self.wip, self.math)
 
     def weighted(self, lw: float, wip: float) -> NGramModel:
         return replace(self, lw=lw, wip=wip)
 
     def casefolded(self, upper: bool = False) -> NGramModel:
-        return replace(self, ngrams=lm_edit.fold_model(self.ngrams, upper))
+        return replace(self, ngrams=lm_edit.fold_model(self.ngrams, upper), store=None)
 
     def with_words(self, words: DataFrame) -> NGramModel:
-        return replace(self, ngrams=lm_edit.add_words(self.ngrams, words))
+        return replace(self, ngrams=lm_edit.add_words(self.ngrams, words), store=None)
 
     def with_classes(self, definitions: DataFrame) -> NGramModel:
         """definitions: class, word, weight. A class tag that the model lacks becomes a unigram."""
         shares = lm_edit.normalise_classes(definitions)
         tags = shares.select(F.col("class").alias("word"), F.lit(1.0).alias("weight")).distinct()
-        return replace(self, ngrams=lm_edit.add_words(self.ngrams, tags), classes=shares.select("class", "word", F.log10("weight").alias("log10_p")))
+        return replace(self, store=None, ngrams=lm_edit.add_words(self.ngrams, tags), classes=shares.select("class", "word", F.log10("weight").alias("log10_p")))
 
     def counts(self) -> DataFrame:
         return ngram.counts(self.ngrams)
 
     def score(self, tokens: DataFrame, line: list[str]) -> DataFrame:
-        """tokens (line, pos, word) with is_oov, n_hist, n_used, log10_p (of the class, too) and the integer score."""
+        """tokens (line, pos, word) with is_oov, is_unknown, n_hist, n_used, log10_p (of the class, too) and the integer score."""
         named = tokens if self.classes is None else ngram.class_tokens(tokens, self.classes)
-        out = ngram.score(named, self.ngrams, line, self.order, unknown=self.unknown)
+        out = numbered.score(named, self.store or numbered.number(self.ngrams, self.order), line, self.order, unknown=self.unknown)
         if self.classes is not None:
             out = out.withColumn("log10_p", F.col("log10_p") + F.col("log10_class"))
         return out.withColumn("score", ngram.weighted(F.col("log10_p"), self.lw, self.wip, self.math))

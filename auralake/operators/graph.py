@@ -1,14 +1,14 @@
 """Weighted finite-state graphs as tables of arcs (fsg, from_state, to_state, logp, word); a null word is an epsilon arc.
 
-Of arcs with the same ends and word the likeliest stays. Epsilon closure squares paths, so it takes about the logarithm
-of the longest path in rounds of one join each."""
+Of arcs with the same ends and word the likeliest stays. Epsilon closure joins changed arcs with all arcs on both sides, so
+it takes about the logarithm of the longest path in rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import new_folder, stored
 
 ENDS = ["fsg", "from_state", "to_state"]
 
@@ -22,21 +22,32 @@ def add_arcs(arcs: DataFrame, new: DataFrame | None = None) -> DataFrame:
     return kept.groupBy(*ENDS, "word").agg(F.max("logp").alias("logp")).select(*ENDS, "logp", "word")
 
 
-def close_epsilon(arcs: DataFrame, rounds: int = 64) -> DataFrame:
+def close_epsilon(arcs: DataFrame, rounds: int = 64, seen: list[int] | None = None) -> DataFrame:
     """arcs with all compositions of epsilon arcs, each pair of states once with the likeliest path. Composing arcs of
     probability one at most never improves a cycle, so the rounds end on cyclic graphs as well: with the first one that finds
-    no new or better arc anywhere."""
-    own = cut(add_arcs(arcs.where("word is null")).select(*ENDS, "logp", F.lit(True).alias("_new")))
-    for _ in range(rounds):
-        if not own.where("_new").limit(1).count():
+    no new or better arc anywhere.
+
+    A round composes only what the last one changed, in front of and behind all arcs: two arcs that were both there unchanged met
+    in the round that the later one came. seen, if given, gets the number of changed arcs of each round."""
+    spark = arcs.sparkSession
+    folder = new_folder(spark, "closure")
+    own = stored(add_arcs(arcs.where("word is null")).select(*ENDS, "logp", F.lit(True).alias("_new")), f"{folder}/0")
+    for i in range(rounds):
+        n = own.where("_new").count()
+        if seen is not None:
+            seen.append(n)
+        if not n:
             break
-        x = own.select("fsg", "from_state", F.col("to_state").alias("_mid"), F.col("logp").alias("_x"))
-        y = own.select("fsg", F.col("from_state").alias("_mid"), "to_state", F.col("logp").alias("_y"))
-        paths = x.join(y, ["fsg", "_mid"]).where("from_state <> to_state").select(*ENDS, (F.col("_x") + F.col("_y")).alias("logp"), F.lit(None).cast("double").alias("_had"))
+        front = lambda rows: rows.select("fsg", "from_state", F.col("to_state").alias("_mid"), F.col("logp").alias("_x"), F.col("_new").alias("_xn"))
+        back = lambda rows: rows.select("fsg", F.col("from_state").alias("_mid"), "to_state", F.col("logp").alias("_y"))
+        new = own.where("_new")
+        after = front(new).join(back(own), ["fsg", "_mid"])
+        before = front(own).where("not _xn").join(back(new), ["fsg", "_mid"])
+        paths = after.union(before).where("from_state <> to_state").select(*ENDS, (F.col("_x") + F.col("_y")).alias("logp"), F.lit(None).cast("double").alias("_had"))
         both = own.select(*ENDS, "logp", F.col("logp").alias("_had")).union(paths).groupBy(*ENDS).agg(F.max("logp").alias("logp"), F.max("_had").alias("_had"))
         # a path counts as better from the last digits on, so that sums in another order aren't news
         better = F.col("_had").isNull() | (F.col("logp") > F.col("_had") + F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs("_had")))
-        own = cut(both.select(*ENDS, "logp", better.alias("_new")))
+        own = stored(both.select(*ENDS, "logp", better.alias("_new")), f"{folder}/{i + 1}")
     else:
         raise RuntimeError(f"the closure didn't settle in {rounds} rounds")
     return arcs.where("word is not null").select(*ENDS, "logp", "word").union(own.select(*ENDS, "logp", F.lit(None).cast("string").alias("word")))

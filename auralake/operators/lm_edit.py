@@ -66,6 +66,16 @@ def union_vocabulary(models: dict[str, DataFrame]) -> DataFrame:
     return own.join(F.broadcast(unknown), F.col("model") == F.col("_m"), "left").select("word", "model", F.coalesce("own", "_u").alias("own"))
 
 
+def vocabularies(words: DataFrame, models: list[str], model: str = "model") -> DataFrame:
+    """One row for each word of words (model, word), with a 0/1 column for each model that tells whether it has the word, or
+    stands its unknown word in for it: `union_vocabulary` turned sideways, from one pass over the words."""
+    has = [F.max(F.when(F.col(model) == m, 1).otherwise(0)).alias(m) for m in models]
+    rows = words.where(F.col(model).isin(models)).groupBy("word").agg(*has)
+    unknown = rows.where(F.col("word") == UNKNOWN).select(*[F.col(m).alias(f"_{i}") for i, m in enumerate(models)])
+    either = [F.greatest(F.col(m), F.coalesce(F.col(f"_{i}"), F.lit(0))).alias(m) for i, m in enumerate(models)]
+    return rows.join(F.broadcast(unknown.limit(1)), F.lit(True), "left").select("word", *either)
+
+
 def numbered_vocabulary(words: DataFrame) -> DataFrame:
     """(wid, word) with the unknown word first, then by byte order. The numbers come from a sort by range and the sizes
     of its parts, not from one task."""

@@ -119,27 +119,43 @@ def without_ids(tokens: DataFrame, line: list[str], pos: str = "pos", word: str
     return tokens.withColumn("_last", last).where(~(F.col("_last") & F.col(word).startswith("(") & F.col(word).endswith(")"))).drop("_last")
 
 
-def evaluate(tokens: DataFrame, ngrams: DataFrame, line: list[str], order: int, keys: list[str] | None = None, unknown: str | None = None) -> DataFrame:
-    """The evaluation of transcripts: by keys (one row for everything, without any), n_words, n_oov and their percentage,
-    n_cues, the log10 probability of what is scored, cross-entropy in bits and perplexity over all lines. Ids at the ends of
-    lines don't count."""
-    scored = score(without_ids(tokens, line), ngrams, line, order, unknown=unknown)
-    cue, hit = F.col("word") == CUE, (F.col("word") != CUE) & ~F.col("is_oov")
+def totals(scored: DataFrame, keys: list[str] | None = None, lw: float = 1.0, wip: float = 1.0, math: logmath.LogMath | None = None) -> DataFrame:
+    """The evaluation of scored tokens (word, is_oov, is_unknown if there is one, log10_p): by keys (one row for everything,
+    without any), n_words, n_oov and their percentage, n_cues, the log10 probability of what is scored, the sum of its
+    integer scores under the language weight and insertion penalty, and cross-entropy in bits and perplexity, which take the weights in, too.
+    Context cues aren't scored, nor are words that the model doesn't know, whether or not another word stands for them."""
+    missing = F.col("is_oov") | F.col("is_unknown") if "is_unknown" in scored.columns else F.col("is_oov")
+    cue, hit = F.col("word") == CUE, (F.col("word") != CUE) & ~missing
     n = F.count(F.when(hit, 1))
     total = F.sum(F.when(hit, F.col("log10_p")))
+    bits = -F.sum(F.when(hit, F.col("log10_p") * F.lit(lw) + F.log10(F.lit(wip)))) / F.lit(0.30102999566398119521) / n
     out = scored.groupBy(*(keys or [])).agg(
-        F.count(F.lit(1)).alias("n_words"), F.count(F.when(~cue & F.col("is_oov"), 1)).alias("n_oov"), F.count(F.when(cue, 1)).alias("n_cues"),
-        F.coalesce(total, F.lit(0.0)).alias("log10_p"), F.coalesce(-total / F.lit(0.30102999566398119521) / n, F.lit(0.0)).alias("entropy"),
+        F.count(F.lit(1)).alias("n_words"), F.count(F.when(~cue & missing, 1)).alias("n_oov"), F.count(F.when(cue, 1)).alias("n_cues"),
+        F.coalesce(total, F.lit(0.0)).alias("log10_p"), F.coalesce(F.sum(F.when(hit, weighted(F.col("log10_p"), lw, wip, math).cast("long"))), F.lit(0)).alias("score"), F.coalesce(bits, F.lit(0.0)).alias("entropy"),
     )
     return out.withColumns({"oov_percent": F.when(F.col("n_words") > 0, 100 * F.col("n_oov") / F.col("n_words")).otherwise(0.0), "perplexity": F.pow(F.lit(2.0), F.col("entropy"))})
 
 
-def class_tokens(tokens: DataFrame, classes: DataFrame, word: str = "word") -> DataFrame:
+def evaluate(tokens: DataFrame, ngrams: DataFrame, line: list[str], order: int, keys: list[str] | None = None, unknown: str | None = None) -> DataFrame:
+    """The `totals` of transcripts under a plain model. Ids at the ends of lines don't count."""
+    return totals(score(without_ids(tokens, line), ngrams, line, order, unknown=unknown), keys)
+
+
+def class_tokens(tokens: DataFrame, classes: DataFrame, word: str = "word", of: str | None = None) -> DataFrame:
     """tokens with their word replaced by its class tag and log10_class, the word's share in the class; both words of a
-    class and others pass. classes: class, word, log10_p; a word in several classes counts for the first by name."""
+    class and others pass. classes: class, word, log10_p; a word in several classes counts for the first by name.
+
+    of: a column that names the class that a token is meant as, or null. Such a token is scored as its class, and log-zero
+    (minus infinity) where the class doesn't have the word."""
     first = classes.groupBy(F.col("word").alias("_cw")).agg(F.min(F.struct("class", "log10_p")).alias("_c"))
-    t = tokens.join(first, F.col(word) == F.col("_cw"), "left")
-    return t.withColumn("surface", F.col(word)).withColumn(word, F.coalesce("_c.class", F.col(word))).withColumn("log10_class", F.coalesce("_c.log10_p", F.lit(0.0))).drop("_cw", "_c")
+    t = tokens.join(first, F.col(word) == F.col("_cw"), "left").drop("_cw")
+    tag, share = F.col("_c.class"), F.col("_c.log10_p")
+    if of is not None:
+        own = classes.groupBy(F.col("class").alias("_cc"), F.col("word").alias("_cw")).agg(F.max("log10_p").alias("_own"))
+        t = t.join(own, (F.col(of) == F.col("_cc")) & (F.col(word) == F.col("_cw")), "left").drop("_cc", "_cw")
+        tag, share = F.coalesce(F.col(of), tag), F.when(F.col(of).isNotNull(), F.coalesce("_own", F.lit(float("-inf")))).otherwise(share)
+    named = t.withColumns({"surface": F.col(word), "log10_class": F.coalesce(share, F.lit(0.0)), "_tag": F.coalesce(tag, F.col(word))})
+    return named.withColumn(word, F.col("_tag")).drop("_c", "_own", "_tag")
 
 
 def interpolate(scores: list[DataFrame], weights: list[float], keys: list[str], column: str = "log10_p") -> DataFrame:
@@ -154,6 +170,18 @@ def interpolate(scores: list[DataFrame], weights: list[float], keys: list[str],
     return every.select(*keys).distinct().join(summed, keys, "left").select(*keys, (F.col("_y") / ln10).alias(column))
 
 
+def mixed_unigrams(unigrams: DataFrame, weights: dict[str, float], model: str = "model") -> DataFrame:
+    """One table (word, log10_p) for any number of unigram models (model, word, log10_p): each word's weighted mean probability
+    over the models. A model without the word adds nothing; a model without a weight has none. Scoring a token under
+    the mixture is then one join, whatever the number of models."""
+    if abs(sum(weights.values()) - 1) > 1e-6 or min(weights.values()) < 0:
+        raise ValueError("each model needs a weight, and they sum to one")
+    ln10, table = F.lit(2.302585092994046), F.create_map(*[F.lit(x) for m, w in weights.items() if w > 0 for x in (m, float(w))])
+    parts = unigrams.where(F.col(model).isin([m for m, w in weights.items() if w > 0]))
+    summed = logmath.log_sum_exp(parts.select("word", (F.col("log10_p") * ln10 + F.log(table[F.col(model)])).alias("_x")), ["word"], "_x", "_y")
+    return summed.select("word", (F.col("_y") / ln10).alias("log10_p"))
+
+
 def relative_frequency_model(tokens: DataFrame, line: list[str], least: int = 2, backoff: float = -0.4) -> DataFrame:
     """A stand-in model for data that comes without one: relative frequencies of words and of pairs seen `least`
     times, and one back-off for all contexts. Not normalised; for exercise of the scoring, not a trainer."""

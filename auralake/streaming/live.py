@@ -17,11 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.activity import Hangover, NoiseTracker
+from ..operators.running import GAIN_UTTERANCES, MEAN_LIMIT, MEAN_WINDOW
 
-# When the live mean is renewed, and what it then counts for.
-MEAN_LIMIT, MEAN_WINDOW = 800, 500
-#: Utterances after which the observed maxima count half.
-GAIN_UTTERANCES = 16
 
 
 @dataclass
@@ -132,7 +129,7 @@ class Activity:
         out = []
         for n, c in zip(frames["frame_no"], frames["c"], strict=True):
             clean, speech = self.tracker.step(np.asarray(c, dtype=float))
-            out += self.hangover.step((n, clean), speech)
+            out += self.hangover.step((n, clean), speech) if self.tracker.remove_silence else [(n, clean)]
         if last:
             self.hangover = Hangover()
         return pd.DataFrame(out, columns=["frame_no", "c"])
