@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 # The constants of the noise tracker and of the hangover.
 POWER = 0.7
 RISE, FALL = 0.995, 0.5
@@ -158,15 +160,13 @@ def track(mel: DataFrame, stream: str = "stream_id", utterance: str = "utt_seq",
 
 
 def segments(tracked: DataFrame, stream: str = "stream_id", utterance: str = "utt_seq", frame_rate: int = 100) -> DataFrame:
-    """The stretches of emitted frames: gaps and islands over frame numbers, by windows of an utterance."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    by = Window.partitionBy(stream, utterance).orderBy("frame_no")
-    islands = tracked.where("emitted").withColumn("_g", F.col("frame_no") - F.row_number().over(by))
-    out = islands.groupBy(stream, utterance, "_g").agg(F.min("frame_no").alias("start_frame"), F.count(F.lit(1)).alias("n_frames"))
-    seg = F.row_number().over(Window.partitionBy(stream, utterance).orderBy("start_frame")) - 1
-    return out.select(stream, utterance, seg.alias("seg_no"), "start_frame", "n_frames", (F.col("start_frame") / frame_rate).alias("start_s"), (F.col("n_frames") / frame_rate).alias("length_s"))
+    """The stretches of emitted frames, gaps and islands over frame numbers: neighbours differ by a frame exactly where their
+    places among the emitted ones do. Places come from `order.place`, so no task holds an utterance."""
+    keys = [stream, utterance]
+    islands = order.place(tracked.where("emitted").select(*keys, F.col("frame_no").cast("long").alias("frame_no")), keys, ["frame_no"], "_i")
+    out = islands.groupBy(*keys, (F.col("frame_no") - F.col("_i")).alias("_g")).agg(F.min("frame_no").alias("start_frame"), F.count(F.lit(1)).alias("n_frames"))
+    numbered = order.place(out.select(*keys, "start_frame", "n_frames"), keys, ["start_frame"], "seg_no")
+    return numbered.select(*keys, "seg_no", "start_frame", "n_frames", (F.col("start_frame") / frame_rate).alias("start_s"), (F.col("n_frames") / frame_rate).alias("length_s"))
 
 
 def segment_audio(segs: DataFrame, utterances: DataFrame, shift: int, size: int, keys: list[str], pcm: str = "pcm") -> DataFrame:

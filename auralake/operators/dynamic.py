@@ -83,8 +83,31 @@ def parse_streams(spec: str) -> tuple[list[int], int]:
     return [int(w) for w in widths.split(",")], int(window or 0)
 
 
-def features(frames: DataFrame, kind: str, utterance: list[str], frame: str = "frame_no", vector: str = "c", width: int = 13, name: str = "feat") -> DataFrame:
-    """frames with `name`: array of streams, each an array. kind is one of TYPES or `w1,w2,...[:window]`."""
+def reach(kind: str) -> int:
+    """How many frames on either side a feature type looks at."""
+    fixed = {"1s_c": 0, "cep": 0, "1s_c_d": 2, "cep_dcep": 2, "1s_c_d_dd": 3, "1s_c_d_ld_dd": 4, "s3_1x39": 3, "1s_12c_12d_3p_12dd": 3, "s2_4x": 4, "1s_3c": 3, "1s_4c": 4}
+    return fixed[kind] if kind in fixed else parse_streams(kind)[1]
+
+
+def in_blocks(frames: DataFrame, frame: str, block: int, halo: int) -> DataFrame:
+    """frames with `_block` and `_own`: runs of `block` frame numbers, each with copies (_own false) of the `halo` frames on
+    either side of it."""
+    n = F.col(frame).cast("long")
+    blocks = F.sequence(F.floor((n - halo) / F.lit(block)), F.floor((n + halo) / F.lit(block)))
+    copied = frames.withColumn("_block", F.explode(blocks)).where(F.col("_block") >= 0)
+    return copied.withColumn("_own", F.col("_block") == F.floor(n / F.lit(block)))
+
+
+def features(frames: DataFrame, kind: str, utterance: list[str], frame: str = "frame_no", vector: str = "c", width: int = 13, name: str = "feat", block: int | None = None) -> DataFrame:
+    """frames with `name`: array of streams, each an array. kind is one of TYPES or `w1,w2,...[:window]`.
+
+    block: frames are numbered from 0 without gaps, and an utterance is worked on in runs of so many frames with the few on
+    either side that they need, so no task holds a long utterance. Results are the same."""
+    if block is not None:
+        if block < reach(kind):
+            raise ValueError("a block is shorter than what a feature looks at")
+        split = in_blocks(frames, frame, block, reach(kind))
+        return features(split, kind, [*utterance, "_block"], frame, vector, width, name).where("_own").drop("_block", "_own")
     x = Neighbours(utterance, frame, vector)
     if kind in TYPES:
         if width != 13 and TYPES[kind] in (_streams_39, _streams_4):

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logmath, text, vectors
-from ..operators import activity, dynamic, frontend, graph, lm_edit, ngram, normalise, pitch
-from ..tables import cut
+from ..operators import activity, dynamic, frontend, graph, lm_edit, ngram, normalise, numbered, order, pitch, running
+from ..tables import new_folder, stored
 
 BACKOFF = -0.4
 LANGS = ("en", "fr", "de", "es")
@@ -69,12 +69,17 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Built once: scoring reads it once for each order."""
-    return cut(ngram.relative_frequency_model(text.tokens(table(spark, sf_dir, "documents"), keys=["doc_id"]), ["doc_id"], backoff=BACKOFF))
+    """The stand-in model as a table, for editing."""
+    return _numbered(spark, sf_dir).ngrams()
+
+
+def _numbered(spark: SparkSession, sf_dir: str, order: int = 2) -> numbered.Numbered:
+    """Built once and stored by order: scoring reads each order by its columns."""
+    return numbered.of_texts(table(spark, sf_dir, "documents"), backoff=BACKOFF, order=order)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram.score(_tokens(spark, sf_dir), _model(spark, sf_dir), ["conv_id", "turn"], 2)
+    return numbered.score(_tokens(spark, sf_dir), _numbered(spark, sf_dir), ["conv_id", "turn"])
 
 
 @query(f"WITH {TOKENS.strip()} SELECT role, count(*) AS n_tokens, count(DISTINCT word) AS n_words FROM tokens JOIN conversations USING (conv_id, turn) GROUP BY role")
@@ -96,7 +101,7 @@ def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SCORED} SELECT conv_id, turn, count(*) AS n_tokens, count(*) FILTER (w IS NULL) AS n_oov, round(sum(p1), 4) AS log10_p FROM scored GROUP BY conv_id, turn")
 def lm_unigram_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ngram.score(_tokens(spark, sf_dir), ngram.of_order(_model(spark, sf_dir), 1), ["conv_id", "turn"], 1)
+    s = numbered.score(_tokens(spark, sf_dir), _numbered(spark, sf_dir, 1), ["conv_id", "turn"])
     return s.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_tokens"), F.count(F.when(F.col("is_oov"), 1)).alias("n_oov"), F.round(F.sum("log10_p"), 4).alias("log10_p"))
 
 
@@ -122,9 +127,14 @@ def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), by_lang AS (SELECT lang, word, count(*) / any_value(total) AS p FROM dt JOIN n USING (lang) GROUP BY lang, word)
 SELECT conv_id, turn, pos, round(log10(sum(p * CASE lang WHEN 'en' THEN 0.4 WHEN 'fr' THEN 0.3 WHEN 'de' THEN 0.2 ELSE 0.1 END)), 4) AS log10_p FROM tokens LEFT JOIN by_lang USING (word) GROUP BY conv_id, turn, pos""")
 def lm_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tokens, keys = table(spark, sf_dir, "documents"), _tokens(spark, sf_dir), ["conv_id", "turn", "pos"]
-    scores = [ngram.score(tokens, ngram.of_order(ngram.relative_frequency_model(text.tokens(docs.where(F.col("lang") == g), keys=["doc_id"]), ["doc_id"]), 1), ["conv_id", "turn"], 1) for g in LANGS]
-    return ngram.interpolate(scores, [0.4, 0.3, 0.2, 0.1], keys).withColumn("log10_p", F.round("log10_p", 4))
+    """Four unigram models by language from one pass over the texts, mixed into one table before the tokens are scored."""
+    own = text.tokens(table(spark, sf_dir, "documents").where(F.col("lang").isin(*LANGS)), keys=["lang"]).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    own = stored(own, new_folder(spark, "by_language"))
+    totals = own.groupBy(F.col("lang").alias("_l")).agg(F.sum("n").alias("_all"))
+    models = own.join(F.broadcast(totals), F.col("lang") == F.col("_l")).select("lang", "word", F.log10(F.col("n") / F.col("_all")).alias("log10_p"))
+    mixed = ngram.mixed_unigrams(models, dict(zip(LANGS, (0.4, 0.3, 0.2, 0.1), strict=True)), "lang")
+    scored = _tokens(spark, sf_dir).join(mixed.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w"), "left")
+    return scored.select("conv_id", "turn", "pos", F.round("log10_p", 4).alias("log10_p"))
 
 
 @query("""WITH c AS (SELECT CAST(n_regionkey AS VARCHAR) AS class, n_name AS word, 0.1 * (1 + n_nationkey % 3) AS weight FROM nation)
@@ -136,10 +146,8 @@ def lm_class_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MODEL.strip()}, v AS (SELECT DISTINCT lang, word FROM dt) SELECT word, {", ".join(f"max(CASE WHEN lang = '{g}' THEN 1 ELSE 0 END) AS {g}" for g in LANGS)} FROM v GROUP BY word""")
 def vocab_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    models = {g: text.tokens(docs.where(F.col("lang") == g), keys=[]).select("word").distinct() for g in LANGS}
-    has = lambda g: F.max(F.when((F.col("model") == g) & F.col("own").isNotNull(), 1).otherwise(0)).alias(g)
-    return lm_edit.union_vocabulary(models).groupBy("word").agg(*[has(g) for g in LANGS])
+    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin(*LANGS))
+    return lm_edit.vocabularies(text.tokens(docs, keys=["lang"]), list(LANGS), "lang")
 
 
 @query(f"""WITH {MODEL.strip()} SELECT CASE WHEN regexp_matches(word, '^[<\\[]') THEN word ELSE translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS word, min(md5(word)) AS wid FROM uni GROUP BY 1""")
@@ -161,7 +169,7 @@ def lm_add_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_class_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = spark.createDataFrame([(w, w, -0.47712125471966244) for w in ("the", "de", "die")], "class string, word string, log10_p double")
     t = ngram.class_tokens(_tokens(spark, sf_dir), classes)
-    s = ngram.score(t, _model(spark, sf_dir), ["conv_id", "turn"], 2)
+    s = numbered.score(t, _numbered(spark, sf_dir), ["conv_id", "turn"])
     return s.groupBy("conv_id", "turn").agg(F.round(F.sum(F.col("log10_p") + F.col("log10_class")), 4).alias("log10_p"))
 
 
@@ -173,10 +181,17 @@ frames AS (
 )"""
 
 
+#: Frames of a label that one task works on at a time.
+BLOCK = 4096
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("c"))
+
+
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("c"), (F.row_number().over(by) - 1).alias("frame_no"))
+    """A label's vectors as the frames of an utterance, numbered in the order of ids."""
+    return order.place(_vectors(spark, sf_dir), ["label"], ["vec_id"], "frame_no")
 
 
 def _cells(df: DataFrame, vector: str = "c") -> DataFrame:
@@ -197,17 +212,17 @@ def _delta_sql(*parts: str) -> str:
 
 @query(_delta_sql("x", "p2 - m2"))
 def feat_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(dynamic.features(_frames(spark, sf_dir), "1s_c_d", ["label"], width=64).withColumn("c", F.col("feat")[0]))
+    return _cells(dynamic.features(_frames(spark, sf_dir), "1s_c_d", ["label"], width=64, block=BLOCK).withColumn("c", F.col("feat")[0]))
 
 
 @query(_delta_sql("x", "p2 - m2", "(p3 - m1) - (p1 - m3)"))
 def feat_ddelta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(dynamic.features(_frames(spark, sf_dir), "1s_c_d_dd", ["label"], width=64).withColumn("c", F.col("feat")[0]))
+    return _cells(dynamic.features(_frames(spark, sf_dir), "1s_c_d_dd", ["label"], width=64, block=BLOCK).withColumn("c", F.col("feat")[0]))
 
 
 @query(f"WITH {FRAMES.strip()} SELECT a.vec_id, (d.k + 3) * 64 + a.dim AS dim, round(b.x, 5) AS x FROM cells a CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS k) d JOIN cells b ON b.label = a.label AND b.dim = a.dim AND b.frame_no = greatest(0, least(a.n - 1, a.frame_no + d.k))")
 def feat_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(dynamic.features(_frames(spark, sf_dir), "1s_3c", ["label"], width=64).withColumn("c", F.col("feat")[0]))
+    return _cells(dynamic.features(_frames(spark, sf_dir), "1s_3c", ["label"], width=64, block=BLOCK).withColumn("c", F.col("feat")[0]))
 
 
 MEAN = "coalesce(avg(CASE WHEN c0 >= 0 THEN x END) OVER (PARTITION BY label, dim), 0)"
@@ -215,27 +230,27 @@ MEAN = "coalesce(avg(CASE WHEN c0 >= 0 THEN x END) OVER (PARTITION BY label, dim
 
 @query(f"WITH {FRAMES.strip()} SELECT vec_id, dim, round(x - {MEAN}, 5) AS x FROM cells")
 def cmn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(normalise.mean_norm(_frames(spark, sf_dir), ["label"], 64))
+    return _cells(normalise.mean_norm(_vectors(spark, sf_dir), ["label"], 64))
 
 
 @query(f"WITH {FRAMES.strip()}, d AS (SELECT *, x - {MEAN} AS y FROM cells) SELECT vec_id, dim, round(y / sqrt(sum(y * y) OVER (PARTITION BY label, dim) / n), 5) AS x FROM d")
 def cmn_varnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(normalise.mean_norm(_frames(spark, sf_dir), ["label"], 64, variance=True))
+    return _cells(normalise.mean_norm(_vectors(spark, sf_dir), ["label"], 64, variance=True))
 
 
 @query(f"WITH {FRAMES.strip()} SELECT vec_id, dim, round(CASE WHEN dim = 0 THEN x - max(c0) OVER (PARTITION BY label) ELSE x END, 5) AS x FROM cells")
 def agc_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(normalise.gain_max(_frames(spark, sf_dir), ["label"]))
+    return _cells(normalise.gain_max(_vectors(spark, sf_dir), ["label"]))
 
 
 @query(f"WITH {FRAMES.strip()}, low AS (SELECT *, min(c0) OVER (PARTITION BY label) AS m FROM cells) SELECT vec_id, dim, round(CASE WHEN dim = 0 THEN x - avg(CASE WHEN c0 < m + 0.25 THEN c0 END) OVER (PARTITION BY label) ELSE x END, 5) AS x FROM low")
 def agc_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(normalise.gain_noise(_frames(spark, sf_dir), ["label"], threshold=0.25))
+    return _cells(normalise.gain_noise(_vectors(spark, sf_dir), ["label"], threshold=0.25))
 
 
 @query(f"WITH {FRAMES.strip()}, s AS (SELECT unnest([24, 0, 1, 2, 3]) AS d, generate_subscripts([24, 0, 1, 2, 3], 1) - 1 AS i, 0 AS s UNION ALL SELECT unnest([12, 13, 14, 60]), generate_subscripts([12, 13, 14, 60], 1) - 1, 1) SELECT vec_id, s AS stream, i AS dim, round(x, 5) AS x FROM cells JOIN s ON dim = d")
 def subvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _frames(spark, sf_dir).select("vec_id", F.posexplode(dynamic.subvectors(F.col("c"), "24,0-3/12-14,60")).alias("stream", "v"))
+    parts = _vectors(spark, sf_dir).select("vec_id", F.posexplode(dynamic.subvectors(F.col("c"), "24,0-3/12-14,60")).alias("stream", "v"))
     return parts.select("vec_id", "stream", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 5))
 
 
@@ -284,19 +299,11 @@ def fsg_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's values as one utterance, scaled to samples: a row for each, numbered in order of time. Ranges of users
-    and times are numbered apart and moved by what lies before them, so a user of any size fills no single task."""
+    """Each user's values as one utterance, scaled to samples: a row for each, numbered in order of time."""
     sample = F.least(F.greatest(F.round(F.col("value") * 100), F.lit(-32768)), F.lit(32767)).cast("smallint")
-    order = ["stream_id", "ts", "event_id", "value"]
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), "ts", "event_id", "value")
-    dealt = cut(e.repartitionByRange(*order).select(*order, F.spark_partition_id().alias("part")))
-    counts = dealt.groupBy(F.col("stream_id").alias("_s"), F.col("part").alias("_p")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    moved = counts.select("_s", "_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("stream_id", "part").orderBy("ts", "event_id", "value")) - 1
-    numbered = dealt.select("stream_id", "part", sample.alias("value"), own.alias("_own"))
-    met = numbered.join(moved, numbered.stream_id.eqNullSafe(moved._s) & (numbered.part == moved._p))
-    return met.select("stream_id", F.lit(0).alias("utt_seq"), (F.col("_own") + F.col("_before")).alias("i"), "value")
+    placed = order.place(e, ["stream_id"], ["ts", "event_id", "value"], "i")
+    return placed.select("stream_id", F.lit(0).alias("utt_seq"), "i", sample.alias("value"))
 
 
 SIGNAL = """signal AS (
@@ -427,9 +434,10 @@ SELECT ord, count(*) AS n, count(*) FILTER (is_blank) AS n_blank, round(sum(p),
     UNION ALL SELECT 2, u.p + {BACKOFF}, true FROM blank JOIN uni u ON u.word = blank.nxt) GROUP BY ord""")
 def lm_suffix_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in model with all trigrams, many of which lack their suffix, closed; by order, how many n-grams and blanks."""
-    t = text.tokens(table(spark, sf_dir, "documents"), keys=["doc_id"])
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    tri = t.select(F.array("word", F.lead("word", 1).over(by), F.lead("word", 2).over(by)).alias("words")).where(F.col("words")[2].isNotNull()).distinct().select(F.lit(3).alias("ord"), "words", F.lit(-0.5).alias("log10_p"), F.lit(None).cast("double").alias("log10_bo"))
+    w = table(spark, sf_dir, "documents").select(text.words(F.col("text")).alias("w"))
+    rest = lambda i: F.slice("w", i, F.greatest(F.size("w") - i + 1, F.lit(0)))
+    three = w.select(F.explode(F.arrays_zip(F.col("w").alias("a"), rest(2).alias("b"), rest(3).alias("c"))).alias("t")).where("t.c is not null")
+    tri = three.select(F.array("t.a", "t.b", "t.c").alias("words")).distinct().select(F.lit(3).alias("ord"), "words", F.lit(-0.5).alias("log10_p"), F.lit(None).cast("double").alias("log10_bo"))
     closed = lm_edit.close_suffixes(_model(spark, sf_dir).union(tri), 3)
     return closed.groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_blank"), 1)).alias("n_blank"), F.round(F.sum("log10_p"), 2).alias("total"))
 
@@ -455,8 +463,8 @@ def lm_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_frame) - 1 AS seg_no, start_frame, n_frames FROM s""")
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of frames that are let out, here those of values above 20."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    frames = table(spark, sf_dir, "events").select("user_id", F.lit(0).alias("utt_seq"), (F.col("value") > 20).alias("emitted"), (F.row_number().over(by) - 1).alias("frame_no"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    frames = order.place(e, ["user_id"], ["ts", "event_id"], "frame_no").select("user_id", F.lit(0).alias("utt_seq"), (F.col("value") > 20).alias("emitted"), "frame_no")
     return activity.segments(frames, "user_id").select("user_id", "seg_no", "start_frame", "n_frames")
 
 
@@ -473,3 +481,127 @@ def norm_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("dim", "v"))
     shares = vectors.normalise(vectors.accumulate(cells, ["label", "dim"], "v"), ["label"], "v", "share")
     return shares.select("label", "dim", F.round("share", 6).alias("share"))
+
+
+#: Blocks of vectors by id are the utterances of a stream, which is a label.
+STREAMS = """
+frames AS (
+    SELECT vec_id, label, vec_id // 50 AS utt, CAST(embedding[1] AS DOUBLE) AS c0, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings
+), ranked AS (SELECT label, utt, row_number() OVER (PARTITION BY label ORDER BY utt) AS r FROM (SELECT DISTINCT label, utt FROM frames))"""
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).withColumn("utt", F.expr("vec_id div 50"))
+
+
+@query(f"""WITH RECURSIVE {STREAMS.strip()}, sums AS (
+    SELECT label, utt, dim, r, coalesce(sum(CASE WHEN c0 >= 0 THEN x END), 0) AS t, count(*) FILTER (c0 >= 0) AS n FROM frames JOIN ranked USING (label, utt) GROUP BY ALL
+), steps AS (
+    SELECT label, dim, CAST(0 AS BIGINT) AS r, CAST(0.1 AS DOUBLE) AS mean, CAST(0.1 * 500 AS DOUBLE) AS total, CAST(500 AS DOUBLE) AS n FROM (SELECT DISTINCT label, dim FROM sums)
+    UNION ALL
+    SELECT label, dim, r, mean, CASE WHEN n > 800 THEN mean * 500 ELSE total END, CASE WHEN n > 800 THEN 500 ELSE n END FROM (
+        SELECT s.label, s.dim, s.r, (p.total + s.t) / (p.n + s.n) AS mean, p.total + s.t AS total, p.n + s.n AS n FROM steps p JOIN sums s ON s.label = p.label AND s.dim = p.dim AND s.r = p.r + 1)
+)
+SELECT vec_id, f.dim, round(x - mean, 5) AS x FROM frames f JOIN ranked k USING (label, utt) JOIN steps p ON p.label = f.label AND p.dim = f.dim AND p.r = k.r - 1""")
+def cmn_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running mean over a stream's utterances: two levels, no task with a stream's frames."""
+    return _cells(running.mean_norm(_streams(spark, sf_dir), "label", "utt", [0.1] * 64))
+
+
+@query(f"""WITH RECURSIVE {STREAMS.strip()}, tops AS (SELECT label, utt, r, max(c0) AS top FROM frames JOIN ranked USING (label, utt) GROUP BY ALL
+), steps AS (
+    SELECT label, CAST(0 AS BIGINT) AS r, CAST(5 AS DOUBLE) AS estimate, CAST(0 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT label FROM tops)
+    UNION ALL
+    SELECT label, r, total / n, CASE WHEN n = 16 THEN total / 2 ELSE total END, CASE WHEN n = 16 THEN 8 ELSE n END FROM (
+        SELECT t.label, t.r, p.total + t.top AS total, p.n + 1 AS n FROM steps p JOIN tops t ON t.label = p.label AND t.r = p.r + 1)
+)
+SELECT vec_id, dim, round(CASE WHEN dim = 0 THEN x - estimate ELSE x END, 5) AS x FROM frames f JOIN ranked k USING (label, utt) JOIN steps p ON p.label = f.label AND p.r = k.r - 1""")
+def agc_emax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running estimate of a stream's maxima, in the same two levels."""
+    return _cells(running.gain_emax(_streams(spark, sf_dir), "label", "utt", 5.0))
+
+
+def _streams_sql(*streams: list[str]) -> str:
+    """SQL for streams of a feature type over the first 13 dimensions: each stream is a list of `part:from:n`, with parts c, d (two
+    frames), l (four) and a (double delta)."""
+    parts = {"c": "x", "d": "p2 - m2", "l": "p4 - m4", "a": "(p3 - m1) - (p1 - m3)"}
+    rows, near = [], ", ".join(f"{_at(k)} AS {'m' if k < 0 else 'p'}{abs(k)}" for k in (-4, -3, -2, -1, 1, 2, 3, 4))
+    for s, pieces in enumerate(streams):
+        at = 0
+        for part, start, n in (p.split(":") for p in pieces):
+            rows.append(f"SELECT vec_id, {s} AS stream, dim - {start} + {at} AS i, {parts[part]} AS x FROM near WHERE dim >= {start} AND dim < {int(start) + int(n)}")
+            at += int(n)
+    return f"WITH {FRAMES.strip()}, near AS (SELECT *, {near} FROM (SELECT * FROM cells WHERE dim < 13) WINDOW w AS (PARTITION BY label, dim ORDER BY frame_no)) SELECT vec_id, stream, CAST(i AS INTEGER) AS i, round(x, 5) AS x FROM ({' UNION ALL '.join(rows)})"
+
+
+def _typed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    short = _frames(spark, sf_dir).withColumn("c", F.slice("c", 1, 13))
+    got = dynamic.features(short, kind, ["label"], block=BLOCK)
+    return got.select("vec_id", F.posexplode("feat").alias("stream", "v")).select("vec_id", "stream", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(_streams_sql(["c:0:13", "d:0:13", "l:0:13", "a:0:13"]))
+def feat_long_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "1s_c_d_ld_dd")
+
+
+@query(_streams_sql(["c:1:12", "d:1:12", "c:0:1", "d:0:1", "a:0:1", "a:1:12"]))
+def feat_39(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "s3_1x39")
+
+
+@query(_streams_sql(["c:1:12"], ["d:1:12", "l:1:12"], ["c:0:1", "d:0:1", "a:0:1"], ["a:1:12"]))
+def feat_4x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "s2_4x")
+
+
+@query(f"""WITH {FRAMES.strip()}, s AS (SELECT a.vec_id, d.k, a.dim, b.x FROM cells a CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS k) d JOIN cells b ON b.label = a.label AND b.dim = a.dim AND b.frame_no = greatest(0, least(a.n - 1, a.frame_no + d.k)) WHERE a.dim < 13)
+SELECT vec_id, CASE WHEN dim < 5 THEN 0 ELSE 1 END AS stream, CAST(CASE WHEN dim < 5 THEN (k + 1) * 5 + dim ELSE (k + 1) * 8 + dim - 5 END AS INTEGER) AS i, round(x, 5) AS x FROM s""")
+def feat_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "5,8:1")
+
+
+SPECTRUM = f"""{MEL}, cep AS (
+    SELECT stream_id, frame_no, k, sum(log_mel * cos(pi() * k * (m + 0.5) / 8) * CASE WHEN k = 0 THEN sqrt(1 / 8.0) ELSE sqrt(2 / 8.0) END) AS c FROM mel, (SELECT unnest(range(6)) AS k) GROUP BY ALL)"""
+
+
+def _cepstral(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    fe = frontend.FrontEnd(**(SMALL | options))
+    return frontend.cepstra(_spectra(spark, sf_dir), fe).select("stream_id", "frame_no", F.posexplode("c").alias("dim", "c")).withColumn("c", F.round(F.col("c").cast("double"), 3))
+
+
+@query(f"{SPECTRUM} SELECT stream_id, frame_no, CAST(k AS INTEGER) AS dim, round(CAST(CAST(c AS FLOAT) AS DOUBLE), 3) AS c FROM cep")
+def mfcc_dct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unitary cosine transform."""
+    return _cepstral(spark, sf_dir, transform="dct")
+
+
+@query(f"{MEL} SELECT stream_id, frame_no, CAST(m AS INTEGER) AS dim, round(CAST(CAST(log_mel AS FLOAT) AS DOUBLE), 3) AS c FROM mel")
+def log_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log spectrum itself in place of cepstra."""
+    return _cepstral(spark, sf_dir, output="logspec")
+
+
+@query("""SELECT l_orderkey, l_linenumber, a, b, CASE WHEN a > b THEN a ELSE b END + CAST(trunc(ln(1 + exp(-abs(a - b) * ln(1.0001))) / ln(1.0001) + 0.5) AS INTEGER) AS added, round(exp(a * ln(1.0001)), 6) AS back, round(a * ln(1.0001) / ln(10), 6) AS as_log10, round(a * ln(1.0001), 6) AS as_ln
+FROM (SELECT l_orderkey, l_linenumber, CAST(trunc(ln(l_discount + 0.01) / ln(1.0001)) AS INTEGER) AS a, CAST(trunc(ln(l_tax + 0.02) / ln(1.0001)) AS INTEGER) AS b FROM lineitem)""")
+def log_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer logs of two columns, their sum in the log domain, and the ways back."""
+    m = logmath.LogMath()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", m.log(F.col("l_discount") + 0.01).alias("a"), m.log(F.col("l_tax") + 0.02).alias("b"))
+    return rows.withColumns({"added": m.add(F.col("a"), F.col("b")), "back": F.round(m.exp(F.col("a")), 6), "as_log10": F.round(m.to_log10(F.col("a")), 6), "as_ln": F.round(m.to_ln(F.col("a")), 6)})
+
+
+@query("""WITH c AS (SELECT CAST(n_regionkey AS VARCHAR) AS class, n_name AS word, CAST(0.2 AS DOUBLE) AS weight FROM nation), p AS (SELECT 0.3 / (count(*) + 1) AS p FROM c WHERE class = '1')
+SELECT class, word, round(CASE WHEN class = '1' THEN weight * (1 - p) ELSE weight END, 6) AS weight FROM c, p UNION ALL SELECT '1', 'ATLANTIS', round(p, 6) FROM p""")
+def lm_class_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("class"), F.col("n_name").alias("word"), F.lit(0.2).alias("weight"))
+    return lm_edit.add_class_word(c, "1", "ATLANTIS", 0.3).withColumn("weight", F.round("weight", 6))
+
+
+@query("""WITH w AS (SELECT n_name AS model, 1.0 / count(*) OVER () AS weight FROM nation), a AS (SELECT model, weight * 0.75 AS weight FROM w UNION ALL SELECT 'NEW', 0.25)
+SELECT model, round(weight / (1 - (SELECT weight FROM a WHERE model = 'NATION_7')), 6) AS weight FROM a WHERE model <> 'NATION_7'""")
+def lm_set_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model set's weights after one model came and another one went."""
+    nations = table(spark, sf_dir, "nation")
+    w = nations.select(F.col("n_name").alias("model")).crossJoin(F.broadcast(nations.agg((1.0 / F.count(F.lit(1))).alias("weight"))))
+    return lm_edit.remove_model(lm_edit.add_model(w, "NEW", 0.25), "NATION_7").withColumn("weight", F.round("weight", 6))
