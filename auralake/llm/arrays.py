@@ -1,19 +1,62 @@
 """Numpy arrays in the shared folder, memory-mapped by the workers.
 
 Arrays are raw values of one type, written as a stream, so a task never holds one whole. Where the folder is a file system of the
-machine, arrays are mapped in place. Elsewhere a worker fetches an array when it first needs it, to one temporary
-folder of its own that goes when the worker ends, and maps the copy."""
+machine, arrays are mapped in place. Elsewhere the first worker of a machine (or of an executor, if executors have temporary folders of their own) that needs an array
+fetches it, under a lock, into a folder that all its workers map it from; the last of them to end removes the folder."""
 
 from __future__ import annotations
 
+import atexit
+import fcntl
+import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
 import numpy as np
 
-_own: list[tempfile.TemporaryDirectory] = []
+
+class Copies:
+    """The machine's copies of one folder's arrays. Every worker that uses them holds a shared lock while it lives."""
+
+    def __init__(self, uri: str):
+        self.root = os.path.join(tempfile.gettempdir(), f"arrays-{os.getuid()}-{hashlib.sha256(uri.encode()).hexdigest()[:24]}")
+        os.makedirs(self.root, exist_ok=True)
+        self.pid, self.lock = os.getpid(), os.open(f"{self.root}.lock", os.O_CREAT | os.O_RDWR)
+        fcntl.flock(self.lock, fcntl.LOCK_SH)
+        os.makedirs(self.root, exist_ok=True)  # it may have gone before the lock was ours
+        atexit.register(self.leave)
+
+    def get(self, name: str, fetch) -> str:
+        """The path of an array's copy, which fetch(path) makes if no worker of the machine has."""
+        path = f"{self.root}/{name}"
+        if not os.path.exists(path):
+            own = os.open(f"{path}.lock", os.O_CREAT | os.O_RDWR)
+            try:
+                fcntl.flock(own, fcntl.LOCK_EX)
+                if not os.path.exists(path):
+                    part = f"{path}.{uuid.uuid4().hex}"
+                    fetch(part)
+                    os.replace(part, path)
+            finally:
+                os.close(own)
+        return path
+
+    def leave(self) -> None:
+        if self.pid != os.getpid() or self.lock < 0:
+            return
+        try:
+            fcntl.flock(self.lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            shutil.rmtree(self.root, ignore_errors=True)
+        except OSError:
+            pass  # another worker maps them still
+        os.close(self.lock)
+        self.lock = -1
+
+
+_copies: dict[tuple[str, int], Copies] = {}
 
 
 class Writer:
@@ -56,16 +99,19 @@ class SharedArrays:
 
         return fs.FileSystem.from_uri(self.uri)
 
+    def _fetch(self, name: str, path: str) -> None:
+        files, root = self._remote()
+        with files.open_input_stream(f"{root}/{name}") as src, open(path, "wb") as dst:
+            while block := src.read(1 << 22):
+                dst.write(block)
+
     def load(self, name: str, kind: type) -> np.ndarray:
         if name not in self.open:
             path = f"{self.local}/{name}"
             if self.local is None:
-                if not _own:
-                    _own.append(tempfile.TemporaryDirectory(prefix="arrays-"))
-                files, root = self._remote()
-                path = os.path.join(_own[0].name, f"{uuid.uuid4().hex}-{name}")
-                with files.open_input_stream(f"{root}/{name}") as src, open(path, "wb") as dst:
-                    while block := src.read(1 << 22):
-                        dst.write(block)
+                mine = (self.uri, os.getpid())
+                if mine not in _copies:
+                    _copies[mine] = Copies(self.uri)
+                path = _copies[mine].get(name, lambda to: self._fetch(name, to))
             self.open[name] = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
         return self.open[name]

@@ -1,5 +1,9 @@
 """An interpolated modified Kneser-Ney n-gram model of any order: counted in Spark, kept as sorted hash arrays, memory-mapped.
 
+The hashes are those of the words, 64 bits each, and sorted. Keys of n-grams are the places of their words in that order, side by
+side: in one whole number where they fit, else as a run of bytes. Either sorts as the words do, and two n-grams never share
+a key.
+
 Words are numbered by the place of their hash among all word hashes, in sorted arrays (shards). N-grams are counted with a
 map-side combine in each task and dealt to shards by their context; contexts of frequent words only, which alone would
 fill shards, are dealt by the whole n-gram. A shard streams, sorted, into an array of keys and one of counts; the task that
@@ -30,12 +34,13 @@ from pyspark.sql import functions as F
 from . import common
 from .arrays import SharedArrays, Writer
 
-ORDER = 2
+ORDER = 3
 #: Entries of one shard, about, as long as there are no more shards than MAX_BITS allows.
 WORD_SHARD = 1 << 20
 GRAM_SHARD = 1 << 19
-#: Shards are 2^6 of words, 2^8 of n-grams at most, so that a model is fewer than 1,000 files at any size; beyond that shards grow.
-MAX_WORD_BITS, MAX_GRAM_BITS = 6, 8
+#: Shards, and the tasks that write them, are 2^8 of words and 2^12 of n-grams at most, fewer of the middle orders, so a model is some
+#: ten thousand files at any size; beyond that shards grow, and stream through their tasks as before.
+MAX_WORD_BITS, MAX_GRAM_BITS = 8, 12
 #: A word is frequent if its tokens alone are over one in so many of a shard's.
 HOT = 8
 #: Tokens that a task handles at a time.
@@ -62,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    """Keys as longs of the same order."""
+    """Whole numbers as longs of the same order."""
     return (x ^ _TOP).view(np.int64)
 
 
@@ -70,6 +75,14 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint64) ^ _TOP
 
 
+def _to_rows(keys: np.ndarray) -> np.ndarray | list[bytes]:
+    """Keys as Spark holds and sorts them: longs, or all bytes of a run, zeros at the end included."""
+    if keys.dtype.kind != "S":
+        return _signed(keys)
+    width, flat = keys.dtype.itemsize, keys.tobytes()
+    return [flat[i : i + width] for i in range(0, len(flat), width)]
+
+
 @dataclass
 class Model:
     """What tasks need besides the arrays: sizes, totals, discounts. Words are numbered from 0; `types` is the start mark."""
@@ -83,6 +96,7 @@ class Model:
     gram_bits: dict[int, int] = field(default_factory=dict)
     shards: dict[int, list[int]] = field(default_factory=dict)
     discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
+    #: Keys that need more bits than that are runs of bytes.
     key_bits: int = 64
     unseen: float = 1.0
     start: tuple[float, float] = (0.0, 0.0)
@@ -91,27 +105,44 @@ class Model:
     def bos(self) -> int:
         return self.types
 
+    @property
+    def word_bits(self) -> int:
+        return self.types.bit_length()
+
     def packed(self, n: int) -> bool:
-        """True if keys of n words are the numbers side by side, and not a hash of them."""
-        return n == 1 or self.types.bit_length() * n <= self.key_bits
+        """True if keys of n words are whole numbers."""
+        return n == 1 or self.word_bits * n <= self.key_bits
+
+    def key_kind(self, n: int) -> np.dtype:
+        return np.dtype(np.uint64) if self.packed(n) else np.dtype(f"S{n * -(-self.word_bits // 8)}")
 
     def key(self, words: list[np.ndarray]) -> np.ndarray:
-        """The keys of n-grams, one array of numbers for each place. Keys of one context lie together."""
+        """The keys of n-grams, one array of numbers for each place: their numbers, each in as many bits or bytes as it takes."""
         w = [x.astype(np.uint64) for x in words]
         if self.packed(len(w)):
             out = w[0]
             for x in w[1:]:
-                out = (out << np.uint64(self.types.bit_length())) | x
+                out = (out << np.uint64(self.word_bits)) | x
             return out
-        context = _mix(w[0] + np.uint64(1))
-        for x in w[1:-1]:
-            context = _mix(context * np.uint64(0xD1342543DE82EF95) + x)
-        whole = _mix(_mix(context + w[-1] + np.uint64(1)))
-        return context & ~np.uint64((1 << 24) - 1) | whole >> np.uint64(40)
+        size = -(-self.word_bits // 8)
+        parts = [x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :] for x in w]
+        return np.ascontiguousarray(np.concatenate(parts, axis=1)).reshape(-1).view(self.key_kind(len(w)))
 
     def words_of(self, key: np.ndarray, n: int) -> list[np.ndarray]:
-        b = self.types.bit_length()
-        return [((key >> np.uint64(b * (n - 1 - i))) & np.uint64((1 << b) - 1)).astype(np.int64) for i in range(n)]
+        if self.packed(n):
+            b = self.word_bits
+            return [((key >> np.uint64(b * (n - 1 - i))) & np.uint64((1 << b) - 1)).astype(np.int64) for i in range(n)]
+        size = -(-self.word_bits // 8)
+        parts = np.zeros((len(key), n, 8), dtype=np.uint8)
+        parts[:, :, 8 - size :] = np.frombuffer(key.tobytes(), dtype=np.uint8).reshape(len(key), n, size)
+        return list(parts.reshape(-1, 8).view(">u8").reshape(len(key), n).astype(np.int64).T)
+
+    def from_rows(self, keys: pd.Series, n: int) -> np.ndarray:
+        """Keys of n words as a task gets them from Spark."""
+        return _unsigned(keys.to_numpy()) if self.packed(n) else np.array(keys.tolist(), dtype=self.key_kind(n))
+
+    def key_type(self, n: int) -> str:
+        return "long" if self.packed(n) else "binary"
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers of words; -1 for unknown ones."""
@@ -159,7 +190,7 @@ class Model:
         ends = np.searchsorted(shard[order], self.shards[n], side="right")
         for s, a, b in zip(self.shards[n], cuts, ends, strict=True):
             if b > a:
-                own, known = order[a:b], self.arrays.load(f"keys{n}-{s}", np.uint64)
+                own, known = order[a:b], self.arrays.load(f"keys{n}-{s}", self.key_kind(n))
                 at = np.minimum(np.searchsorted(known, key[own]), len(known) - 1)
                 hit = known[at] == key[own]
                 for x, (name, kind) in zip(out, names.items(), strict=True):
@@ -292,8 +323,7 @@ def _count_grams(model: Model):
             keys, at, times = np.unique(model.key(words), return_index=True, return_counts=True)
             words = [w[at] for w in words]
             held.clear()
-            own = {} if model.packed(n) else {f"w{i}": w for i, w in enumerate(words)}
-            return pd.DataFrame({"shard": model.shard_of(words), "key": _signed(keys), "n": times.astype(np.int64), **own})
+            return pd.DataFrame({"shard": model.shard_of(words), "key": _to_rows(keys), "n": times.astype(np.int64)})
 
         for texts in _chunks(b["text"] for b in batches):
             ids, sizes = number(texts)
@@ -317,27 +347,24 @@ def _write_grams(model: Model, n: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files = _Files(model.arrays)
         for shard, rows, last in _parts(batches):
-            key, a = _unsigned(rows["key"].to_numpy()), rows["n" if top else "cont"].to_numpy()
+            key, a = model.from_rows(rows["key"], n), rows["n" if top else "cont"].to_numpy()
             values = {f"keys{n}-{shard}": key, f"counts{n}-{shard}": a.astype(np.uint64)}
             if not top:
                 values |= {f"totals{n}-{shard}": rows["total"].to_numpy().astype(np.float64), f"gammas{n}-{shard}": _gamma(rows, model.discounts[n + 1])}
             files.append(last, **values)
-            words = model.words_of(key, n) if model.packed(n) else [rows[f"w{i}"].to_numpy() for i in range(n)]
             seen = np.flatnonzero(a > 0)  # others are contexts only
-            words, a = [w[seen] for w in words], a[seen]
-            out = [pd.DataFrame({"shard": [-2], "key": [0], "total": [0], "n1": [(a == 1).sum()], "n2": [(a == 2).sum()], "n3": [(a == 3).sum()], "n4": [(a == 4).sum()], "cont": [0], "at": [shard]})]
+            words, a = [w[seen] for w in model.words_of(key, n)], a[seen]
+            none_key = 0 if model.packed(n - 1) else b""
+            out = [pd.DataFrame({"shard": [-2], "key": [none_key], "total": [0], "n1": [(a == 1).sum()], "n2": [(a == 2).sum()], "n3": [(a == 3).sum()], "n4": [(a == 4).sum()], "cont": [0], "at": [shard]})]
             for part, follows in ((words[:-1], True), (words[1:], False)):
                 k, first, back = np.unique(model.key(part), return_index=True, return_inverse=True)
                 part = [w[first] for w in part]
                 by = lambda x, size=len(k), b=back: np.bincount(b, weights=x, minlength=size).astype(np.int64)
                 none = np.zeros(len(k), dtype=np.int64)
                 sums = {"total": by(a), "n1": by(a == 1), "n2": by(a == 2), "n3": by(a >= 3), "n4": none, "cont": none} if follows else {"total": none, "n1": none, "n2": none, "n3": none, "n4": none, "cont": by(np.ones(len(a)))}
-                own = {} if model.packed(n - 1) else {f"w{i}": w for i, w in enumerate(part)}
-                out.append(pd.DataFrame({"shard": model.shard_of(part), "key": _signed(k), **sums, **own}))
+                out.append(pd.DataFrame({"shard": model.shard_of(part), "key": _to_rows(k), **sums}))
             got = pd.concat(out)
             got["at"] = got["at"].astype("Int32")
-            for i in range(0 if model.packed(n - 1) else n - 1):
-                got[f"w{i}"] = got[f"w{i}"].fillna(0).astype(np.int64)
             yield got
 
     return write
@@ -377,8 +404,8 @@ def _bits(entries: int, size: int, most: int) -> int:
 
 
 def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, key_bits: int = 64) -> Model:
-    """The model of all these texts; each ends with an end token. Null texts count as empty. Keys hold the numbers of the
-    words side by side where these need no more than key_bits, else a 64-bit hash of them."""
+    """The model of all these texts; each ends with an end token. Null texts count as empty. Keys are whole numbers
+    where those of the words side by side need no more than key_bits, else runs of bytes; both are exact."""
     if order < 2:
         raise ValueError("an order of two or more, please")
     spark = docs.sparkSession
@@ -397,13 +424,11 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, key_bits: i
     model.offsets = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(1 << model.bits)])]).tolist()
     for n in range(2, order + 1):  # fewer files of each order where there are more orders
         model.gram_bits[n] = _bits(model.tokens, GRAM_SHARD, MAX_GRAM_BITS - (0 if order == 2 else 1 if n == order else 2 + (order - 3).bit_length()))
-    own = lambda n: [] if model.packed(n) else [f"w{i}" for i in range(n)]
-    fields = lambda n: "".join(f", {w} long" for w in own(n))
     names = ["total", "n1", "n2", "n3", "n4", "cont"]
-    counted = train.mapInPandas(_count_grams(model), f"shard int, key long, n long{fields(order)}").repartition("shard").groupBy("shard", "key", *own(order)).agg(F.sum("n").alias("n"))
+    counted = train.mapInPandas(_count_grams(model), f"shard int, key {model.key_type(order)}, n long").repartition("shard").groupBy("shard", "key").agg(F.sum("n").alias("n"))
     for n in range(order, 1, -1):
-        written = counted.sortWithinPartitions("shard", "key").mapInPandas(_write_grams(model, n), f"shard int, key long, {', '.join(f'{x} long' for x in names)}, at int{fields(n - 1)}")
-        stats = scratch.write(written.groupBy("shard", "key", *own(n - 1)).agg(*[F.sum(x).alias(x) for x in names], F.collect_set("at").alias("at")), f"stats{n - 1}")
+        written = counted.sortWithinPartitions("shard", "key").mapInPandas(_write_grams(model, n), f"shard int, key {model.key_type(n - 1)}, {', '.join(f'{x} long' for x in names)}, at int")
+        stats = scratch.write(written.groupBy("shard", "key").agg(*[F.sum(x).alias(x) for x in names], F.collect_set("at").alias("at")), f"stats{n - 1}")
         all_ = stats.where("shard = -2").first()  # at most 2^MAX_GRAM_BITS shards
         model.shards[n] = sorted(all_["at"])
         model.discounts[n] = _discounts(all_["n1"], all_["n2"], all_["n3"], all_["n4"])
