@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 from .arrays import SharedArrays, Writer
 
-ORDER = 3
+ORDER = 2
 #: Entries of one shard, about, as long as there are no more shards than MAX_BITS allows.
 WORD_SHARD = 1 << 20
 GRAM_SHARD = 1 << 19
