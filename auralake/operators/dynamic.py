@@ -75,6 +75,34 @@ TYPES: dict[str, Callable[[Neighbours], list[Column]]] = {
 TYPES |= {"cep": TYPES["1s_c"], "cep_dcep": TYPES["1s_c_d"], "1s_12c_12d_3p_12dd": _streams_39}
 
 
+#: The same streams as pieces (part, first dimension, number of dimensions; None is all), each part a weighted sum of frames around.
+PARTS = {"c": {0: 1}, "d": {2: 1, -2: -1}, "l": {4: 1, -4: -1}, "a": {3: 1, -1: -1, 1: -1, -3: 1}}
+_POWER = [("c", 0, 1), ("d", 0, 1), ("a", 0, 1)]
+SHAPES: dict[str, list[list[tuple]]] = {
+    "1s_c": [[("c", 0, None)]],
+    "1s_c_d": [[("c", 0, None), ("d", 0, None)]],
+    "1s_c_d_dd": [[("c", 0, None), ("d", 0, None), ("a", 0, None)]],
+    "1s_c_d_ld_dd": [[("c", 0, None), ("d", 0, None), ("l", 0, None), ("a", 0, None)]],
+    "s3_1x39": [[("c", 1, 12), ("d", 1, 12), *_POWER, ("a", 1, 12)]],
+    "s2_4x": [[("c", 1, 12)], [("d", 1, 12), ("l", 1, 12)], _POWER, [("a", 1, 12)]],
+    "1s_3c": [[({k: 1}, 0, None) for k in range(-3, 4)]],
+    "1s_4c": [[({k: 1}, 0, None) for k in range(-4, 5)]],
+}
+SHAPES |= {"cep": SHAPES["1s_c"], "cep_dcep": SHAPES["1s_c_d"], "1s_12c_12d_3p_12dd": SHAPES["s3_1x39"]}
+
+
+def shape_of(kind: str, width: int) -> list[list[tuple]]:
+    """The pieces of a feature type's streams for vectors of this width; a type that doesn't fit the width is an error."""
+    if kind in SHAPES:
+        if width != 13 and any(n == 12 for stream in SHAPES[kind] for _, _, n in stream):
+            raise ValueError(f"{kind} needs vectors of 13")
+        return SHAPES[kind]
+    widths, k = parse_streams(kind)
+    if sum(widths) != width:
+        raise ValueError(f"the widths of {kind} don't add up to {width}")
+    return [[({i: 1}, sum(widths[:s]), w) for i in range(-k, k + 1)] for s, w in enumerate(widths)]
+
+
 def parse_streams(spec: str) -> tuple[list[int], int]:
     """Of `w1,w2,...[:window]`: the widths of the streams and the frames stacked on either side."""
     if not re.fullmatch(r"\d+(,\d+)*(:\d+)?", spec):
