@@ -9,10 +9,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables
 from . import order
 
 # The constants of the noise tracker and of the hangover.
@@ -159,14 +161,121 @@ def track(mel: DataFrame, stream: str = "stream_id", utterance: str = "utt_seq",
     return ordered.mapInArrow(run, f"{stream} {kind}, {utterance} {uk}, frame_no int, mel array<double>, speech boolean, emitted boolean")
 
 
+#: Frames of a stream between two states that are written down.
+CHUNK_FRAMES = 65_536
+ARRAYS = ("power", "noise", "floor", "peak")
+
+
+def _chunk_step(stream: str, utterance: str, options: tuple):
+    """A function of a stream's frames of one chunk and its state at the chunk's start (one row or none): the frames that can't change any
+    more, and the state at its end, in a row of its own (frame_no null)."""
+    names = [stream, utterance, "frame_no", "mel", "speech", "emitted", "began", *ARRAYS, "slow", "inside", "run", "h_utt", "h_no", "h_mel", "h_speech"]
+
+    def none(x: object) -> object:
+        return None if pd.isna(x) else x
+
+    def run(key: tuple, frames: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        tracker, hangover, utt, rows, open_rows = NoiseTracker(*options), Hangover(), None, [], []
+        if len(state):
+            s = state.iloc[0]
+            if s["power"] is not None:
+                tracker.state = {a: np.array(s[a], dtype=float) for a in ARRAYS} | {"slow": float(s["slow"])}
+            hangover.inside, hangover.run, utt = bool(s["inside"]), int(s["run"]), none(s[utterance])
+            open_rows = [[none(u), int(n), np.array(m, dtype=float), bool(p), False, False] for u, n, m, p in zip(s["h_utt"], s["h_no"], s["h_mel"], s["h_speech"], strict=True)]
+            hangover.held = list(open_rows)
+        fresh = not len(state)
+        frames = frames.sort_values([utterance, "frame_no"], kind="stable", na_position="last")
+        for u, n, m in zip(frames[utterance].tolist(), frames["frame_no"].tolist(), frames["mel"].tolist(), strict=True):
+            u = none(u)
+            if not fresh and u != utt:
+                rows += open_rows
+                open_rows, hangover = [], Hangover()
+            fresh, utt = False, u
+            clean, speech = tracker.step(np.asarray(m, dtype=float))
+            row = [u, n, clean, bool(speech), False, False]
+            if tracker.remove_silence:
+                before = hangover.inside
+                for r in hangover.step(row, speech):
+                    r[4] = True
+                row[5] = hangover.inside and not before
+                open_rows.append(row)
+                may = 0 if hangover.inside else len(hangover.held)
+                rows += open_rows[: len(open_rows) - may]
+                open_rows = open_rows[len(open_rows) - may :]
+            else:
+                row[4] = True
+                rows.append(row)
+        if not len(frames):  # the stream has ended before
+            rows += open_rows
+        out = [(key[0], *r, *[None] * 11) for r in rows]
+        if len(frames):
+            s = tracker.state
+            kept = [s[a].tolist() for a in ARRAYS] if s else [None] * 4
+            out.append((key[0], utt, None, None, None, None, None, *kept, s.get("slow"), hangover.inside, hangover.run, [r[0] for r in open_rows], [r[1] for r in open_rows], [r[2].tolist() for r in open_rows], [r[3] for r in open_rows]))
+        got = pd.DataFrame(out, columns=names)
+        for c in ("frame_no", "run"):
+            got[c] = got[c].astype("Int32")
+        for c in ("speech", "emitted", "began", "inside"):
+            got[c] = got[c].astype("boolean")
+        return got
+
+    return run
+
+
+def track_in_chunks(
+    mel: DataFrame, folder: str | None = None, stream: str = "stream_id", utterance: str = "utt_seq", remove_noise: bool = True, remove_silence: bool = True, threshold: float = VAD_THRESHOLD, chunk: int = CHUNK_FRAMES
+) -> DataFrame:
+    """As `track`, for streams too long to begin anew: also `began`, true for the frame that opens a stretch of speech.
+
+    Streams are cut into chunks of so many frames. Each chunk is a job over all streams: a task takes a stream's frames of that chunk and the
+    state that the chunk before left in the shared folder, so it holds one chunk of one stream, and a lost executor's
+    tasks start again at their chunk. With a folder of the caller's, a run that was stopped goes on behind the last chunk
+    that was finished; the frames must be the same ones then."""
+    spark = mel.sparkSession
+    folder = folder or tables.new_folder(spark, "chunks")
+    kind, uk = mel.schema[stream].dataType.simpleString(), mel.schema[utterance].dataType.simpleString()
+    frames_kind = f"{stream} {kind}, {utterance} {uk}, frame_no int, mel array<double>"
+    if not tables.finished(spark, f"{folder}/frames"):
+        rows = mel.select(stream, utterance, F.col("frame_no").cast("int").alias("frame_no"), "mel").withColumn("_none", F.col(utterance).isNull())
+        placed = order.place(rows, [stream], ["_none", utterance, "frame_no"], "_at").drop("_none")
+        placed.withColumn("_chunk", F.floor(F.col("_at") / chunk).cast("int")).drop("_at").write.mode("overwrite").partitionBy("_chunk").parquet(f"{folder}/frames")
+    frames = spark.read.schema(f"{frames_kind}, _chunk int").parquet(f"{folder}/frames")
+    arrays = ", ".join(f"{a} array<double>" for a in ARRAYS)
+    schema = f"{frames_kind}, speech boolean, emitted boolean, began boolean, {arrays}, slow double, inside boolean, run int, h_utt array<{uk}>, h_no array<int>, h_mel array<array<double>>, h_speech array<boolean>"
+    last = frames.agg(F.max("_chunk")).first()[0]
+    step = _chunk_step(stream, utterance, (remove_noise, remove_silence, threshold))
+    state = spark.createDataFrame([], schema)
+    for c in range(-1 if last is None else last + 1):
+        path = f"{folder}/step={c}"
+        if not tables.finished(spark, path):
+            own = frames.where(F.col("_chunk") == c).drop("_chunk")
+            own.groupBy(stream).cogroup(state.groupBy(stream)).applyInPandas(step, schema).write.mode("overwrite").parquet(path)
+        state = spark.read.schema(schema).parquet(path).where("frame_no is null")
+    if last is None:
+        return state.select(stream, utterance, "frame_no", "mel", "speech", "emitted", "began")
+    every = spark.read.schema(schema).parquet(*[f"{folder}/step={c}" for c in range(last + 1)]).where("frame_no is not null")
+    out = every.select(stream, utterance, "frame_no", "mel", "speech", "emitted", "began")
+    held = state.select(stream, F.explode(F.arrays_zip("h_utt", "h_no", "h_mel", "h_speech")).alias("h"))
+    return out.union(held.select(stream, "h.h_utt", "h.h_no", "h.h_mel", "h.h_speech", F.lit(False), F.lit(False)))
+
+
 def segments(tracked: DataFrame, stream: str = "stream_id", utterance: str = "utt_seq", frame_rate: int = 100) -> DataFrame:
     """The stretches of emitted frames, gaps and islands over frame numbers: neighbours differ by a frame exactly where their
-    places among the emitted ones do. Places come from `order.place`, so no task holds an utterance."""
-    keys = [stream, utterance]
-    islands = order.place(tracked.where("emitted").select(*keys, F.col("frame_no").cast("long").alias("frame_no")), keys, ["frame_no"], "_i")
-    out = islands.groupBy(*keys, (F.col("frame_no") - F.col("_i")).alias("_g")).agg(F.min("frame_no").alias("start_frame"), F.count(F.lit(1)).alias("n_frames"))
-    numbered = order.place(out.select(*keys, "start_frame", "n_frames"), keys, ["start_frame"], "seg_no")
-    return numbered.select(*keys, "seg_no", "start_frame", "n_frames", (F.col("start_frame") / frame_rate).alias("start_s"), (F.col("n_frames") / frame_rate).alias("length_s"))
+    places among the emitted ones do. Places come from `order.place`, so no task holds an utterance.
+
+    Where the frames say which of them opened their stretch (`began`), `opened` is that frame."""
+    keys, began = [stream, utterance], "began" in tracked.columns
+    opened = F.when(F.col("began"), F.col("frame_no")) if began else F.lit(None).cast("long")
+    islands = order.place(tracked.where("emitted").select(*keys, F.col("frame_no").cast("long").alias("frame_no"), opened.cast("long").alias("_o")), keys, ["frame_no"], "_i")
+    out = islands.groupBy(*keys, (F.col("frame_no") - F.col("_i")).alias("_g")).agg(F.min("frame_no").alias("start_frame"), F.count(F.lit(1)).alias("n_frames"), F.max("_o").alias("opened"))
+    numbered = order.place(out.select(*keys, "start_frame", "n_frames", "opened"), keys, ["start_frame"], "seg_no")
+    return numbered.select(*keys, "seg_no", "start_frame", "n_frames", *(["opened"] if began else []), (F.col("start_frame") / frame_rate).alias("start_s"), (F.col("n_frames") / frame_rate).alias("length_s"))
+
+
+def start_index(opened: Column, size: int, shift: int, pre: int = PRE_SPEECH) -> Column:
+    """The frame that a segment is said to start at by the samples that were in when it opened: those of all frames before, less the
+    frames that the hangover reaches back over. A stretch that opens early in a stream has a negative one."""
+    return F.floor((F.lit(size) + (opened - 1) * shift) / F.lit(shift)) - pre
 
 
 def segment_audio(segs: DataFrame, utterances: DataFrame, shift: int, size: int, keys: list[str], pcm: str = "pcm") -> DataFrame:

@@ -298,10 +298,10 @@ def fsg_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.add_silence(_arcs(spark, sf_dir), -2.0).where("word is not null")
 
 
-def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's values as one utterance, scaled to samples: a row for each, numbered in order of time."""
+def _signal(spark: SparkSession, sf_dir: str, stream: str = "user_id") -> DataFrame:
+    """Each user's values (or those of several) as one utterance, scaled to samples: a row for each, numbered in order of time."""
     sample = F.least(F.greatest(F.round(F.col("value") * 100), F.lit(-32768)), F.lit(32767)).cast("smallint")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), "ts", "event_id", "value")
+    e = table(spark, sf_dir, "events").select(F.expr(stream).alias("stream_id"), "ts", "event_id", "value")
     placed = order.place(e, ["stream_id"], ["ts", "event_id", "value"], "i")
     return placed.select("stream_id", F.lit(0).alias("utt_seq"), "i", sample.alias("value"))
 
@@ -605,3 +605,17 @@ def lm_set_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     w = nations.select(F.col("n_name").alias("model")).crossJoin(F.broadcast(nations.agg((1.0 / F.count(F.lit(1))).alias("weight"))))
     return lm_edit.remove_model(lm_edit.add_model(w, "NEW", 0.25), "NATION_7").withColumn("weight", F.round("weight", 6))
+
+
+#: Streams of many users' values, long enough for stretches of speech.
+MANY = VAD.replace("SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER", "SELECT user_id % 5 AS stream_id, row_number() OVER (PARTITION BY user_id % 5 ORDER")
+
+
+@query(f"""{MANY}, kept AS (SELECT x.stream_id, x.a, x.b, count(*) AS n FROM (SELECT *, coalesce(lead(a) OVER (PARTITION BY stream_id ORDER BY a), 1000000000) AS upto FROM starts) x JOIN marked m ON m.stream_id = x.stream_id AND m.emitted AND m.frame_no >= x.a AND m.frame_no < x.upto GROUP BY ALL)
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY a) - 1 AS seg_no, a AS start_frame, n AS n_frames, (32 + (b - 1) * 10) // 10 - 20 AS start_index FROM kept""")
+def vad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of speech of long streams, tracked in chunks from state to state, with the index that each is said to start at."""
+    fe = frontend.FrontEnd(**SMALL)
+    mel = frontend.mel_spectra(frontend.frames_of_rows(_signal(spark, sf_dir, "user_id % 5"), fe, ["stream_id", "utt_seq"]), fe)
+    segs = activity.segments(activity.track_in_chunks(mel))
+    return segs.select("stream_id", "seg_no", "start_frame", "n_frames", activity.start_index(F.col("opened"), fe.size, fe.shift).alias("start_index"))

@@ -176,3 +176,66 @@ def test_closure_joins_only_what_changed(spark):
                     best[i, j] = max(best.get((i, j), -1e9), best[i, k] + best[k, j])
     assert got == pytest.approx(best)
     assert changed[0] == n + 1 and changed[-1] == 0 and len(changed) <= 9 and sum(changed) <= 1.2 * len(best)
+
+
+@pytest.fixture(scope="module")
+def speech(spark):
+    r = np.random.RandomState(8)
+    rows = []
+    for s, lengths in (("a", (300, 5, 90)), ("b", (140,)), (None, (61, 61)), ("c", (1,))):
+        for u, n in enumerate(lengths):
+            loud = np.zeros(n, dtype=bool)
+            for at in range(15, n, 110):
+                loud[at : at + r.randint(12, 60)] = True
+            rows += [(s, u if u != 2 else None, i, (r.rand(5) * (1e6 if loud[i] else 10) + 1).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "stream_id string, utt_seq int, frame_no int, mel array<double>").cache()
+
+
+def by_frame(tracked):
+    return {(r.stream_id, r.utt_seq, r.frame_no): (r.mel, r.speech, r.emitted) for r in tracked.collect()}
+
+
+@pytest.mark.parametrize("chunk, flags", [(7, (True, True)), (50, (True, True)), (1000, (True, True)), (33, (False, True)), (33, (True, False))])
+def test_chunks_are_the_whole(spark, speech, chunk, flags):
+    whole = by_frame(activity.track(speech, remove_noise=flags[0], remove_silence=flags[1]))
+    tracked = activity.track_in_chunks(speech, remove_noise=flags[0], remove_silence=flags[1], chunk=chunk)
+    got = by_frame(tracked)
+    assert got.keys() == whole.keys() and tracked.count() == len(whole) and any(x[2] for x in whole.values())
+    for k, (mel, speaks, emitted) in whole.items():
+        assert got[k][1:] == (speaks, emitted) and got[k][0] == pytest.approx(mel, rel=1e-12)
+    if flags[1]:
+        segs = activity.segments(tracked).collect()
+        assert sum(r.n_frames for r in segs) == sum(x[2] for x in whole.values())
+        for r in segs:
+            assert r.start_frame <= r.opened < r.start_frame + r.n_frames and r.opened - r.start_frame <= activity.PRE_SPEECH
+    assert activity.track_in_chunks(speech.limit(0)).count() == 0
+
+
+def test_a_stopped_run_goes_on_at_its_chunk(spark, speech, tmp_path, monkeypatch):
+    folder, real = f"{tmp_path}/f", activity._chunk_step
+
+    def failing(*args):
+        step = real(*args)
+
+        def run(key, frames, state):
+            if len(state) and key[0] == "a" and len(frames) and frames["frame_no"].max() > 130:
+                raise RuntimeError("lost")
+            return step(key, frames, state)
+
+        return run
+
+    monkeypatch.setattr(activity, "_chunk_step", failing)
+    with pytest.raises(Exception, match="lost"):
+        activity.track_in_chunks(speech, folder, chunk=50)
+    done = {p: (tmp_path / "f" / p / "_SUCCESS").stat().st_mtime_ns for p in ("frames", "step=0", "step=1")}
+    assert not (tmp_path / "f" / "step=3" / "_SUCCESS").exists()
+    monkeypatch.setattr(activity, "_chunk_step", real)
+    got, whole = by_frame(activity.track_in_chunks(speech, folder, chunk=50)), by_frame(activity.track(speech))
+    assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in whole.items()}
+    assert all((tmp_path / "f" / p / "_SUCCESS").stat().st_mtime_ns == t for p, t in done.items())
+
+
+def test_start_index(spark):
+    size, shift = 410, 160
+    rows = spark.createDataFrame([(9,), (30,)], "o long").select(activity.start_index(F.col("o"), size, shift).alias("i")).collect()
+    assert [r.i for r in rows] == [(size + 8 * shift) // shift - 20, (size + 29 * shift) // shift - 20]
