@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import trie
 from .lines import clean, numbered, read_lines
 
 #: Orders above this aren't models of this kind.
@@ -104,14 +105,24 @@ def read_model(spark: SparkSession, path: str, kind: str = "auto") -> DataFrame:
         kind = kind_of(path) if re.search(r"\.(arpa|dmp|bin|parquet)(\.(gz|bz2))?$", path.lower()) else kind_by_content(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)
-    if kind != "arpa":
-        raise ValueError(f"models of kind {kind} are packed memory images of one machine; convert them to text or Parquet")
+    if kind == "bin":
+        return trie.read_trie(spark, path)
+    if kind == "dmp":
+        return trie.read_dump(spark, path)
     return read_arpa(spark, path)
 
 
 def write_model(ngrams: DataFrame, path: str, kind: str = "auto") -> None:
+    """Text, Parquet or a trie file, by the path's name or as kind says."""
     kind = kind_of(path) if kind == "auto" else kind
-    ngrams.write.mode("overwrite").parquet(path) if kind == "parquet" else write_arpa(ngrams, path)
+    if kind == "parquet":
+        ngrams.write.mode("overwrite").parquet(path)
+    elif kind == "bin":
+        trie.write_trie(ngrams, path, ngrams.agg(F.max("ord")).first()[0] or 1)
+    elif kind == "dmp":
+        raise ValueError("dumps are only read")
+    else:
+        write_arpa(ngrams, path)
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
