@@ -219,7 +219,7 @@ def _hits(shared):
             out["longest"] = [r[3] or none for r in rows]
             yield out
 
-    return hits
+    return hits.asNondeterministic()  # else a filter on what it returns would run it twice
 
 
 def n_words(text):

@@ -30,6 +30,10 @@ from . import common
 #: The fit reads about so many labelled texts of each language, and so many of all, chosen by a hash; whole texts.
 TRAIN_DOCS = 2000
 TRAIN_TOTAL = 50_000
+#: Bytes of the sample's texts, about, shared evenly by the languages; a text of over one in SAMPLE_SHARE of a language's bytes
+#: isn't taken where the language has others.
+TRAIN_BYTES = 96 << 20
+SAMPLE_SHARE = 16
 #: More labels than this aren't languages: an error.
 MAX_LANGS = 5000
 MAX_N = 4
@@ -130,19 +134,28 @@ class LanguageModel:
         return np.where(out, top - 2 * SWITCH, s), fits
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, total: int = TRAIN_TOTAL) -> LanguageModel:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, total: int = TRAIN_TOTAL, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
     """Counts the n-grams of a bounded sample of the rows with text and language: about train_docs texts a language, or
-    fewer where there are so many languages that these were over total. All n-grams of the sample count."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    fewer where there are so many languages that these were over total, or where their texts have so many bytes that these were over
+    train_bytes in all. Texts of over one in SAMPLE_SHARE of a language's bytes aren't taken, unless
+    a language has no others: then its shortest one is. All n-grams of the sample count, so what reaches the driver is bounded by train_bytes."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.octet_length(text_col).cast("long").alias("size"))
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not sizes:
         none = np.zeros(0, dtype=np.int64)
         return LanguageModel([], none.astype(np.uint64), np.zeros(1, dtype=np.int64), none, none.astype(float), none.astype(float), np.zeros((len(NAMES), 0), dtype=bool))
-    most = min(train_docs, max(1, total // len(sizes)))
-    part = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["n"])))])[F.col("lang")]
-    sample = labelled.where(F.pmod("h", F.lit(1_000_000)) < part * 1_000_000).select("lang", "text")
+    most, share = min(train_docs, max(1, total // len(sizes))), train_bytes // len(sizes)
+    fits = F.col("size") <= share // SAMPLE_SHARE
+    of = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count(F.when(fits, 1)).alias("n"), F.sum(F.when(fits, F.col("size"))).alias("bytes"), F.min(F.struct("size", "h")).alias("least")).collect()}
+    rate = {g: min(1.0, most / r["n"], share / max(1, r["bytes"])) if r["n"] else 0.0 for g, r in of.items()}
+    part = F.create_map(*[F.lit(x) for g, p in rate.items() for x in (g, p)])[F.col("lang")]
+    taken = fits & (F.pmod("h", F.lit(1_000_000)) < part * 1_000_000)
+    alone = [g for g, r in of.items() if not r["n"]]
+    for g in alone:
+        taken = taken | ((F.col("lang") == g) & (F.col("h") == of[g]["least"]["h"]) & (F.col("size") == of[g]["least"]["size"]))
+    sample = labelled.where(taken).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -32,8 +32,9 @@ UNIT = 1000
 #: A source is at its target within this share of it, or within so many words, below which the units don't reach.
 NEAR_WORDS = 0.01
 OFFSETS = 64
-#: Cells of one source and size part into so many by the document's hash.
-PARTS = 64
+#: Cells of one source and size part into so many by the document's hash, or into as many as keep a part at about so many units
+#: even where all units are in one cell.
+PARTS, PART_UNITS = 64, 100_000
 #: Equal rows are dealt with in runs of so many.
 RUN = 4096
 #: Tables of one row for each source are broadcast up to this many rows.
@@ -132,7 +133,7 @@ def copies(docs: DataFrame, keys: list[str], scratch: common.Scratch) -> DataFra
     hint = F.broadcast if small else (lambda x: x)
     s = sources.select(F.col("source").alias("_al_name"), "_al_source")
     units = units.join(hint(s), F.col("source").eqNullSafe(F.col("_al_name"))).drop("_al_name")
-    units = units.withColumn("_al_part", F.pmod("_al_hash", F.lit(PARTS)))
+    units = units.withColumn("_al_part", F.pmod("_al_hash", F.lit(max(PARTS, -(-units.count() // PART_UNITS)))))
     parts = scratch.write(units.groupBy("_al_source", "size", "_al_part").agg(F.sum("_al_m").alias("_al_n")), "parts")
     cells = scratch.write(parts.groupBy("_al_source", "size").agg(F.sum("_al_n").alias("_al_n")), "cells")
     state = solve(cells, sources, scratch).withColumnRenamed("_al_source", "_al_s")
