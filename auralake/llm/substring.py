@@ -5,14 +5,18 @@ anchors at equal places, and only anchors become rows: about one edge in (WINDOW
 the links to the anchors before and after it in its document, a link being a hash of all words from one to the other.
 
 1. Edges in two documents or more are repeated. An edge branches ahead (behind) if its occurrences have different links there.
-2. A join gives each document its repeated edges and whether they branch. Two neighbours compact where the first doesn't branch
-   ahead and the second not behind; a run of such neighbours is a nonbranching path, and every occurrence of one of its
-   edges lies in a whole occurrence of the path.
-3. The document's text meets these. A path of WINDOW words and more becomes one row: a 128-bit digest of the words at its
-   source coordinates. The windows that no path holds whole, and whose anchor is repeated, get a 128-bit hash each.
+2. A repeated edge's successor is the one that a join on links finds: the only link ahead of the one is the only link behind the
+   other. Pointer doubling over predecessors, a self-join a round, gives every edge the head of its nonbranching path and its
+   distance from it, in about the logarithm of the longest path; edges on cycles are paths by themselves. So the table of
+   paths has a row for each edge: its head, its place, and where it begins; every occurrence of an edge lies in a whole
+   occurrence of its path.
+3. Documents get the heads of their paths with the paths' length in words, not their edges. Where the text has a head, the path lies
+   from there on. A path of WINDOW words and more becomes one row: a 128-bit digest of the words at its source coordinates. The windows
+   that no path holds whole, and whose anchor is in a path, get a 128-bit hash each.
 4. Rows with the same digest belong together; the least document keeps its words. If the occurrences of a path have different
-   digests (link hashes that met by chance), the path's edges count as branching and step 3 runs again, so a hash
-   never decides what the words don't bear out.
+   digests, or a text's paths don't hold all its repeated edges (link hashes that met by chance), the paths of these texts are
+   opened, each edge its own path, and step 3 runs again until nothing differs, so a hash never decides what the words don't
+   bear out.
 5. The texts meet their removed stretches.
 
 Texts move twice, by document; all else are rows of a few numbers.
@@ -100,16 +104,21 @@ def anchors(roll: Rolling, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return grams, place
 
 
-def edges(text: str | None, bits: int = BITS) -> np.ndarray:
-    """(edge, link behind, link ahead) of the document's anchors, each combination once; a missing link is 0."""
-    words = text_words(text)
-    if len(words) < WINDOW:
-        return np.zeros((0, 3), dtype=np.int64)
-    roll = Rolling(word_hashes(words)[0])
+def _anchor_rows(roll: Rolling, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor of each window, anchors, their rows): a row is edge, link behind, link ahead (0 where there is none) and the words to the next
+    anchor."""
     grams, place = anchors(roll, bits)
     starts = np.unique(place)
     links = np.concatenate([[0], roll.of(starts[:-1], starts[1:] + K) | np.uint64(1), [0]]).astype(np.uint64)
-    return np.unique(np.column_stack([grams[starts], links[:-1], links[1:]]).view(np.int64), axis=0)
+    return place, starts, np.column_stack([grams[starts].view(np.int64), links[:-1].view(np.int64), links[1:].view(np.int64), np.append(np.diff(starts), 0)])
+
+
+def edges(text: str | None, bits: int = BITS) -> np.ndarray:
+    """The rows of the document's anchors, each once."""
+    words = text_words(text)
+    if len(words) < WINDOW:
+        return np.zeros((0, 4), dtype=np.int64)
+    return np.unique(_anchor_rows(Rolling(word_hashes(words)[0]), bits)[2], axis=0)
 
 
 def _edge_rows(bits: int):
@@ -117,40 +126,45 @@ def _edge_rows(bits: int):
         for b in batches:
             found = [edges(t, bits) for t in b["text"]]
             sizes = [len(x) for x in found]
-            rows = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found])
+            rows = np.concatenate([np.zeros((0, 4), dtype=np.int64), *found])
             out = {c: b[c].repeat(sizes).to_numpy() for c in ("id", "r")}
-            yield pd.DataFrame({**out, "edge": rows[:, 0], "behind": rows[:, 1], "ahead": rows[:, 2]})
+            yield pd.DataFrame({**out, "edge": rows[:, 0], "behind": rows[:, 1], "ahead": rows[:, 2], "step": rows[:, 3].astype(np.int32)})
 
     return find
 
 
 def _path_rows(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Of rows with text and the repeated edges (those that branch nowhere, only behind, only ahead, or on both sides): a row
-    for each path and each window that may be repeated. head is the first edge of a path, null for a window."""
+    """Of rows with text, the heads of its paths, the paths' words and the number of rows of its repeated edges: a row for each path and each
+    window that may be repeated. head is the first edge of a path, null for a window. A text whose paths hold another
+    number of rows gives one at place -1."""
     for b in batches:
         out, sizes = [], []
-        for text, plain, behind, ahead, both in zip(b["text"], b["plain"], b["behind"], b["ahead"], b["both"], strict=True):
+        for text, heads, spans, n in zip(b["text"], b["heads"], b["spans"], b["n"], strict=True):
             words = text_words(text)
             hashes = word_hashes(words)
             one, two = Rolling(hashes[0], 0), Rolling(hashes[1], 1)
-            grams, place = anchors(one, bits)
-            starts = np.unique(place)
-            edge = grams[starts].view(np.int64)
-            onward, back = np.isin(edge, np.concatenate([plain, behind])), np.isin(edge, np.concatenate([plain, ahead]))
-            joined = onward[:-1] & back[1:]
-            first = np.flatnonzero(np.concatenate([[True], ~joined]))
-            last = np.append(first[1:] - 1, len(starts) - 1)
-            a, e = starts[first], starts[last] + K
+            place, starts, own = _anchor_rows(one, bits)
+            heads, spans = np.asarray(heads, dtype=np.int64), np.asarray(spans, dtype=np.int64)
+            order = np.argsort(heads)
+            at = np.minimum(np.searchsorted(heads[order], own[:, 0]), max(0, len(heads) - 1))
+            first = np.flatnonzero(heads[order][at] == own[:, 0]) if len(heads) else np.zeros(0, dtype=np.int64)
+            a = starts[first]
+            e = np.minimum(a + spans[order][at[first]], len(words))
             long = e - a >= WINDOW
-            inside = np.zeros(len(place) + 1, dtype=np.int64)
+            held, inside = np.zeros(len(words) + 1, dtype=np.int64), np.zeros(len(place) + 1, dtype=np.int64)
+            np.add.at(held, a, 1)
+            np.add.at(held, e - K + 1, -1)
             np.add.at(inside, a[long], 1)
             np.add.at(inside, e[long] - WINDOW + 1, -1)
-            shared = onward | back | np.isin(edge, both)
+            shared = np.cumsum(held)[starts] > 0
+            wrong = len(np.unique(own[shared], axis=0)) != n
             alone = np.flatnonzero(shared[np.searchsorted(starts, place)] & (np.cumsum(inside[:-1]) == 0))
             rows = [(int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)) for x, y in zip(a[long], e[long], strict=True) for h in [hashlib.blake2b(b" ".join(words[x:y]), digest_size=16).digest()]]
-            out.append(pd.DataFrame({"k1": [x for x, _ in rows], "k2": [y for _, y in rows], "start": a[long], "size": (e - a)[long], "head": edge[first[long]]}, dtype="int64"))
+            out.append(pd.DataFrame({"k1": [x for x, _ in rows], "k2": [y for _, y in rows], "start": a[long], "size": (e - a)[long], "head": own[first[long], 0]}, dtype="int64"))
             out.append(pd.DataFrame({"k1": one.of(alone, alone + WINDOW).view(np.int64), "k2": two.of(alone, alone + WINDOW).view(np.int64), "start": alone, "size": WINDOW}))
-            sizes.append(len(rows) + len(alone))
+            if wrong:
+                out.append(pd.DataFrame({"k1": [0], "k2": [0], "start": [-1], "size": [0]}))
+            sizes.append(len(rows) + len(alone) + wrong)
         got = pd.concat(out) if out else pd.DataFrame({"k1": [], "k2": [], "start": [], "size": []}, dtype="int64")
         got["head"] = got["head"].astype("Int64") if "head" in got else pd.array([None] * len(got), dtype="Int64")
         for c in ("id", "r"):
@@ -182,18 +196,48 @@ def _ids() -> list:
 SPREAD = "least < most or unnamed and most is not null"
 
 
-def repeated_edges(rows: DataFrame, scratch: common.Scratch, bits: int = BITS) -> DataFrame:
-    """rows: id, r, text. Gives by id and r the repeated edges of a text: arrays plain, behind, ahead and both, by where they
-    branch. (An edge at a document's end branches there, unless it is at the end everywhere.)"""
+def compacted(groups: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """The table of paths (edge, head, place, at): of each edge the head of its nonbranching path, how many edges and how many words lie between.
+
+    groups: edge, behind and ahead, its only link there or null, and step, the words to the next anchor by the link ahead.
+    Predecessors come from a join on links; a link that more than one edge has on one side joins nothing."""
+    only = lambda link, name: groups.where(F.col(link).isNotNull()).groupBy(F.col(link).alias("link")).agg(F.min("edge").alias(name), F.max("edge").alias("_most"), F.max("step").alias(f"step_{name}")).where(F.col(name) == F.col("_most")).drop("_most")
+    pairs = only("ahead", "before").join(only("behind", "own"), "link").where("before <> own").select(F.col("own").alias("_e"), "before", F.col("step_before").alias("_step"))
+    begun = groups.select("edge").join(pairs, F.col("edge") == F.col("_e"), "left")
+    state = scratch.write(begun.select("edge", F.coalesce("before", "edge").alias("to"), F.when(F.col("before").isNotNull(), 1).otherwise(0).cast("long").alias("place"), F.coalesce("_step", F.lit(0)).cast("long").alias("at"), F.col("before").isNotNull().alias("moved")), "pointers0")
+    left, i = None, 0
+    while True:
+        ahead = state.select(F.col("edge").alias("_to"), F.col("to").alias("_next"), F.col("place").alias("_place"), F.col("at").alias("_at"))
+        moved = F.col("_place") > 0
+        met = state.join(ahead, F.col("to") == F.col("_to")).select("edge", F.col("_next").alias("to"), (F.col("place") + F.col("_place")).alias("place"), (F.col("at") + F.col("_at")).alias("at"), moved.alias("moved"))
+        nxt = scratch.write(met, f"pointers{i + 1}")
+        scratch.drop(f"pointers{i}")
+        state, i, n = nxt, i + 1, nxt.where("moved").count()
+        if not n or n == left:  # pointers on paths all reach their heads in the end; what still moves goes round
+            break
+        left = n
+    whole = lambda c, alone: F.when(F.col("moved"), alone).otherwise(F.col(c))
+    return state.select("edge", whole("to", F.col("edge")).alias("head"), whole("place", F.lit(0)).cast("long").alias("place"), whole("at", F.lit(0)).cast("long").alias("at"))
+
+
+def graph(rows: DataFrame, scratch: common.Scratch, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(anchors, paths) of rows (id, r, text): the rows of all anchors, and the compacted paths of the repeated ones."""
     kind = rows.schema["id"].dataType.simpleString()
-    found = scratch.write(rows.mapInPandas(_edge_rows(bits), f"id {kind}, r long, edge long, behind long, ahead long"), "edges")
+    found = scratch.write(rows.mapInPandas(_edge_rows(bits), f"id {kind}, r long, edge long, behind long, ahead long, step int"), "edges")
     sides = [f(c).alias(f"{n}_{c}") for c in ("behind", "ahead") for f, n in ((F.min, "low"), (F.max, "high"))]
-    groups = found.groupBy("edge").agg(*_ids(), *sides).where(SPREAD)
-    forks = lambda c: F.col(f"low_{c}") != F.col(f"high_{c}")
-    groups = scratch.write(groups.select("edge", forks("behind").alias("at_back"), forks("ahead").alias("at_front")), "groups")
-    shared = found.select("id", "r", "edge").join(groups, "edge")
-    only = lambda back, front: F.collect_set(F.when((F.col("at_back") == back) & (F.col("at_front") == front), F.col("edge")))
-    return shared.groupBy("id", "r").agg(only(False, False).alias("plain"), only(True, False).alias("behind"), only(False, True).alias("ahead"), only(True, True).alias("both"))
+    groups = found.groupBy("edge").agg(*_ids(), F.max("step").alias("step"), *sides).where(SPREAD)
+    link = lambda c: F.when((F.col(f"low_{c}") == F.col(f"high_{c}")) & (F.col(f"low_{c}") != 0), F.col(f"low_{c}")).alias(c)
+    groups = scratch.write(groups.select("edge", link("behind"), link("ahead"), "step"), "groups")
+    return found, scratch.write(compacted(groups, scratch), "paths")
+
+
+def _lists(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """By id and r: the heads of a text's paths, the paths' words, and the number of rows of its repeated edges."""
+    spans = paths.groupBy("head").agg((F.max("at") + K).alias("span"))
+    marked = paths.join(spans, "head").select("edge", F.when(F.col("edge") == F.col("head"), F.col("span")).alias("span"))
+    shared = found.select("id", "r", "edge", F.xxhash64("edge", "behind", "ahead").alias("row")).join(marked, "edge")
+    sets = shared.groupBy("id", "r").agg(F.collect_set(F.when(F.col("span").isNotNull(), F.struct("edge", "span"))).alias("own"), F.collect_set("row").alias("rows"))
+    return sets.select("id", "r", F.col("own.edge").alias("heads"), F.col("own.span").alias("spans"), F.size("rows").cast("long").alias("n"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -206,30 +250,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = common.Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("r"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    lists = scratch.write(repeated_edges(rows, scratch, bits), "lists")
-    names, same = ["plain", "behind", "ahead", "both"], lambda a, b: a.id.eqNullSafe(b.id) & (a.r == b.r)
-    for attempt in range(2):
-        met = rows.join(lists, same(rows, lists)).select(rows.id, rows.r, rows.text, *names)
-        paths = scratch.write(met.mapInPandas(lambda batches: _path_rows(batches, bits), f"id {kind}, r long, k1 long, k2 long, start int, size int, head long"), f"paths{attempt}")
+    found, paths = graph(rows, scratch, bits)
+    same = lambda a, b: a.id.eqNullSafe(b.id) & (a.r == b.r)
+    attempt = 0
+    while True:
+        lists = scratch.write(_lists(found, paths), f"lists{attempt}")
+        met = rows.join(lists, same(rows, lists)).select(rows.id, rows.r, rows.text, "heads", "spans", "n")
+        pieces = scratch.write(met.mapInPandas(lambda batches: _path_rows(batches, bits), f"id {kind}, r long, k1 long, k2 long, start int, size int, head long"), f"pieces{attempt}")
         digest = F.struct("k1", "k2")
-        unlike = paths.where("head is not null").groupBy("head").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("head")
-        if attempt or not unlike.limit(1).count():
+        unlike = pieces.where("head is not null").groupBy("head").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("head")
+        wrong = pieces.join(unlike, "head", "left_semi").select("id", "r").union(pieces.where("start < 0").select("id", "r")).distinct()
+        wrong = wrong.select(F.col("id").alias("i"), F.col("r").alias("q"))
+        if not wrong.limit(1).count():
             break
-        # rare: such paths' texts take the long way, with every edge of theirs branching
-        wrong = paths.join(unlike, "head", "left_semi").select(F.col("id").alias("i"), F.col("r").alias("q")).distinct()
-        opened = lists.join(wrong, lists.id.eqNullSafe(wrong.i) & (lists.r == wrong.q), "left_semi")
-        branching = scratch.write(opened.select(F.explode(F.array_union("plain", F.array_union("behind", "ahead"))).alias("edge")).distinct(), "opened")
-        lists = scratch.write(_opened(lists, branching), "lists_opened")
-    groups = paths.groupBy("k1", "k2").agg(*_ids()).where(SPREAD).select("k1", "k2", "least", "unnamed")
-    hits = paths.join(scratch.write(groups, "repeated"), ["k1", "k2"]).where("unnamed and id is not null or id > least")
+        # rare: all paths of such texts are opened, so their texts take the long way
+        met = found.join(wrong, found.id.eqNullSafe(wrong.i) & (found.r == wrong.q), "left_semi").select("edge").distinct()
+        heads = paths.join(met, "edge", "left_semi").select("head").distinct().withColumn("open", F.lit(True))
+        single = lambda c, alone: F.when(F.col("open"), alone).otherwise(F.col(c)).alias(c)
+        if not paths.where("place > 0").join(heads, "head", "left_semi").limit(1).count():
+            raise RuntimeError("texts differ though all of their paths are open")
+        opened = paths.join(heads.withColumnRenamed("head", "_h"), F.col("head") == F.col("_h"), "left")
+        attempt += 1
+        paths = scratch.write(opened.select("edge", single("head", F.col("edge")), single("place", F.lit(0).cast("long")), single("at", F.lit(0).cast("long"))), f"paths{attempt}")
+    groups = pieces.groupBy("k1", "k2").agg(*_ids()).where(SPREAD).select("k1", "k2", "least", "unnamed")
+    hits = pieces.join(scratch.write(groups, "repeated"), ["k1", "k2"]).where("unnamed and id is not null or id > least")
     gone = hits.groupBy("id", "r").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("gone"))
     without = F.pandas_udf(_without, "n_words long, n_removed long, kept string")
     out = rows.join(gone, same(rows, gone), "left").select(rows.id.alias(id_col), without(rows.text, F.col("gone.start"), F.col("gone.end")).alias("w"))
     return out.select(id_col, "w.*")
-
-
-def _opened(lists: DataFrame, branching: DataFrame) -> DataFrame:
-    """lists with these edges branching on both sides."""
-    each = lists.select("id", "r", F.explode(F.concat(*[F.transform(c, lambda e, c=c: F.struct(F.lit(c).alias("side"), e.alias("edge"))) for c in ("plain", "behind", "ahead", "both")])).alias("x")).select("id", "r", "x.*")
-    met = each.join(branching.withColumn("opened", F.lit(True)), "edge", "left").withColumn("side", F.when(F.col("opened"), "both").otherwise(F.col("side")))
-    return met.groupBy("id", "r").agg(*[F.collect_set(F.when(F.col("side") == c, F.col("edge"))).alias(c) for c in ("plain", "behind", "ahead", "both")])
