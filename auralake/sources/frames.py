@@ -82,46 +82,74 @@ def view(frames: DataFrame, width: int, start: int = 0, end: int | None = None,
     return kept.select("frame_no", F.concat(F.format_string("%6d: ", "frame_no"), line).alias("line") if numbers else line.alias("line"))
 
 
-def checksum(words: np.ndarray) -> int:
-    """The running sum of 32-bit words, turned left by 20 bits before each is added."""
-    total = 0
-    for w in words.tolist():
-        total = ((total << 20 | total >> 12) + w) & 0xFFFFFFFF
+#: By the width of an element, the bits that the running sum is turned left by before each is added.
+TURNS = {1: 5, 2: 10, 4: 20}
+
+
+def checksum(x: np.ndarray, total: int = 0) -> int:
+    """The running 32-bit sum of elements of one, two or four bytes, turned left before each is added."""
+    turn = TURNS[x.itemsize]
+    for w in x.view(f"{x.dtype.byteorder.replace('|', '=')}u{x.itemsize}").tolist():
+        total = ((total << turn | total >> 32 - turn) + w) & 0xFFFFFFFF
     return total
 
 
-def decode_array(data: bytes) -> tuple[dict, np.ndarray]:
+def decode_array(data: bytes, kind: str = "f4") -> tuple[dict, np.ndarray]:
     """(header, array) of a typed array file: a text header up to `endhdr`, a byte-order word, one to three sizes, the count of
-    values, 32-bit floats and, if the header says so, their checksum."""
+    values, the values and, if the header says so, their checksum. kind is the values' numpy type, of one, two or four bytes,
+    which the file doesn't say."""
     head, body = data.split(b"endhdr\n", 1)
     lines = head.decode("ascii").split("\n")
     if lines[0] != "s3":
         raise ValueError("not a typed array file")
     fields = dict(x.split(None, 1) for x in lines[1:] if x.strip())
-    order = next((o for o in "<>" if struct.unpack(f"{o}I", body[:4])[0] == 0x11223344), None)
+    order = next((o for o in "<>" if len(body) >= 4 and struct.unpack(f"{o}I", body[:4])[0] == 0x11223344), None)
     if order is None:
         raise ValueError("the byte-order word is damaged")
-    words = np.frombuffer(body[4 : 4 + (len(body) - 4) // 4 * 4], f"{order}u4")
     summed = fields.get("chksum0", "no").strip() == "yes"
-    inside = words[:-1] if summed else words
+    inside, dtype = body[4 : len(body) - 4 if summed else len(body)], np.dtype(f"{order}{kind}")
     for d in (3, 2, 1):
-        shape = [int(x) for x in inside[: d if d > 1 else 0]]
         at = d + 1 if d > 1 else 1
-        if len(inside) >= at and int(inside[at - 1]) == len(inside) - at and (d == 1 or int(np.prod(shape)) == len(inside) - at):
-            if summed and checksum(inside) != int(words[-1]):
+        if len(inside) < 4 * at:
+            continue
+        sizes = np.frombuffer(inside, f"{order}u4", count=at)
+        shape, n = [int(v) for v in sizes[:-1]], int(sizes[-1])
+        if len(inside) == 4 * at + n * dtype.itemsize and (d == 1 or int(np.prod(shape)) == n):
+            x = np.frombuffer(inside, dtype, count=n, offset=4 * at)
+            if summed and checksum(x, checksum(sizes)) != struct.unpack(f"{order}I", body[-4:])[0]:
                 raise ValueError("the checksum is wrong")
-            x = inside[at:].astype("u4").view("f4")
+            x = x.astype(dtype.newbyteorder("="))
             return fields, x.reshape(shape) if d > 1 else x
     raise ValueError("the sizes don't fit the file")
 
 
-def encode_array(x: np.ndarray) -> bytes:
-    """A typed array file with a checksum, in this machine's byte order."""
-    x = np.asarray(x, dtype=np.float32)
+def encode_array(x: np.ndarray, kind: str = "f4") -> bytes:
+    """A typed array file with a checksum, in this machine's byte order; values of one, two or four bytes."""
+    x = np.ascontiguousarray(x, dtype=kind)
     sizes = np.array([*(x.shape if x.ndim > 1 else ()), x.size], dtype="u4")
-    words = np.concatenate([sizes, x.ravel().view("u4")])
     order = 0x11223344
-    return b"s3\nversion 1.0\nchksum0 yes\nendhdr\n" + order.to_bytes(4, sys.byteorder) + words.tobytes() + checksum(words).to_bytes(4, sys.byteorder)
+    return b"s3\nversion 1.0\nchksum0 yes\nendhdr\n" + order.to_bytes(4, sys.byteorder) + sizes.tobytes() + x.tobytes() + checksum(x.ravel(), checksum(sizes)).to_bytes(4, sys.byteorder)
+
+
+def read_arrays(spark: SparkSession, path: str, kind: str = "f4") -> DataFrame:
+    """(path, shape, values) of typed array files, one a row; damaged files are an error."""
+
+    @F.pandas_udf("shape array<int>, values array<double>")
+    def decode(content: pd.Series) -> pd.DataFrame:
+        found = [decode_array(bytes(c), kind)[1] for c in content]
+        return pd.DataFrame({"shape": [list(x.shape) for x in found], "values": [x.ravel().astype(float) for x in found]})
+
+    return spark.read.format("binaryFile").load(path).select("path", decode("content").alias("_a")).select("path", "_a.*")
+
+
+def array_files(arrays: DataFrame, name: str, kind: str = "f4") -> DataFrame:
+    """(name, content) for `write_files`, of rows (name, shape, values). Values are cast to kind."""
+
+    @F.pandas_udf("binary")
+    def encode(shape: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([encode_array(np.asarray(v, dtype=float).reshape([int(n) for n in s]), kind) for s, v in zip(shape, values, strict=True)], dtype=object)
+
+    return arrays.select(name, encode("shape", "values").alias("content"))
 
 
 def read_projection(spark: SparkSession, path: str, width: int | None = None) -> list[list[float]]:

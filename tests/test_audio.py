@@ -226,6 +226,26 @@ def test_typed_arrays(shape):
         frames.decode_array(data[:-1] + bytes([data[-1] ^ 1]))
 
 
+@pytest.mark.parametrize("kind, values", [("u1", [0, 255, 7, 8, 9, 10]), ("i2", [-32768, 32767, 0, 5, -1, 2]), ("i4", [1 << 30, -7, 0, 3, 2, 1]), ("f4", [0.5, -0.25, 8, 0, 1, 2])])
+def test_arrays_of_any_width(spark, tmp_path, kind, values):
+    turn = {"1": 5, "2": 10, "4": 20}[kind[1]]
+    x = np.array(values, dtype=kind)
+    total = 0
+    for n, t in [(2, 20), (3, 20), (6, 20), *[(int(v), turn) for v in x.view(f"u{x.itemsize}")]]:
+        total = (((total << t) | (total >> (32 - t))) + n) % (1 << 32)
+    data = frames.encode_array(x.reshape(2, 3), kind)
+    assert int.from_bytes(data[-4:], "little") == total
+    swapped = b"s3\nchksum0 yes\nendhdr\n" + (0x11223344).to_bytes(4, "big") + np.array([2, 3, 6], ">u4").tobytes() + x.astype(f">{kind}").tobytes() + total.to_bytes(4, "big")
+    for content in (data, swapped):
+        assert (frames.decode_array(content, kind)[1] == x.reshape(2, 3)).all()
+        with pytest.raises(ValueError, match="checksum"):
+            frames.decode_array(content[:-5] + bytes([content[-5] ^ 1]) + content[-4:], kind)
+    rows = spark.createDataFrame([("a", [2, 3], [float(v) for v in values]), ("b", [6], [float(v) for v in values])], "name string, shape array<int>, values array<double>")
+    assert frames.write_files(frames.array_files(rows, "name", kind), f"file://{tmp_path}/out", "name", ".s3") == 2
+    got = {r.path[-4]: (r.shape, r["values"]) for r in frames.read_arrays(spark, f"file://{tmp_path}/out", kind).collect()}
+    assert got == {"a": ([2, 3], values), "b": ([6], values)}
+
+
 def test_frames_of_rows_are_those_of_arrays(spark):
     for fe in (frontend.FrontEnd(rate=1000.0, window=0.032, n_fft=32, low=20.0, high=480.0), frontend.FrontEnd(rate=1000.0, frame_rate=50, window=0.012, n_fft=32, low=20.0, high=480.0)):
         pcm = [(None if n == 43 else n, 0, [(k * 7919) % 601 - 300 for k in range(n)]) for n in (1, 9, 10, 11, 12, 13, 20, 31, 32, 33, 41, 42, 43, 57)]
