@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logmath, text, vectors
 from ..operators import activity, dynamic, frontend, graph, lm_edit, ngram, normalise, numbered, order, pitch, running
-from ..tables import new_folder, stored
+from ..tables import new_folder, spread, stored
 
 BACKOFF = -0.4
 LANGS = ("en", "fr", "de", "es")
@@ -75,7 +75,7 @@ def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numbered(spark: SparkSession, sf_dir: str, order: int = 2) -> numbered.Numbered:
     """Built once and stored by order: scoring reads each order by its columns."""
-    return numbered.of_texts(table(spark, sf_dir, "documents"), backoff=BACKOFF, order=order)
+    return numbered.of_texts(spread(table(spark, sf_dir, "documents").select("text")), backoff=BACKOFF, order=order)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
