@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import common
+from . import common, nearcopies
 from .components import components
 
 BITS = 64
@@ -36,18 +36,18 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 CROWD = 64
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """XXH64 of each shingle of SHINGLE words; of the whole sequence where there are fewer; none without words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of `size` words; of the whole sequence where there are fewer; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
     ends = (np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words))) + np.arange(len(words))).tolist()
     starts = [0, *[e + 1 for e in ends]]
     h = xxhash.xxh64_intdigest
-    return np.array([h(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], dtype=np.uint64)  # noqa: B905
+    return np.array([h(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])], dtype=np.uint64)  # noqa: B905
 
 
 def fingerprint(text: str | None) -> int:
@@ -104,19 +104,23 @@ def links(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), similarity: float | None = None) -> DataFrame:
     """Each row's id, its fingerprint `f` (signed long), `root` and component_id: the least fingerprint and the least
     id of its near-duplicate class; then the columns named in carry. No two classes share a root; they may share a
     component_id, where ids repeat or are null.
 
     Null, empty and blank texts have fingerprint zero and link like any other; texts of any length are hashed whole, in
-    blocks of hashes. Ids that repeat are one document for every row's class; null ids never name a class unless it has no
+    blocks of hashes. With a similarity, texts whose sets of five-word shingles have at least that Jaccard similarity link, too
+    (`nearcopies`). Ids that repeat are one document for every row's class; null ids never name a class unless it has no
     other id; a tie between half of the hashes leaves a bit unset. An empty table gives an empty result. Other columns of
-    docs don't matter, but those in carry keep their names, which must differ from the five above."""
+    docs don't matter, but those in carry keep their names, which must differ from the five above and from t and bands."""
     scratch = common.Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("f"), *carry), "marked")
+    near = () if similarity is None else (F.xxhash64(F.col(text_col)).alias("t"), nearcopies.bands(F.col(text_col)).alias("bands"))
+    marked = scratch.write(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("f"), *carry, *near), "marked")
     nodes = scratch.write(marked.groupBy("f").agg(F.min("doc_id").alias("least")), "nodes")
     found = links(nodes.select("f"), scratch)
+    if similarity is not None:
+        found = nearcopies.links(marked, docs, text_col, scratch.write(found, "links"), similarity, scratch)
     roots = scratch.write(components(found.select(F.col("f").alias("a"), F.col("g").alias("b")), scratch), "roots")
     rooted = nodes.join(roots.select(F.col("a").alias("f"), F.col("b").alias("_al_b")), "f", "left").withColumn("root", F.coalesce("_al_b", "f"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
