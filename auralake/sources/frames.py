@@ -94,35 +94,44 @@ def checksum(x: np.ndarray, total: int = 0) -> int:
     return total
 
 
-def decode_array(data: bytes, kind: str = "f4") -> tuple[dict, np.ndarray]:
-    """(header, array) of a typed array file: a text header up to `endhdr`, a byte-order word, one to three sizes, the count of
-    values, the values and, if the header says so, their checksum. kind is the values' numpy type, of one, two or four bytes,
-    which the file doesn't say."""
-    head, body = data.split(b"endhdr\n", 1)
-    lines = head.decode("ascii").split("\n")
+def array_head(start: bytes, size: int, kind: str = "f4") -> tuple[dict, str, list[int], int, int, bool]:
+    """(fields, byte order, shape, count, offset, summed) of a typed array file of `size` bytes, from its first ones: a text header up to
+    `endhdr`, a byte-order word, one to three sizes, the count of values, which start at offset, and, if summed, a checksum behind them.
+    kind is the values' numpy type, of one, two or four bytes, which the file doesn't say. shape is empty for a plain list of values."""
+    if b"endhdr\n" not in start:
+        raise ValueError("not a typed array file")
+    head, body = start.split(b"endhdr\n", 1)
+    lines = head.decode("ascii", "replace").split("\n")
     if lines[0] != "s3":
         raise ValueError("not a typed array file")
     fields = dict(x.split(None, 1) for x in lines[1:] if x.strip())
     order = next((o for o in "<>" if len(body) >= 4 and struct.unpack(f"{o}I", body[:4])[0] == 0x11223344), None)
     if order is None:
         raise ValueError("the byte-order word is damaged")
-    summed = fields.get("chksum0", "no").strip() == "yes"
-    inside, dtype = body[4 : len(body) - 4 if summed else len(body)], np.dtype(f"{order}{kind}")
+    summed, at = fields.get("chksum0", "no").strip() == "yes", len(head) + len("endhdr\n") + 4
+    room = size - at - (4 if summed else 0)
     for d in (3, 2, 1):
-        at = d + 1 if d > 1 else 1
-        if len(inside) < 4 * at:
+        words = d + 1 if d > 1 else 1
+        if min(len(body) - 4, room) < 4 * words:
             continue
-        sizes = np.frombuffer(inside, f"{order}u4", count=at)
-        shape, n = [int(v) for v in sizes[:-1]], int(sizes[-1])
-        if len(inside) == 4 * at + n * dtype.itemsize and (d == 1 or int(np.prod(shape)) == n):
-            x = np.frombuffer(inside, dtype, count=n, offset=4 * at)
-            if summed and checksum(x, checksum(sizes)) != struct.unpack(f"{order}I", body[-4:])[0]:
-                raise ValueError("the checksum is wrong")
-            x = x.astype(dtype.newbyteorder("="))
-            return fields, x.reshape(shape) if d > 1 else x
+        *shape, n = (int(v) for v in np.frombuffer(body[4:], f"{order}u4", count=words))
+        if room == 4 * words + n * np.dtype(kind).itemsize and (d == 1 or int(np.prod(shape)) == n):
+            return fields, order, shape, n, at + 4 * words, summed
     raise ValueError("the sizes don't fit the file")
 
 
+def decode_array(data: bytes, kind: str = "f4") -> tuple[dict, np.ndarray]:
+    """(header, array) of a typed array file (`array_head`); its checksum, if it has one, must be right."""
+    fields, order, shape, n, offset, summed = array_head(data, len(data), kind)
+    x = np.frombuffer(data, f"{order}{kind}", count=n, offset=offset)
+    if summed:
+        sizes = np.frombuffer(data, f"{order}u4", count=len(shape) + 1, offset=offset - 4 * len(shape) - 4)
+        if checksum(x, checksum(sizes)) != struct.unpack(f"{order}I", data[-4:])[0]:
+            raise ValueError("the checksum is wrong")
+    x = x.astype(x.dtype.newbyteorder("="))
+    return fields, x.reshape(shape) if shape else x
+
+
 def encode_array(x: np.ndarray, kind: str = "f4") -> bytes:
     """A typed array file with a checksum, in this machine's byte order; values of one, two or four bytes."""
     x = np.ascontiguousarray(x, dtype=kind)
