@@ -111,16 +111,27 @@ def remove_model(weights: DataFrame, model: str) -> DataFrame:
 def close_suffixes(ngrams: DataFrame, order: int) -> DataFrame:
     """ngrams with `is_blank`: for each n-gram whose own suffix is missing, that suffix, with the probability of the next
     shorter one plus the unigram back-off of the word in front, and no back-off. Orders fill from the longest down, so
-    blanks get their suffixes too; probabilities then come from the shortest up."""
-    levels = {k: ngrams.where(F.col("ord") == k).withColumn("is_blank", F.lit(False)) for k in range(1, order + 1)}
+    blanks get their suffixes too; probabilities then come from the shortest up. Words may be numbers: joins and shuffles
+    carry them as columns, and only blanks are joined for their probabilities."""
+    at = lambda a, b: [f"_w{i}" for i in range(a, b)]
+    split = lambda k: [F.col("words")[i].alias(f"_w{i}") for i in range(k)]
+    own = {k: ngrams.where(F.col("ord") == k).select(*split(k), "log10_p", "log10_bo") for k in range(1, order + 1)}
+    blank: dict[int, DataFrame] = {}
     for k in range(order, 2, -1):
-        needed = levels[k].select(F.slice("words", 2, k - 1).alias("words")).distinct()
-        missing = needed.join(levels[k - 1].select("words"), "words", "left_anti")
-        blank = missing.select(F.lit(k - 1).alias("ord"), "words", F.lit(None).cast("double").alias("log10_p"), F.lit(0.0).alias("log10_bo"), F.lit(True).alias("is_blank"))
-        levels[k - 1] = levels[k - 1].unionByName(blank)
-    backs = levels[1].select(F.col("words")[0].alias("_w"), F.coalesce("log10_bo", F.lit(0.0)).alias("_bo"))
+        longer = own[k].select(*at(1, k))
+        longer = longer.union(blank[k].select(*at(1, k))) if k in blank else longer
+        needed = longer.toDF(*at(0, k - 1)).distinct()
+        missing = needed.join(own[k - 1].select(*at(0, k - 1)), at(0, k - 1), "left_anti")
+        blank[k - 1] = cut(missing) if k > 3 else missing
+    backs = own[1].select("_w0", F.coalesce("log10_bo", F.lit(0.0)).alias("_bo"))
+    shorter = own[1].select("_w0", "log10_p")
+    closed: dict[int, DataFrame] = {}
     for k in range(2, order):
-        shorter = levels[k - 1].select(F.col("words").alias("_s"), F.col("log10_p").alias("_sp"))
-        t = levels[k].join(shorter, F.slice("words", 2, k - 1) == F.col("_s"), "left").join(backs, F.col("words")[0] == F.col("_w"), "left")
-        levels[k] = cut(t.withColumn("log10_p", F.when(F.col("is_blank"), F.col("_sp") + F.coalesce("_bo", F.lit(0.0))).otherwise(F.col("log10_p"))).select("ord", "words", "log10_p", "log10_bo", "is_blank"))
-    return reduce(DataFrame.unionByName, levels.values())
+        met = blank[k].join(shorter.toDF(*at(1, k), "_sp"), at(1, k), "left").join(backs, "_w0", "left")
+        found = met.select(*at(0, k), (F.col("_sp") + F.coalesce("_bo", F.lit(0.0))).alias("log10_p"))
+        closed[k] = cut(found) if k < order - 1 else found
+        shorter = own[k].select(*at(0, k), "log10_p").union(closed[k])
+    words = lambda k: [F.lit(k).alias("ord"), F.array(*at(0, k)).alias("words"), "log10_p"]
+    parts = [df.select(*words(k), "log10_bo", F.lit(False).alias("is_blank")) for k, df in own.items()]
+    parts += [df.select(*words(k), F.lit(0.0).alias("log10_bo"), F.lit(True).alias("is_blank")) for k, df in closed.items()]
+    return reduce(DataFrame.unionByName, parts)

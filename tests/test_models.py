@@ -123,6 +123,17 @@ def test_suffix_closure(spark):
     assert got["b", "c"] == (True, pytest.approx(-1.1)) and got["a", "b", "c"] == (False, -0.2) and len(got) == 8
 
 
+def test_suffix_closure_of_numbers(spark):
+    """Words can be numbers, and no join or shuffle carries arrays."""
+    rows = [(1, [w], -1.0, -0.1) for w in range(4)] + [(3, [0, 1, 2], -0.2, None), (4, [3, 0, 1, 2], -0.3, None), (2, [1, 3], -0.4, 0.0)]
+    closed = lm_edit.close_suffixes(spark.createDataFrame(rows, "ord int, words array<bigint>, log10_p double, log10_bo double"), 4)
+    got = {tuple(r.words): (r.is_blank, r.log10_p) for r in closed.collect()}
+    assert got[1, 2] == (True, pytest.approx(-1.1)) and got[0, 1, 2] == (False, -0.2) and len(got) == 8
+    closed = lm_edit.close_suffixes(spark.createDataFrame(rows, closed.select("ord", "words", "log10_p", "log10_bo").schema).where("ord < 4"), 3)
+    plan = closed.groupBy("ord").count()._jdf.queryExecution().executedPlan().toString()
+    assert not any("words" in line for line in plan.splitlines() if "Exchange" in line or "Join" in line)
+
+
 def test_classes_vocabularies_and_sets(spark, tmp_path):
     (tmp_path / "c.def").write_text("ignored\nLMCLASS x\none 3\ntwo\nEND x\nLMCLASS y\nthree 1.05\nEND y\n")
     c = models.read_classes(spark, str(tmp_path / "c.def"))
