@@ -1,5 +1,6 @@
 """Counts of the words of texts, and of runs of words, a slice of an Arrow column at a time: a task counts its slice as arrays and
-hands on one row for each different word or run; Spark adds them up."""
+hands on one row for each different word or run; Spark adds them up. Where it is known which words and pairs will be asked
+for, a set of bits of bounded size tells a task which ones to hand on."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ SLICE_BYTES = 8 << 20
 #: The blanks of `text.words` become spaces.
 _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 SEED = 42
+#: Joins the hashes of a pair to one.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A set of hashes has 2 to this power bits; it follows the bytes of the texts, and beyond the most it lets more pass.
+LEAST_BITS, MOST_BITS = 20, 28
+#: Bytes of a set in one row, as `bitmap_or_agg` has them.
+PAGE = 4096
 
 
 def _coded(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -36,6 +44,85 @@ def _coded(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]
         at = end
 
 
+def _hashes(different: pa.Array, prefix: str) -> np.ndarray:
+    """The XXH64 of each word behind a prefix, unsigned."""
+    return np.fromiter([xxhash.xxh64_intdigest(prefix + w, SEED) for w in different.to_numpy(zero_copy_only=False)], np.uint64, len(different))
+
+
+def _held(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key whether the set may have it: true for all that were put in, and for as many others as its bits are filled."""
+    at = keys >> np.uint64(64 - (len(held) * 8).bit_length() + 1)
+    return (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def asked(texts: DataFrame, text: str, prefix: str) -> Broadcast:
+    """The set of the words and pairs of texts, for `together`. Each core gathers bits of its own, Spark joins them by pages, and
+    what reaches the driver and the tasks is one set, 32 MB at most, however large the texts are."""
+    spark = texts.sparkSession
+    texts = texts.select(F.col(text).cast("string").alias(text))
+    bits = min(max(int(texts.agg(F.sum(F.octet_length(text))).first()[0] or 0).bit_length(), LEAST_BITS), MOST_BITS)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((1 << bits) // 8, np.uint8)
+        for batch in batches:
+            for different, places, rows in _coded(batch.column(0)):
+                hashes = _hashes(different, prefix)
+                first = np.flatnonzero(rows[:-1] == rows[1:])
+                for keys in (hashes, hashes[places[first]] * MIX + hashes[places[first + 1]]):
+                    at = keys >> np.uint64(64 - bits)
+                    bit = at & np.uint64(7)
+                    for i in range(8):
+                        some = at[bit == i] >> np.uint64(3)
+                        held[some] |= np.uint8(1 << i)
+        pages = held.reshape(-1, PAGE)
+        filled = np.flatnonzero(pages.any(axis=1))
+        for at in range(0, len(filled), 256):
+            some = filled[at : at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pages[i].tobytes() for i in some], pa.binary())], ["page", "held"])
+
+    rows = texts.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(gather, "page int, held binary").groupBy("page").agg(F.bitmap_or_agg("held").alias("held"))
+    held = np.zeros(((1 << bits) // 8 // PAGE, PAGE), np.uint8)
+    for r in rows.collect():
+        held[r.page] = np.frombuffer(r.held, np.uint8)
+    return spark.sparkContext.broadcast(held.reshape(-1))
+
+
+def together(docs: DataFrame, text: str, order: int, prefix: str, few: Broadcast | None = None) -> DataFrame:
+    """(ord, word, _w0, _w1, n) from one pass over the texts: ord 0, how many words there are; 1, each word and how often it comes;
+    2, if order is 2, each pair of words within a text, as hashes, and how often it comes. few: the set of words and pairs
+    that will be asked for; of the others, some don't come out. Counts are whole, whether or not there is a set."""
+    names = ["ord", "word", "_w0", "_w1", "n"]
+
+    def out(k: int, word: pa.Array | None, pair: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        columns = [word if word is not None else pa.nulls(len(n), pa.string()), *([pa.array(w, pa.int64()) for w in pair] or [pa.nulls(len(n), pa.int64())] * 2)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), *columns, pa.array(n, pa.int64())], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for different, places, rows in _coded(batch.column(0)):
+                yield out(0, None, [], np.array([len(places)]))
+                hashes = _hashes(different, prefix) if few or order > 1 else None
+                sums, words = np.bincount(places, minlength=len(different)), different.cast(pa.string())
+                if few:
+                    known = _held(few.value, hashes)
+                    sums, words = sums[known], words.filter(pa.array(known))
+                yield out(1, words, [], sums)
+                if order > 1:
+                    first = np.flatnonzero(rows[:-1] == rows[1:])
+                    a, b = places[first], places[first + 1]
+                    if few:
+                        both = known[a] & known[b]
+                        a, b = a[both], b[both]
+                        both = _held(few.value, hashes[a] * MIX + hashes[b])
+                        a, b = a[both], b[both]
+                    pairs, sums = np.unique(a * max(len(different), 1) + b, return_counts=True)
+                    a, b = np.divmod(pairs, max(len(different), 1))
+                    yield out(2, None, [hashes[a].view(np.int64), hashes[b].view(np.int64)], sums)
+
+    found = docs.select(F.col(text).cast("string")).mapInArrow(count, "ord int, word string, _w0 long, _w1 long, n long")
+    return found.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+
 def words(docs: DataFrame, text: str) -> DataFrame:
     """(word, n): each word of the texts and how often it comes."""
 
@@ -63,7 +150,7 @@ def counted(docs: DataFrame, text: str, size: int, prefix: str) -> DataFrame:
                 order = np.argsort(key)
                 first = np.flatnonzero(np.diff(key[order], prepend=-1))
                 sums = np.diff(np.append(first, len(order)))
-                hashes = np.array([xxhash.xxh64_intdigest(prefix + w, SEED) for w in different.to_pylist()], np.uint64).view(np.int64)
+                hashes = _hashes(different, prefix).view(np.int64)
                 found = [pa.array(hashes[x[order[first]]], pa.int64()) for x in some]
                 yield pa.RecordBatch.from_arrays([*found, pa.array(sums, pa.int64())], [*[f"_w{i}" for i in range(size)], "n"])
 

@@ -11,6 +11,7 @@ from test_models import ARPA, brute_score, table
 from auralake import api
 from auralake.functions import text
 from auralake.operators import activity, dynamic, graph, ngram, numbered, order, running
+from auralake.plans import queries
 from auralake.sources import models
 from auralake.streaming import live
 
@@ -152,6 +153,75 @@ def test_words_whose_hashes_meet_get_another_salt(spark, monkeypatch):
     assert model.salt == 1 and {tuple(r.words) for r in model.ngrams().where("ord = 2").collect()} == {("a", "b")}
 
 
+def test_models_of_the_texts_that_are_asked(spark, monkeypatch):
+    """Scores are those of the whole model, though words and pairs that no scored text has don't leave the tasks; also with a set
+    of few bits, over slices of any size, and after hashes have met."""
+    from auralake.operators import runs
+
+    r = random.Random(5)
+    some = lambda words, n: [" ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(n)]
+    near, far = [f"w{i}" for i in range(12)] + ["é", "<s>"], [f"x{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(t,) for t in [*some(near, 60), *some(far, 3000), *some(near + far, 200), None, ""]], "text string").repartition(3)
+    turns = spark.createDataFrame(list(enumerate([*some([*near, "nowhere"], 40), None, "", " w1\tw2\nw1 w2 "])), "line int, text string").repartition(3)
+    tokens = text.tokens(turns, keys=["line"])
+    rows = lambda m: sorted(map(tuple, numbered.score(tokens, m, ["line"]).collect()), key=str)
+    plain, whole = numbered.hashed, numbered.of_texts(docs)
+    want = rows(whole)
+    assert whole.words.count() > 2000 and {x[6] for x in want} == {None, 1, 2}
+    for slice_bytes, bits, salt in ((1 << 20, 28, 0), (50, 15, 0), (1 << 20, 15, 1)):
+        with monkeypatch.context() as m:
+            m.setattr(runs, "SLICE_BYTES", slice_bytes)
+            m.setattr(runs, "LEAST_BITS", 15)
+            m.setattr(runs, "MOST_BITS", bits)
+            if salt:
+                m.setattr(numbered, "hashed", lambda word, salt: plain(word, salt) if salt else F.lit(7).cast("long"))
+            model = numbered.of_texts(docs, asked=turns)
+            assert rows(model) == want and model.salt == salt
+            assert model.words.count() < 100 and model.orders[2].count() <= whole.orders[2].count()
+    assert rows(numbered.of_texts(docs, asked=turns, order=1)) == rows(numbered.of_texts(docs, order=1))
+    few, full = runs.asked(turns, "text", ""), spark.sparkContext.broadcast(~np.zeros(runs.PAGE, np.uint8))
+    assert sorted(map(str, runs.together(docs, "text", 2, "", full).collect())) == sorted(map(str, runs.together(docs, "text", 2, "").collect()))
+    out = {(x.ord, x.word or (x["_w0"], x["_w1"])): x.n for x in runs.together(docs, "text", 2, "", few).collect()}
+    every = {(x.ord, x.word or (x["_w0"], x["_w1"])): x.n for x in runs.together(docs, "text", 2, "").collect()}
+    assert out.items() <= every.items() and len(out) < len(every) / 10  # fewer, with whole counts
+    assert {w: n for (k, w), n in every.items() if k == 2} == {(x["_w0"], x["_w1"]): x.n for x in runs.counted(docs, "text", 2, "").collect()}
+    held = np.zeros(1 << 25, np.uint8)  # the most bits: every bit of a full set is found, none of an empty one
+    keys = np.array([0, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert not runs._held(held, keys).any() and runs._held(~held, keys).all()
+
+
+def _asking(monkeypatch, name, spark, folder):
+    """The rows of a query and the model that it built."""
+    made, plain = [], numbered.of_texts
+    with monkeypatch.context() as m:
+        m.setattr(numbered, "of_texts", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+        rows = sorted(map(tuple, queries.QUERIES[name](spark, folder).collect()), key=str)
+    return rows, made[0]
+
+
+def _folder(spark, tmp_path, turns):
+    spark.createDataFrame([(i, f"w{i} w{i} z{i} a b a b the b") for i in range(50)] * 2, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["lm_nused_hist"])
+def test_queries_count_the_pairs_that_turns_ask_for(spark, monkeypatch, tmp_path, name):
+    folder = _folder(spark, tmp_path, [(1, 0, "user", "a b z9 w3 b the"), (1, 1, "user", "b a zz a"), (None, 0, "user", None)])
+    rows, model = _asking(monkeypatch, name, spark, folder)
+    assert model.orders[2].count() < 10 and model.words.count() < 20  # 204 and 103 in the whole model
+    with monkeypatch.context() as m:
+        m.setattr(queries, "_asked", lambda *_: None)
+        assert _asking(monkeypatch, name, spark, folder)[0] == rows
+
+
+def test_turns_of_one_key_ask_for_the_whole_model(spark, tmp_path):
+    """Their words are scored as one line, so that pairs may have a word of each."""
+    once, twice = [(1, 0, "user", "a"), (None, 0, "user", "b")], [(None, 0, "user", "a"), (None, 0, "user", "b")]
+    assert queries._asked(spark, _folder(spark, tmp_path / "once", once)) is not None
+    assert queries._asked(spark, _folder(spark, tmp_path / "twice", twice)) is None
+
+
 def test_shuffled_bytes_of_scores(spark):
     """Joins and windows carry numbers where the plain form carries joined words."""
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
