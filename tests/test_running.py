@@ -205,7 +205,7 @@ def _folder(spark, tmp_path, turns):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["lm_nused_hist", "lm_class_score"])
+@pytest.mark.parametrize("name", ["lm_nused_hist", "lm_class_score", "lm_weighted_score"])
 def test_queries_count_the_pairs_that_turns_ask_for(spark, monkeypatch, tmp_path, name):
     folder = _folder(spark, tmp_path, [(1, 0, "user", "a b z9 w3 b the"), (1, 1, "user", "b a zz a"), (None, 0, "user", None)])
     rows, model = _asking(monkeypatch, name, spark, folder)
