@@ -1,10 +1,11 @@
 """Counts of the words of texts, and of runs of words, a slice of an Arrow column at a time: a task counts its slice as arrays and
 hands on one row for each different word or run; Spark adds them up. Where it is known which words and pairs will be asked
-for, a set of bits of bounded size tells a task which ones to hand on."""
+for, a set of bits of bounded size tells a task which ones to hand on, and a task adds up what its slices have in common."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 SEED = 42
 #: Joins the hashes of a pair to one.
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of counts that a task holds of words, and of pairs, before it adds them up.
+SUMS = 64 << 20
 #: A set of hashes has 2 to this power bits; it follows the bytes of the texts, and beyond the most it lets more pass.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of a set in one row, as `bitmap_or_agg` has them.
@@ -46,7 +49,8 @@ def _coded(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]
 
 def _hashes(different: pa.Array, prefix: str) -> np.ndarray:
     """The XXH64 of each word behind a prefix, unsigned."""
-    return np.fromiter([xxhash.xxh64_intdigest(prefix + w, SEED) for w in different.to_numpy(zero_copy_only=False)], np.uint64, len(different))
+    words = different.to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh64_intdigest, [prefix + w for w in words] if prefix else words, repeat(SEED)), np.uint64, len(different))
 
 
 def _held(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -55,6 +59,12 @@ def _held(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """The rows of tables (a, n) or (a, b, n), or of their sums, with n added up by key as n_sum."""
+    every = pa.concat_tables([t.rename_columns([*t.column_names[:-1], "n"]) if "n_sum" in t.column_names else t for t in tables])
+    return every.group_by(every.column_names[:-1], use_threads=False).aggregate([("n", "sum")])
+
+
 def asked(texts: DataFrame, text: str, prefix: str) -> Broadcast:
     """The set of the words and pairs of texts, for `together`. Each core gathers bits of its own, Spark joins them by pages, and
     what reaches the driver and the tasks is one set, 32 MB at most, however large the texts are."""
@@ -87,39 +97,71 @@ def asked(texts: DataFrame, text: str, prefix: str) -> Broadcast:
     return spark.sparkContext.broadcast(held.reshape(-1))
 
 
-def together(docs: DataFrame, text: str, order: int, prefix: str, few: Broadcast | None = None) -> DataFrame:
+def together(docs: DataFrame, text: str, order: int, prefix: str, few: Broadcast | None = None, also: DataFrame | None = None) -> DataFrame:
     """(ord, word, _w0, _w1, n) from one pass over the texts: ord 0, how many words there are; 1, each word and how often it comes;
     2, if order is 2, each pair of words within a text, as hashes, and how often it comes. few: the set of words and pairs
-    that will be asked for; of the others, some don't come out. Counts are whole, whether or not there is a set."""
+    that will be asked for; of the others, some don't come out. Counts are whole, whether or not there is a set. also: texts whose
+    words all come out, if only with a count of 0; nothing of theirs is counted."""
     names = ["ord", "word", "_w0", "_w1", "n"]
 
-    def out(k: int, word: pa.Array | None, pair: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-        columns = [word if word is not None else pa.nulls(len(n), pa.string()), *([pa.array(w, pa.int64()) for w in pair] or [pa.nulls(len(n), pa.int64())] * 2)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), *columns, pa.array(n, pa.int64())], names)
+    def out(k: int, n: pa.Array, word: pa.Array | None = None, pair: list[pa.Array] | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.nulls(len(n), pa.string()) if word is None else word, *(pair or [none, none]), n], names)
+
+    def summed(parts: Iterator[tuple[int, list[pa.Array], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Counts (order, key, n) as rows of sums; keys that a task meets again are added up here, as far as it may hold them."""
+        held: dict[int, list[pa.Table]] = {1: [], 2: []}
+        for k, key, n in parts:
+            held[k].append(pa.table([*key, pa.array(n, pa.int64())], [*"ab"[: len(key)], "n"]))
+            if sum(t.nbytes for t in held[k]) > SUMS:
+                held[k] = [_added(held[k])]
+                if held[k][0].nbytes > SUMS // 2:
+                    yield from hand_on(k, held[k].pop())
+        for k, tables in held.items():
+            if tables:
+                yield from hand_on(k, _added(tables))
+
+    def hand_on(k: int, sums: pa.Table) -> Iterator[pa.RecordBatch]:
+        for some in sums.combine_chunks().to_batches(1 << 16):
+            yield out(k, some["n_sum"], *([some["a"]] if k == 1 else [None, [some["a"], some["b"]]]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for different, places, rows in _coded(batch.column(0)):
-                yield out(0, None, [], np.array([len(places)]))
-                hashes = _hashes(different, prefix) if few or order > 1 else None
-                sums, words = np.bincount(places, minlength=len(different)), different.cast(pa.string())
-                if few:
-                    known = _held(few.value, hashes)
-                    sums, words = sums[known], words.filter(pa.array(known))
-                yield out(1, words, [], sums)
-                if order > 1:
-                    first = np.flatnonzero(rows[:-1] == rows[1:])
-                    a, b = places[first], places[first + 1]
+        total = 0
+
+        def parts() -> Iterator[tuple[int, list[pa.Array], np.ndarray]]:
+            nonlocal total
+            for batch in batches:
+                for different, places, rows in _coded(batch.column(0)):
+                    total += len(places)
+                    hashes = _hashes(different, prefix) if few or order > 1 else None
+                    sums, words = np.bincount(places, minlength=len(different)), different.cast(pa.string())
                     if few:
-                        both = known[a] & known[b]
-                        a, b = a[both], b[both]
-                        both = _held(few.value, hashes[a] * MIX + hashes[b])
-                        a, b = a[both], b[both]
-                    pairs, sums = np.unique(a * max(len(different), 1) + b, return_counts=True)
-                    a, b = np.divmod(pairs, max(len(different), 1))
-                    yield out(2, None, [hashes[a].view(np.int64), hashes[b].view(np.int64)], sums)
-
-    found = docs.select(F.col(text).cast("string")).mapInArrow(count, "ord int, word string, _w0 long, _w1 long, n long")
+                        known = _held(few.value, hashes)
+                        sums, words = sums[known], words.filter(pa.array(known))
+                    yield 1, [words], sums
+                    if order > 1:
+                        first = np.flatnonzero(rows[:-1] == rows[1:])
+                        a, b = places[first], places[first + 1]
+                        if few:
+                            both = known[a] & known[b]
+                            a, b = a[both], b[both]
+                            both = _held(few.value, hashes[a] * MIX + hashes[b])
+                            a, b = a[both], b[both]
+                        pairs, sums = np.unique(a * max(len(different), 1) + b, return_counts=True)
+                        a, b = np.divmod(pairs, max(len(different), 1))
+                        yield 2, [pa.array(hashes[x].view(np.int64)) for x in (a, b)], sums
+
+        yield from summed(parts())
+        yield out(0, pa.array([total], pa.int64()))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (different.cast(pa.string()) for batch in batches for different, _, _ in _coded(batch.column(0)))
+        yield from summed((1, [words], np.zeros(len(words), np.int64)) for words in slices)
+
+    schema = "ord int, word string, _w0 long, _w1 long, n long"
+    found = docs.select(F.col(text).cast("string")).mapInArrow(count, schema)
+    if also is not None:
+        found = found.union(also.select(F.col(text).cast("string")).mapInArrow(name, schema))
     return found.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 

@@ -190,6 +190,43 @@ def test_models_of_the_texts_that_are_asked(spark, monkeypatch):
     assert not runs._held(held, keys).any() and runs._held(~held, keys).all()
 
 
+def test_texts_are_scored_without_a_window(spark, monkeypatch):
+    """As tokens are under the whole model, whether a task can hold all its counts, some, or none."""
+    from auralake.operators import runs
+
+    r = random.Random(6)
+    some = lambda words, n: [" ".join(r.choice(words) for _ in range(r.randint(0, 9))) for _ in range(n)]
+    near = [f"w{i}" for i in range(9)] + ["é", "<s>"]
+    docs = spark.createDataFrame([(t,) for t in [*some([*near, *(f"x{i}" for i in range(90))], 400), *some(near, 30), None, ""]], "text string").repartition(2)
+    turns = spark.createDataFrame([*enumerate([*some([*near, "nowhere", "gone"], 60), None, "", " w1\tw2\nw1 w2 "]), (None, "w1 w1 gone w1")], "line int, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = rows(numbered.score(text.tokens(turns, keys=["line"]), numbered.of_texts(docs), ["line"]))
+    assert {x[5] for x in want} == {0, 1} and {x[6] for x in want} == {None, 1, 2}
+    with monkeypatch.context() as m:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+        for held in (64 << 20, 2000, 0):
+            m.setattr(runs, "SUMS", held)
+            scored = numbered.score_texts(turns, numbered.of_texts(docs, asked=turns), ["line"])
+            assert rows(scored) == want
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_tell_unknown_words_of_texts_apart(spark, monkeypatch):
+    plain = numbered.hashed
+    monkeypatch.setattr(numbered, "hashed", lambda word, salt: plain(word, salt) if salt else F.lit(7).cast("long"))
+    turns = spark.createDataFrame([(1, "a b")], "line int, text string")
+    model = numbered.of_texts(spark.createDataFrame([("a c",)], "text string"), asked=turns)
+    assert model.salt == 1 and {x.word: x.is_oov for x in numbered.score_texts(turns, model, ["line"]).collect()} == {"a": False, "b": True}
+
+
+def test_weighted_scores_move_hashes_only(spark, tmp_path):
+    """No window, and no join on words: tokens are looked up by whole numbers."""
+    folder = _folder(spark, tmp_path, [(1, 0, "user", "a b z9 w3 b the"), (1, 1, "user", "b a zz a"), (None, 0, "user", None)])
+    plan = queries.QUERIES["lm_weighted_score"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(word" not in plan and "SortMergeJoin" not in plan
+
+
 def _asking(monkeypatch, name, spark, folder):
     """The rows of a query and the model that it built."""
     made, plain = [], numbered.of_texts
